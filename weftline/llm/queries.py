@@ -9,6 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 from weftline.llm.common import read_table
 
 
+def op2_lossless_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftline.llm.webp import media_digest
+
+    return media_digest(read_table(spark, sf_dir, "documents"))
+
+
 def op3_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weftline.llm.simhash import near_duplicates
 
@@ -44,6 +50,7 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_lossless_webp": op2_lossless_webp,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
     "op6_quality_classifier": op6_quality_classifier,
     "op8_toxicity": op8_toxicity,
