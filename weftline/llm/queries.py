@@ -9,6 +9,26 @@ from pyspark.sql import DataFrame, SparkSession
 from weftline.llm.common import read_table
 
 
+#: Arrivals that op1's appends come in.
+ARRIVALS = 8
+
+
+def op1_size_tiered_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from pyspark.sql import functions as F
+
+    from weftline.llm.common import shared_dir
+    from weftline.llm.shards import ShardStore
+
+    docs = read_table(spark, sf_dir, "documents")
+    store = ShardStore(spark, shared_dir(spark, "shards"), target_bytes=64 << 20)
+    arrival = F.pmod(F.coalesce("doc_id", F.lit(0)), F.lit(ARRIVALS)).cast("int")
+    store.append(docs.withColumn("arrival", arrival), arrival)
+    store.compact()
+    store.vacuum()
+    text = F.coalesce("text", F.lit(""))
+    return store.read().select("doc_id", "lang", "source", "n_chars", "arrival", F.octet_length(text).cast("long").alias("n_bytes"), F.sha2(text, 256).alias("text_sha256"))
+
+
 def op2_lossless_webp(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weftline.llm.webp import media_digest
 
@@ -47,6 +67,12 @@ def op5_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(read_table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
 
+def op9_licence_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftline.llm.licences import licence_scan
+
+    return licence_scan(read_table(spark, sf_dir, "documents"))
+
+
 def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -56,16 +82,22 @@ def op10_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_size_tiered_shards": op1_size_tiered_shards,
     "op2_lossless_webp": op2_lossless_webp,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
     "op6_quality_classifier": op6_quality_classifier,
     "op8_toxicity": op8_toxicity,
     "op4_anisotropic_search": op4_anisotropic_search,
     "op5_best_fit_packing": op5_best_fit_packing,
+    "op9_licence_scan": op9_licence_scan,
     "op10_byte_bpe": op10_byte_bpe,
 }
 
 ORACLE_SQL: dict[str, str] = {
+    "op1_size_tiered_shards": """
+        SELECT doc_id, lang, source, n_chars, CAST(((coalesce(doc_id, 0) % 8) + 8) % 8 AS INTEGER) AS arrival,
+            CAST(strlen(coalesce(text, '')) AS BIGINT) AS n_bytes, sha256(coalesce(text, '')) AS text_sha256
+        FROM documents""",
     # Exact search; the operator's recall is 1 on this table.
     "op4_anisotropic_search": """
         WITH v AS (
