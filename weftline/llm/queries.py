@@ -47,6 +47,12 @@ def op6_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_scores(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "labels"))
 
 
+def op7_katz_backoff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from weftline.llm.katz import katz_scores
+
+    return katz_scores(read_table(spark, sf_dir, "documents"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from weftline.llm.toxicity import toxicity_scores
 
@@ -86,6 +92,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_lossless_webp": op2_lossless_webp,
     "op3_simhash_near_dedup": op3_simhash_near_dedup,
     "op6_quality_classifier": op6_quality_classifier,
+    "op7_katz_backoff": op7_katz_backoff,
     "op8_toxicity": op8_toxicity,
     "op4_anisotropic_search": op4_anisotropic_search,
     "op5_best_fit_packing": op5_best_fit_packing,
