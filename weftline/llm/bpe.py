@@ -6,8 +6,9 @@ transducer reads a byte at a time. Its state is (last token emitted, bytes read
 cannot matter. On a byte it works out the last token of each pending prefix, follows every path that can
 still grow into a longer token back to where all of them meet, and emits the tokens up to there. A path can
 only stay open as long as pending bytes are the beginning of some vocabulary token, so the lookahead is
-bounded by the longest token. States and transitions are made when first used and then kept (in a bounded
-table), as in lazy determinisation.
+bounded by the longest token. Transitions are determinised lazily: an arc that a short piece misses for the
+first time is only simulated, on the open paths themselves; one that is missed again becomes a state's arc
+and is kept (in a bounded table). Long pieces always go by arcs, which emit as they go.
 
 A piece that is itself in the vocabulary is one token, as in the public library whose results these are.
 
@@ -56,11 +57,12 @@ class State:
     ends there) for each place from which the bytes so far begin a longer token, the end included.
     """
 
-    __slots__ = ("before", "pending", "token", "start", "opens", "arcs")
+    __slots__ = ("before", "pending", "token", "start", "opens", "arcs", "missed")
 
     def __init__(self, before: int, pending: bytes, token: tuple, start: tuple, opens: tuple):
         self.before, self.pending, self.token, self.start, self.opens = before, pending, token, start, opens
         self.arcs: dict[int, tuple] = {}
+        self.missed: set[int] = set()
 
 
 class Transducer:
@@ -219,6 +221,53 @@ class Transducer:
                 out.extend(emitted)
         return at
 
+    def feed_short(self, data: bytes) -> list[int]:
+        """All tokens of a short piece: by arcs where there are any, simulated from the first new one on."""
+        at, out = self.start, []
+        for n, byte in enumerate(data):
+            step = at.arcs.get(byte)
+            if step is None:
+                if byte not in at.missed:
+                    at.missed.add(byte)
+                    self._simulate(at, data[n:], out)
+                    return out
+                step = at.arcs[byte] = self.arc(at, byte)
+            at, emitted = step
+            if emitted:
+                out.extend(emitted)
+        self.flush(at, out)
+        return out
+
+    def _simulate(self, at: State, rest: bytes, out: list[int]) -> None:
+        """What arcs would do for the rest of a piece, without making states."""
+        child, ends, grows, known = self.child.get, self.ends, self.grows, self._pairs.get
+        token, start, opens = list(at.token), list(at.start), at.opens
+        n = len(token)
+        for byte in rest:
+            got, begin, after = None, -1, []
+            for i, node, back in opens:
+                node = child(node << 8 | byte)
+                if node is not None:
+                    if got is None and (t := ends[node]) >= 0 and self.reachable(t):
+                        apart = True if back < 0 else known(back << 32 | t)
+                        if apart is None:
+                            apart = self.stable(back, t)
+                        if apart:
+                            got, begin = t, i
+                    if grows[node]:
+                        after.append((i, node, back))
+            n += 1
+            token.append(got)
+            start.append(begin)
+            if got is not None:
+                after.append((n, 0, got))
+            opens = after
+        tail = []
+        while n:
+            tail.append(token[n - 1])
+            n = start[n - 1]
+        out.extend(reversed(tail))
+
     def flush(self, at: State, out: list[int]) -> None:
         """The piece ends: the tokens of what is pending."""
         tail = []
@@ -231,6 +280,8 @@ class Transducer:
     def encode_piece(self, piece: bytes) -> list[int]:
         if (whole := self.ranks.get(piece)) is not None:
             return [whole]
+        if len(piece) <= self.LONG_PIECE:
+            return self.feed_short(piece)
         out: list[int] = []
         self.flush(self.feed(self.start, piece, out), out)
         return out
