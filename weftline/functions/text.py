@@ -5,12 +5,18 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-ATX_HEADING = r"^(#{1,6})\s+(.+)$"
-NUMBERED_HEADING = r"^(\d+(?:\.\d+)*)\.?\s+\S.*$"
-BRACKET_REFERENCE = r"\[\d+(?:[,;]\s*\d+)*\]"
-AUTHOR_YEAR = r"\([A-Z][A-Za-z]+(?:\s+et\s+al\.?)?,?\s+\d{4}\)"
-DOI = r"10\.\d{4,9}/[^\s\]\)]+"
-URL = r"https?://[^\s\]\)]+"
+# What counts as a heading, a reference or a citation.
+ATX_HEADING = r"^(#{1,6})\s+(.+?)\s*#*$"
+NUMBERED_HEADING = r"^(\d+(?:\.\d+)*)\s+(\S[^\n]{3,})$"
+BRACKET_REFERENCE = r"\[[\d,\s–\-]+\]"
+AUTHOR_YEAR = r"\(\w[^)]{2,40}\d{4}\w?\)"
+DOI = r"(?i)doi:\s*10\.\d{4,}/\S+"
+URL = r"https?://\S+"
+CITED_NUMBERS = r"\[(\d+(?:[,;]\s*\d+)*)\]"
+CITED_DOI = r"(?i)doi:\s*(10\.\d{4,}/\S+)"
+CITED_URL = r"https?://[^\s>\"']+"
+LIST_MARK = r"^\s*(?:\d+[.)]|[-*•])\s*"
+SPACED_OUT = r"(?<!\S)[\w.]( [\w.]){2,}(?!\S)"
 TOKEN = "[a-z0-9]+"
 
 
@@ -66,22 +72,21 @@ def _strip_end(x: Column) -> Column:
 
 def extract_references(text: Column) -> Column:
     """Bracketed numbers, author-year mentions, DOIs and URLs, each once, in that order."""
-    found = F.concat(_all(text, BRACKET_REFERENCE), _all(text, AUTHOR_YEAR), _all(text, DOI), _all(text, URL))
-    return F.array_distinct(F.transform(found, _strip_end))
+    return F.array_distinct(F.concat(_all(text, BRACKET_REFERENCE), _all(text, AUTHOR_YEAR), _all(text, DOI), F.transform(_all(text, URL), _strip_end)))
 
 
 def citation_keys(text: Column) -> Column:
     """Keys that texts share by citing the same thing: ref:n, doi:..., url:..."""
-    numbers = F.flatten(F.transform(_all(text, BRACKET_REFERENCE), lambda x: F.regexp_extract_all(x, F.lit(r"\d+"), F.lit(0))))
-    refs = F.transform(numbers, lambda x: F.concat(F.lit("ref:"), x))
-    dois = F.transform(_all(text, DOI), lambda x: F.concat(F.lit("doi:"), F.lower(_strip_end(x))))
-    urls = F.transform(_all(text, URL), lambda x: F.concat(F.lit("url:"), _strip_end(x)))
+    groups = F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(CITED_NUMBERS), F.lit(1))
+    refs = F.transform(F.flatten(F.transform(groups, lambda x: F.split(x, r"[,;]\s*"))), lambda x: F.concat(F.lit("ref:"), F.trim(x)))
+    dois = F.transform(F.regexp_extract_all(F.coalesce(text, F.lit("")), F.lit(CITED_DOI), F.lit(1)), lambda x: F.concat(F.lit("doi:"), F.lower(x)))
+    urls = F.transform(_all(text, CITED_URL), lambda x: F.concat(F.lit("url:"), _strip_end(x)))
     return F.array_distinct(F.concat(refs, dois, urls))
 
 
 def parse_questions(raw: Column, n: int) -> Column:
     """Lines without numbering or bullets, blank ones dropped, the first n."""
-    lines = F.transform(F.split(F.coalesce(raw, F.lit("")), "\n"), lambda x: F.trim(F.regexp_replace(x, r"^[\s\d.)\-*•]+", "")))
+    lines = F.transform(F.split(F.coalesce(raw, F.lit("")), "\n"), lambda x: F.trim(F.regexp_replace(F.trim(x), LIST_MARK, "")))
     return F.slice(F.filter(lines, lambda x: x != ""), 1, n)
 
 
@@ -155,7 +160,11 @@ STOP_WORDS = {
 def detect_language(text: Column, fallback: str = "en") -> Column:
     """The language with most stop words; the fallback for texts under 20 signs or without any. An approximation of a trained detector."""
     toks = F.split(F.lower(F.coalesce(text, F.lit(""))), r"[^\p{L}]+")
-    scores = {code: F.size(F.filter(toks, lambda t, w=w: t.isin(*w))) for code, w in STOP_WORDS.items()}
+
+    def hits(known: tuple[str, ...]) -> Column:
+        return F.size(F.filter(toks, lambda t: t.isin(*known)))
+
+    scores = {code: hits(known) for code, known in STOP_WORDS.items()}
     best = F.greatest(*scores.values())
     out = F.lit(fallback)
     for code in reversed(list(scores)):

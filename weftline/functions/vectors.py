@@ -44,7 +44,7 @@ def top_k_join(left: DataFrame, right: DataFrame, k: int, threshold: float | Non
     blocks = lambda df: max(1, -(-df.count() // BLOCK))
     nl, nr = blocks(left), blocks(right)
     l2 = left.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(nl)).alias("lb"), F.explode(F.sequence(F.lit(0), F.lit(nr - 1))).alias("rb"))
-    r2 = right.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(nr)).cast("int").alias("rb"), F.explode(F.sequence(F.lit(0), F.lit(nl - 1))).cast("long").alias("lb"))
+    r2 = right.select("id", "v", F.pmod(F.xxhash64("id"), F.lit(nr)).cast("int").alias("rb"), F.explode(F.sequence(F.lit(0).cast("long"), F.lit(nl - 1).cast("long"))).alias("lb"))
 
     def best(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         if a.empty or b.empty:

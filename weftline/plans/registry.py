@@ -1,10 +1,607 @@
-"""All queries by name and the SQL that must give the same rows."""
+"""All queries by name and, where SQL can express them, the DuckDB SQL that must give the same rows.
+
+Numbers that depend on the order of additions are rounded on both sides.
+"""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from weftline.functions import text as tx
+from weftline.functions import vectors as vx
+from weftline.operators import chunking, diffusion, graph, lexical, retrieval, selection, signals, spectral, weights
+from weftline.operators.providers import default_providers, overlap_reranker
+from weftline.plans import view
+from weftline.sources.readers import documents_from_table, html_text
+from weftline.sources.stores import session_summary, url_section_path
+from weftline.streaming.ingest import windowed_activity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
+
+#: No pair of the embeddings table reaches the default 0.75, so the queries use a lower threshold.
+THRESHOLD = 0.30
+
+
+def query(sql: str | None = None):
+    """Registers a query under its function's name, with its SQL."""
+
+    def put(f):
+        QUERIES[f.__name__] = f
+        if sql:
+            ORACLE_SQL[f.__name__] = sql
+        return f
+
+    return put
+
+
+def t(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def _vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_idx"), "embedding")
+
+
+# -- text ------------------------------------------------------------------------------------------------
+
+
+@query("""SELECT doc_id, len(regexp_extract_all(lower(text), '[a-z0-9]+')) AS n_tokens, len(list_distinct(regexp_extract_all(lower(text), '[a-z0-9]+'))) AS n_distinct FROM documents""")
+def doc_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
+    toks = tx.tokenize(F.col("text"))
+    return t(spark, sf_dir, "documents").select("doc_id", F.size(toks).cast("long").alias("n_tokens"), F.size(F.array_distinct(toks)).cast("long").alias("n_distinct"))
+
+
+@query("""SELECT doc_id, substr(sha256(concat_ws(':', source, CAST(doc_id AS VARCHAR), '0', substr(text, 1, 64))), 1, 16) AS chunk_id, substr(sha256(text), 1, 16) AS text_hash FROM documents""")
+def chunk_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return t(spark, sf_dir, "documents").select("doc_id", tx.chunk_id(F.col("source"), F.col("doc_id"), F.lit(0), F.col("text")).alias("chunk_id"), tx.text_hash(F.col("text")).alias("text_hash"))
+
+
+@query("""
+    WITH w AS (SELECT doc_id, list_filter(string_split(coalesce(text, ''), ' '), lambda x: x <> '') AS w FROM documents),
+    p AS (SELECT doc_id, w, unnest(range(CAST(greatest(ceil((len(w) - 20) / 80.0), 1) AS BIGINT))) AS position FROM w WHERE len(w) > 0)
+    SELECT doc_id, CAST(position AS INTEGER) AS position, CAST(len(w[position * 80 + 1 : position * 80 + 100]) AS INTEGER) AS n_words,
+        array_to_string(w[position * 80 + 1 : position * 80 + 100], ' ') AS text FROM p""")
+def fixed_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return chunking.fixed_windows(t(spark, sf_dir, "documents"), 100, 20)
+
+
+@query("""
+    WITH l AS (SELECT doc_id, trim(unnest(string_split(text, chr(10)))) AS line FROM documents)
+    SELECT doc_id, CAST(count(*) FILTER (regexp_matches(line, '^#{1,6}\\s+.+$') OR regexp_matches(line, '^\\d+(\\.\\d+)*\\s+\\S[^\\n]{3,}$')) AS INTEGER) AS n_headings,
+        CASE WHEN n_headings >= 2 THEN 'structural' ELSE 'semantic' END AS strategy FROM l GROUP BY doc_id""")
+def heading_strategy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return t(spark, sf_dir, "documents").select("doc_id", tx.heading_count(F.col("text")).alias("n_headings"), tx.select_strategy(F.col("text"), True).alias("strategy"))
+
+
+_REF_TEXT = "coalesce(text, '') || ' see [1, 2] and [' || CAST(doc_id % 7 AS VARCHAR) || '; 9] (Smith et al. 2019) doi:10.1234/AB.' || CAST(doc_id % 5 AS VARCHAR) || ' at https://example.org/p/' || CAST(doc_id % 11 AS VARCHAR) || '.'"
+
+
+@query(f"""
+    WITH d AS (SELECT doc_id, {_REF_TEXT} AS x FROM documents),
+    k AS (SELECT doc_id, list_distinct(list_concat(
+        list_transform(flatten(list_transform(regexp_extract_all(x, '\\[(\\d+(?:[,;]\\s*\\d+)*)\\]', 1), lambda g: string_split_regex(g, '[,;]\\s*'))), lambda n: 'ref:' || trim(n)),
+        list_transform(regexp_extract_all(x, '(?i)doi:\\s*(10\\.\\d{{4,}}/\\S+)', 1), lambda n: 'doi:' || lower(n)),
+        list_transform(regexp_extract_all(x, 'https?://[^\\s>"'']+'), lambda n: 'url:' || regexp_replace(n, '[.,;)]+$', '')))) AS keys FROM d)
+    SELECT doc_id, array_to_string(list_sort(keys), ' ') AS keys, len(keys) AS n_keys FROM k""")
+def citation_key_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keys of the texts with a line of references added, since the table has none."""
+    keys = tx.citation_keys(F.expr(_REF_TEXT.replace("VARCHAR", "STRING")))
+    return t(spark, sf_dir, "documents").select("doc_id", F.array_join(F.array_sort(keys), " ").alias("keys"), F.size(keys).cast("long").alias("n_keys"))
+
+
+@query(f"""
+    WITH d AS (SELECT doc_id, {_REF_TEXT} AS x FROM documents),
+    k AS (SELECT doc_id, list_concat(regexp_extract_all(x, '\\[[\\d,\\s–\\-]+\\]'), regexp_extract_all(x, '\\(\\w[^)]{{2,40}}\\d{{4}}\\w?\\)'), regexp_extract_all(x, '(?i)doi:\\s*10\\.\\d{{4,}}/\\S+'),
+        list_transform(regexp_extract_all(x, 'https?://\\S+'), lambda n: regexp_replace(n, '[.,;)]+$', ''))) AS refs FROM d)
+    SELECT doc_id, array_to_string(list_sort(list_distinct(refs)), ' ') AS refs FROM k""")
+def references(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return t(spark, sf_dir, "documents").select("doc_id", F.array_join(F.array_sort(tx.extract_references(F.expr(_REF_TEXT.replace("VARCHAR", "STRING")))), " ").alias("refs"))
+
+
+@query("""
+    SELECT doc_id, CASE lang WHEN 'en' THEN 'English' WHEN 'fr' THEN 'French' WHEN 'de' THEN 'German' WHEN 'es' THEN 'Spanish' ELSE lang END AS language,
+        replace(substr(text, 1, 80), chr(10), ' ') AS label, substr(text, 1, 200) AS preview FROM documents""")
+def labels_and_previews(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return t(spark, sf_dir, "documents").select("doc_id", tx.language_name(F.col("lang")).alias("language"), tx.label_of(F.col("text"), 80).alias("label"), tx.snippet(F.col("text"), 200).alias("preview"))
+
+
+@query()
+def detected_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return t(spark, sf_dir, "documents").select("doc_id", "lang", tx.detect_language(F.col("text")).alias("detected"))
+
+
+@query("""SELECT source, count(DISTINCT sha256(text)) AS n_texts, count(*) AS n_docs, count(*) - count(DISTINCT sha256(text)) AS n_saved FROM documents GROUP BY source""")
+def embed_cache(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What a cache by content saves when each source is embedded: equal texts are computed once."""
+    docs = t(spark, sf_dir, "documents").select("source", F.sha2("text", 256).alias("key"))
+    return docs.groupBy("source").agg(F.count_distinct("key").alias("n_texts"), F.count(F.lit(1)).alias("n_docs")).withColumn("n_saved", F.col("n_docs") - F.col("n_texts"))
+
+
+@query("""
+    WITH h AS (SELECT DISTINCT sha256(text) AS key, lang FROM documents),
+    c AS (SELECT DISTINCT sha256(text) AS key FROM documents WHERE lang = 'en')
+    SELECT h.lang, count(*) AS n_misses FROM h WHERE NOT EXISTS (SELECT 1 FROM c WHERE c.key = h.key) GROUP BY h.lang""")
+def embed_cache_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Texts still to be computed once those in English are in the cache."""
+    docs = t(spark, sf_dir, "documents").select(F.sha2("text", 256).alias("key"), "lang")
+    kept = docs.where("lang = 'en'").select("key").distinct()
+    return docs.distinct().join(kept, "key", "left_anti").groupBy("lang").agg(F.count(F.lit(1)).alias("n_misses"))
+
+
+# -- lexical ---------------------------------------------------------------------------------------------
+
+_BM25 = """
+    d AS (SELECT doc_id, regexp_extract_all(lower(text), '[a-z0-9]+') AS toks FROM documents),
+    n AS (SELECT CAST(count(*) AS DOUBLE) AS n, avg(len(toks)) AS avgdl FROM d),
+    p AS (SELECT doc_id, len, term, count(*) AS tf FROM (SELECT doc_id, len(toks) AS len, unnest(toks) AS term FROM d) GROUP BY ALL),
+    s AS (SELECT term, CAST(count(*) AS DOUBLE) AS df FROM p GROUP BY term),
+    m AS (SELECT avg(ln(n - df + 0.5) - ln(df + 0.5)) AS mean_idf FROM s, n),
+    i AS (SELECT term, CASE WHEN ln(n - df + 0.5) - ln(df + 0.5) < 0 THEN 0.25 * mean_idf ELSE ln(n - df + 0.5) - ln(df + 0.5) END AS idf FROM s, n, m),
+    q AS (SELECT item_id, term, count(*) AS qtf FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM benchmark) GROUP BY ALL),
+    x AS (SELECT q.item_id AS query_id, p.doc_id, round(sum(qtf * idf * tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * p.len / avgdl))), 6) AS score
+        FROM q JOIN p USING (term) JOIN i USING (term), n GROUP BY ALL),
+    bm AS (SELECT query_id, doc_id, score, rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rank FROM x) WHERE rank <= 20 AND score > 0)"""
+
+
+@query(f"WITH {_BM25} SELECT query_id, doc_id, score, CAST(rank AS INTEGER) AS rank FROM bm")
+def bm25_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark passages as queries over all documents: the 20 best by BM25."""
+    return lexical.bm25_topk(t(spark, sf_dir, "documents"), t(spark, sf_dir, "benchmark"), 20)
+
+
+@query(f"""
+    WITH {_BM25}, r AS (SELECT bm.*, d.n_chars, max(score) OVER (PARTITION BY query_id) AS top FROM bm JOIN documents d USING (doc_id)),
+    u AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, doc_id) AS rn, sum(n_chars) OVER (PARTITION BY query_id ORDER BY score DESC, doc_id ROWS UNBOUNDED PRECEDING) AS used FROM r WHERE score >= 0.3 * top)
+    SELECT query_id, doc_id AS id, CAST(rn AS INTEGER) AS rank, score FROM u WHERE rn = 1 OR used <= 12000""")
+def select_budget(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return selection.token_budget_window(_pool(spark, sf_dir), 12000)
+
+
+@query(f"""WITH {_BM25} SELECT query_id, doc_id AS id, CAST(rank AS INTEGER) AS rank, score FROM bm WHERE rank <= 10""")
+def select_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return selection.topk(_pool(spark, sf_dir), 10)
+
+
+def _pool(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """BM25 hits as candidates, with characters for tokens and hashed words for vectors."""
+    docs = t(spark, sf_dir, "documents")
+    hits = bm25_topk(spark, sf_dir).select("query_id", F.col("doc_id").alias("id"), "score")
+    return hits.join(docs.select(F.col("doc_id").alias("id"), F.col("n_chars").alias("tokens"), "source"), "id").select("query_id", "id", "score", "tokens", "source")
+
+
+def _rich_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = t(spark, sf_dir, "documents").select(F.col("doc_id").alias("id"), "text")
+    asked = t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
+    embed = default_providers(64).embed
+    rows = _pool(spark, sf_dir).join(docs, "id").join(asked, "query_id")
+    return rows.select("query_id", "id", "score", "tokens", "source", embed(F.col("text"), "document").alias("v"), F.col("score").alias("raw"), F.lit(-1).alias("cluster"), overlap_reranker(F.col("question"), F.col("text")).alias("ce"))
+
+
+def _mode(spark: SparkSession, sf_dir: str, mode: str) -> DataFrame:
+    from weftline.config import Retrieval
+
+    rich = _rich_pool(spark, sf_dir)
+    edges = t(spark, sf_dir, "documents").select(F.col("doc_id").alias("src"), (F.col("doc_id") + 1).alias("dst"), F.lit(0.5).alias("weight"))
+    return selection.select(rich, Retrieval(selection_mode=mode), edges)
+
+
+@query()
+def select_budget_band(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mode(spark, sf_dir, "token_budget")
+
+
+@query()
+def select_mmr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mode(spark, sf_dir, "mmr")
+
+
+@query()
+def select_protected_mmr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mode(spark, sf_dir, "protected_mmr")
+
+
+@query()
+def select_greedy(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mode(spark, sf_dir, "greedy")
+
+
+@query()
+def select_anchor(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _mode(spark, sf_dir, "anchor_expand_ce")
+
+
+@query(f"""
+    WITH {_BM25}, f AS (SELECT bm.*, d.source, d.text, min(rank) OVER (PARTITION BY query_id, d.source) AS fs FROM bm JOIN documents d USING (doc_id)),
+    g AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY fs, rank) AS n FROM f)
+    SELECT query_id, CAST(n AS INTEGER) AS n, source, CASE WHEN rank = fs THEN '=== Source: ' || source || ' ===' || chr(10) ELSE '' END
+        || '--- Context ' || n || ' (source: ' || source || ', pos: ' || doc_id || ') ---' || chr(10) || substr(text, 1, 100) || chr(10) AS block FROM g""")
+def context_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = t(spark, sf_dir, "documents").select("doc_id", "source", F.substring("text", 1, 100).alias("text"))
+    rows = bm25_topk(spark, sf_dir).join(docs, "doc_id").select("query_id", "rank", "source", F.col("doc_id").alias("position"), "text")
+    return view.context_blocks(rows)
+
+
+@query(f"""
+    WITH {_BM25}, r AS (SELECT query_id, doc_id, score, score / max(score) OVER (PARTITION BY query_id) AS ratio FROM bm)
+    SELECT query_id, doc_id, score, round(ratio, 9) AS ratio, CASE WHEN ratio >= 0.66 THEN 'high' WHEN ratio >= 0.33 THEN 'mid' ELSE 'low' END AS bucket FROM r""")
+def score_buckets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return view.score_buckets(bm25_topk(spark, sf_dir).drop("rank")).withColumn("ratio", F.round("ratio", 9))
+
+
+# -- vectors and signals ---------------------------------------------------------------------------------
+
+_DOT = "list_inner_product(CAST({a} AS DOUBLE[]), CAST({b} AS DOUBLE[]))"
+_SEM = f"""
+    nn AS (SELECT a.vec_id AS a, b.vec_id AS b, {_DOT.format(a="a.embedding", b="b.embedding")} AS s FROM embeddings a, embeddings b),
+    kn AS (SELECT a, b, s FROM (SELECT *, row_number() OVER (PARTITION BY a ORDER BY s DESC, b) AS r FROM nn) WHERE r <= 8 AND a <> b AND s >= {THRESHOLD}),
+    sem AS (SELECT least(a, b) AS i, greatest(a, b) AS j, max(s) AS score FROM kn GROUP BY 1, 2)"""
+
+
+def _semantic(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return signals.semantic(_vectors(spark, sf_dir), 7, THRESHOLD)
+
+
+@query(f"WITH {_SEM} SELECT 'semantic' AS signal, i, j, round(score, 9) AS score FROM sem")
+def semantic_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _semantic(spark, sf_dir).withColumn("score", F.round("score", 9))
+
+
+@query("""
+    WITH c AS (SELECT conv_id * 1000 + turn AS id, conv_id, turn, lead(turn) OVER (PARTITION BY conv_id ORDER BY turn) AS nt FROM conversations)
+    SELECT DISTINCT 'adjacency' AS signal, id AS i, id + 1 AS j, CAST(1.0 AS DOUBLE) AS score FROM c WHERE nt = turn + 1""")
+def adjacency_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Turns of a conversation as chunks of a document."""
+    turns = t(spark, sf_dir, "conversations").select((F.col("conv_id") * 1000 + F.col("turn")).alias("chunk_idx"), F.lit("c").alias("source"), F.col("conv_id").alias("doc_id"), F.col("turn").alias("position"))
+    return signals.adjacency(turns)
+
+
+_PATH = r"list_filter(string_split_regex(regexp_replace(url, '^[a-z]+://', ''), '[/?#]'), lambda p: p <> '')[1:3]"
+
+
+@query(f"""
+    WITH p AS (SELECT page_id, {_PATH} AS path FROM pages), x AS (SELECT page_id, len(path) AS l, path[1:d] AS prefix FROM (SELECT *, unnest(range(1, len(path) + 1)) AS d FROM p)),
+    k AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY prefix ORDER BY page_id) AS nth FROM x) WHERE nth <= 100)
+    SELECT 'section' AS signal, a.page_id AS i, b.page_id AS j, max(len(a.prefix) / greatest(a.l, b.l, 1)) AS score FROM k a JOIN k b ON a.prefix = b.prefix AND a.page_id < b.page_id GROUP BY 2, 3""")
+def section_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Addresses as heading paths."""
+    return signals.section(t(spark, sf_dir, "pages").select(F.col("page_id").alias("chunk_idx"), url_section_path(F.col("url")).alias("section_path")))
+
+
+_TERMS = """
+    e AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM documents),
+    el AS (SELECT doc_id, term FROM e WHERE length(term) >= 8),
+    ek AS (SELECT term FROM el GROUP BY term HAVING count(*) BETWEEN 2 AND 10),
+    er AS (SELECT doc_id AS id, term FROM el JOIN ek USING (term)),
+    ep AS (SELECT a.id AS i, b.id AS j, CAST(count(*) AS DOUBLE) AS n FROM er a JOIN er b ON a.term = b.term AND a.id < b.id GROUP BY 1, 2),
+    ent AS (SELECT i, j, n / max(n) OVER () AS score FROM ep)"""
+
+
+def _entity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Terms of eight letters or more that are in 2 to 10 documents."""
+    terms = t(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_idx"), F.explode(F.array_distinct(tx.tokenize(F.col("text")))).alias("key")).where(F.length("key") >= 8)
+    fine = terms.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n").between(2, 10)).select("key")
+    return signals.shared_keys(terms.join(fine, "key", "left_semi"), "entity", 2)
+
+
+@query(f"WITH {_TERMS} SELECT 'entity' AS signal, i, j, round(score, 9) AS score FROM ent")
+def entity_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _entity(spark, sf_dir).withColumn("score", F.round("score", 9))
+
+
+@query("""
+    WITH h AS (SELECT DISTINCT page_id AS id, unnest(regexp_extract_all(html, 'href="([^"]+)"', 1)) AS key FROM pages),
+    k AS (SELECT key FROM h GROUP BY key HAVING count(*) >= 2), r AS (SELECT h.* FROM h JOIN k USING (key)),
+    c AS (SELECT id, key FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY id) AS nth FROM r) WHERE nth <= 50),
+    p AS (SELECT a.id AS i, b.id AS j, CAST(count(*) AS DOUBLE) AS n FROM c a JOIN c b ON a.key = b.key AND a.id < b.id GROUP BY 1, 2)
+    SELECT 'citation' AS signal, i, j, n / max(n) OVER () AS score FROM p""")
+def citation_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Links that pages share; a link joins its first 50 pages (the operator's member limit)."""
+    keys = t(spark, sf_dir, "pages").select(F.col("page_id").alias("chunk_idx"), F.explode(F.regexp_extract_all("html", F.lit('href="([^"]+)"'), F.lit(1))).alias("key"))
+    return signals.shared_keys(keys, "citation", 2, 50)
+
+
+@query()
+def utility_question_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first sentences of benchmark passages as questions."""
+    p = default_providers(64)
+    rows = t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("chunk_idx"), F.posexplode(p.questions(F.col("text"), 2)).alias("n", "q"))
+    return signals.utility_question(rows.select((F.col("chunk_idx") * 8 + F.col("n")).alias("question_id"), "chunk_idx", p.embed(F.col("q"), "document").alias("embedding")), 20, 0.3)
+
+
+_SEQ = "adj AS (SELECT vec_id AS i, vec_id + 1 AS j, 1.0 AS score FROM embeddings WHERE vec_id + 1 IN (SELECT vec_id FROM embeddings))"
+_LAB = "lab AS (SELECT a.vec_id AS i, b.vec_id AS j, CASE WHEN a.label = b.label THEN 1.0 ELSE 0.5 END AS score FROM embeddings a JOIN embeddings b ON b.vec_id BETWEEN a.vec_id + 1 AND a.vec_id + 3)"
+_COMB = f"""{_SEM}, {_SEQ}, {_LAB},
+    rawx AS (SELECT 'semantic' AS signal, i, j, score FROM sem UNION ALL SELECT 'adjacency', i, j, score FROM adj UNION ALL SELECT 'section', i, j, score FROM lab),
+    rng AS (SELECT signal, min(score) AS lo, max(score) AS hi FROM rawx GROUP BY signal),
+    nrm AS (SELECT signal, i, j, CASE WHEN hi = lo THEN 1.0 ELSE (score - lo) / (hi - lo) END AS x FROM rawx JOIN rng USING (signal)),
+    wide AS (SELECT i, j, coalesce(max(x) FILTER (signal = 'semantic'), 0) AS semantic, coalesce(max(x) FILTER (signal = 'section'), 0) AS section, coalesce(max(x) FILTER (signal = 'adjacency'), 0) AS adjacency FROM nrm GROUP BY i, j),
+    comb AS (SELECT i AS src, j AS dst, semantic, section, adjacency, 0.15 * semantic + 0.2 * section + 0.1 * adjacency AS weight FROM wide WHERE 0.15 * semantic + 0.2 * section + 0.1 * adjacency >= 0.1)"""
+
+
+def _raw(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Three signals over one key space: nearest vectors, neighbours in id order, and like labels nearby."""
+    v = t(spark, sf_dir, "embeddings")
+    after = v.select((F.col("vec_id") - 1).alias("i"), F.col("vec_id").alias("j"))
+    adjacency = v.select(F.col("vec_id").alias("i")).join(after, "i").select(F.lit("adjacency").alias("signal"), "i", "j", F.lit(1.0).alias("score"))
+    near = v.select(F.col("vec_id").alias("i"), F.col("label").alias("li"), F.explode(F.array(*(F.col("vec_id") + d for d in (1, 2, 3)))).alias("j"))
+    like = near.join(v.select(F.col("vec_id").alias("j"), F.col("label").alias("lj")), "j")
+    section = like.select(F.lit("section").alias("signal"), "i", "j", F.when(F.col("li") == F.col("lj"), 1.0).otherwise(0.5).alias("score"))
+    return _semantic(spark, sf_dir).unionByName(adjacency).unionByName(section)
+
+
+def _graph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.combine(_raw(spark, sf_dir))
+
+
+@query(f"WITH {_COMB} SELECT src, dst, round_even(weight, 4) AS weight, round_even(semantic, 4) AS semantic, round_even(section, 4) AS section, round_even(adjacency, 4) AS adjacency FROM comb")
+def minmax_combine(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.combine(_raw(spark, sf_dir)).select("src", "dst", "weight", "semantic", "section", "adjacency")
+
+
+_EDGE_SQL = f"{_SEM}, edge AS (SELECT i AS src, j AS dst, score AS weight FROM sem), node AS (SELECT vec_id AS id FROM embeddings)"
+
+
+def _sem_graph(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    edges = _semantic(spark, sf_dir).select(F.col("i").alias("src"), F.col("j").alias("dst"), F.col("score").alias("weight"))
+    return t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id")), edges
+
+
+@query(f"WITH {_EDGE_SQL}, e AS (SELECT src AS id FROM edge UNION ALL SELECT dst FROM edge), d AS (SELECT id, count(*) AS degree FROM e GROUP BY id) SELECT id, coalesce(degree, 0) AS degree FROM node LEFT JOIN d USING (id) ORDER BY degree DESC, id LIMIT 50")
+def degree_topn(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.top_by_degree(*_sem_graph(spark, sf_dir), 50)
+
+
+@query(f"WITH {_EDGE_SQL} SELECT src, dst, round(weight, 9) AS weight FROM edge WHERE src < 200 AND dst < 200")
+def subgraph(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The graph induced by the nodes below 200."""
+    nodes, edges = _sem_graph(spark, sf_dir)
+    return graph.induced(edges, nodes.where("id < 200")).select("src", "dst", F.round("weight", 9).alias("weight"))
+
+
+@query(f"WITH {_EDGE_SQL} SELECT (SELECT count(*) FROM node) AS node_count, (SELECT count(*) FROM edge) AS edge_count, (SELECT count(*) FROM node) > 0 AS has_data")
+def graph_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.counts(*_sem_graph(spark, sf_dir))
+
+
+@query(f"""
+    WITH {_EDGE_SQL}, b AS (SELECT src, dst FROM edge UNION ALL SELECT dst, src FROM edge)
+    SELECT src, array_to_string(list_sort(list(DISTINCT dst)), ' ') AS neighbours FROM b GROUP BY src""")
+def neighbour_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return graph.shared_neighbours(_sem_graph(spark, sf_dir)[1]).select("src", F.array_join("neighbours", " ").alias("neighbours"))
+
+
+@query(f"""
+    WITH {_EDGE_SQL}, b AS (SELECT src, dst FROM edge UNION ALL SELECT dst, src FROM edge),
+    h0 AS (SELECT id % 4 AS query_id, id, 0 AS hop FROM node WHERE id < 20),
+    u1 AS (SELECT query_id, id, min(hop) AS hop FROM (SELECT * FROM h0 UNION ALL SELECT query_id, dst, 1 FROM h0 JOIN b ON b.src = h0.id) GROUP BY 1, 2),
+    c1 AS (SELECT query_id, id, hop FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY hop, id) AS n FROM u1) WHERE n <= 200),
+    u2 AS (SELECT query_id, id, min(hop) AS hop FROM (SELECT * FROM c1 UNION ALL SELECT query_id, dst, 2 FROM c1 JOIN b ON b.src = c1.id WHERE hop = 1) GROUP BY 1, 2)
+    SELECT query_id, id, CAST(hop AS INTEGER) AS hop FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY hop, id) AS n FROM u2) WHERE n <= 200""")
+def bfs_2hop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, edges = _sem_graph(spark, sf_dir)
+    return graph.expand(nodes.where("id < 20").select((F.col("id") % 4).alias("query_id"), "id"), edges, 2, 200)
+
+
+@query(f"""
+    WITH {_COMB}, s AS (SELECT signal, count(*) AS pairs, CASE WHEN count(*) < 2 THEN 0 ELSE sqrt(count(*)) * stddev_pop(score) END AS importance FROM rawx GROUP BY signal)
+    SELECT signal, pairs, round(importance, 6) AS importance FROM s""")
+def signal_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return weights.informativeness(_raw(spark, sf_dir)).withColumn("importance", F.round("importance", 6))
+
+
+@query()
+def calibrate_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spark.createDataFrame(list(weights.calibrate(_raw(spark, sf_dir)).as_dict().items()), "signal string, weight double")
+
+
+@query()
+def fit_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got, auc = weights.fit(_raw(spark, sf_dir), t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id")))
+    return spark.createDataFrame([(s, w, auc) for s, w in got.as_dict().items()], "signal string, weight double, auc double")
+
+
+# -- retrieval -------------------------------------------------------------------------------------------
+
+_DENSE = f"""
+    dn AS (SELECT q.vec_id AS query_id, c.vec_id AS chunk_idx, {_DOT.format(a="q.embedding", b="c.embedding")} AS score FROM embeddings q, embeddings c WHERE q.vec_id < 10),
+    dk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_idx) - 1 AS rank FROM dn)"""
+
+
+def _dense(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
+    """The first ten vectors as queries over all."""
+    v = _vectors(spark, sf_dir)
+    return retrieval.dense_ranking(v.where("chunk_idx < 10").withColumnRenamed("chunk_idx", "query_id"), v, k)
+
+
+@query(f"WITH {_DENSE} SELECT query_id, chunk_idx, round(score, 9) AS score, CAST(rank AS INTEGER) AS rank FROM dk WHERE rank < 20")
+def dense_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _dense(spark, sf_dir, 20).withColumn("score", F.round("score", 9))
+
+
+_LISTS = f"""{_DENSE},
+    qh AS (SELECT query_id, chunk_idx // 2 AS chunk_idx, min(rank) AS best FROM dk WHERE rank < 80 GROUP BY 1, 2),
+    qr AS (SELECT query_id, chunk_idx, row_number() OVER (PARTITION BY query_id ORDER BY best, chunk_idx) - 1 AS rank FROM qh),
+    ls AS (SELECT query_id, chunk_idx, rank, 0 AS list_no FROM dk WHERE rank < 20 UNION ALL SELECT query_id, chunk_idx, rank, 1 FROM qr WHERE rank < 20),
+    fu AS (SELECT query_id, chunk_idx, round(sum(1.0::DOUBLE / (60 + rank + 1)), 12) AS rrf, min(list_no * 1000 + rank) AS f FROM ls GROUP BY 1, 2)"""
+
+
+def _question_hits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors as questions: two belong to each chunk."""
+    owner = t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("question_id"), F.floor(F.col("vec_id") / 2).alias("chunk_idx"))
+    return retrieval.question_ranking(_dense(spark, sf_dir, 80).withColumnRenamed("chunk_idx", "question_id"), owner, 20)
+
+
+@query(f"WITH {_LISTS} SELECT query_id, chunk_idx, CAST(rank AS INTEGER) AS rank FROM qr WHERE rank < 20")
+def question_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _question_hits(spark, sf_dir)
+
+
+@query(f"WITH {_LISTS} SELECT query_id, chunk_idx, rrf, CAST(rank AS INTEGER) AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY rrf DESC, f, chunk_idx) AS rank FROM fu) WHERE rank <= 20")
+def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return retrieval.rrf([_dense(spark, sf_dir, 20), _question_hits(spark, sf_dir)], 20)
+
+
+@query(f"""
+    WITH {_DENSE}, lx AS (SELECT query_id, chunk_idx, CAST((chunk_idx * 7 + query_id) % 13 - 3 AS DOUBLE) AS s FROM dn WHERE chunk_idx % 3 = 0),
+    b AS (SELECT query_id, chunk_idx, dn.score AS d, greatest(coalesce(s, 0), 0) AS l FROM dn LEFT JOIN lx USING (query_id, chunk_idx)),
+    m AS (SELECT *, max(d) OVER (PARTITION BY query_id) AS dm, max(l) OVER (PARTITION BY query_id) AS lm FROM b)
+    SELECT query_id, chunk_idx, round(CASE WHEN lm > 0 THEN 0.7 * d / dm + 0.3 * l / lm ELSE d END, 9) AS score FROM m""")
+def hybrid_relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    dense = _dense(spark, sf_dir, 1 << 30)
+    lex = dense.where("chunk_idx % 3 = 0").select("query_id", "chunk_idx", ((F.col("chunk_idx") * 7 + F.col("query_id")) % 13 - 3).cast("double").alias("score"))
+    return retrieval.hybrid_relevance(dense, lex).withColumn("score", F.round("score", 9))
+
+
+# -- spectral and diffusion ------------------------------------------------------------------------------
+
+_SEEDS = f"""
+    {_DENSE}, se AS (SELECT query_id, chunk_idx AS sid, score AS rel FROM dk WHERE rank < 5), ca AS (SELECT query_id, chunk_idx AS id FROM dk WHERE rank < 100),
+    un AS (SELECT vec_id AS id, list_transform(CAST(embedding AS DOUBLE[]), lambda x: x / sqrt({_DOT.format(a="embedding", b="embedding")})) AS v FROM embeddings),
+    pr AS (SELECT ca.query_id, ca.id, greatest(se.rel, 0) AS w, {_DOT.format(a="a.v", b="b.v")} AS c FROM ca JOIN un a ON a.id = ca.id JOIN se USING (query_id) JOIN un b ON b.id = se.sid)"""
+
+
+def _proximity(spark: SparkSession, sf_dir: str, mode: str) -> DataFrame:
+    ranked = _dense(spark, sf_dir, 100)
+    seeds = ranked.where("rank < 5").select("query_id", F.col("chunk_idx").alias("id"), F.col("score").alias("relevance"))
+    coords = t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding").alias("v"))
+    return diffusion.seed_proximity(ranked.select("query_id", F.col("chunk_idx").alias("id")), seeds, coords, mode)
+
+
+def _scaled(value: str) -> str:
+    return f"WITH {_SEEDS}, ag AS (SELECT query_id, id, greatest({value}, 0) AS p FROM pr GROUP BY 1, 2) SELECT query_id, id, round(p / max(p) OVER (PARTITION BY query_id), 9) AS proximity FROM ag"
+
+
+@query(_scaled("max(c)"))
+def seed_proximity_max(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _proximity(spark, sf_dir, "max").withColumn("proximity", F.round("proximity", 9))
+
+
+@query(_scaled("list_avg(list_reverse_sort(list(c))[1:3])"))
+def seed_proximity_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _proximity(spark, sf_dir, "topk_mean").withColumn("proximity", F.round("proximity", 9))
+
+
+@query(_scaled("sum(c * w) / sum(w)"))
+def seed_proximity_weighted(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _proximity(spark, sf_dir, "relevance_weighted").withColumn("proximity", F.round("proximity", 9))
+
+
+@query(f"""
+    WITH {_SEEDS}, ag AS (SELECT query_id, id, greatest(max(c), 0) AS p FROM pr GROUP BY 1, 2), sc AS (SELECT query_id, id, p / max(p) OVER (PARTITION BY query_id) AS proximity FROM ag)
+    SELECT query_id, id, round(0.5 * score + 0.5 * proximity, 9) AS score FROM sc JOIN dk ON dk.query_id = sc.query_id AND dk.chunk_idx = sc.id""".replace("SELECT query_id, id, round(0.5", "SELECT sc.query_id, sc.id, round(0.5"))
+def diffuse_blend(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ranked = _dense(spark, sf_dir, 100).select("query_id", F.col("chunk_idx").alias("id"), "score")
+    return diffusion.diffuse(ranked, _proximity(spark, sf_dir, "max")).select("query_id", "id", F.round("score", 9).alias("score"))
+
+
+@query(f"""
+    WITH {_EDGE_SQL}, b AS (SELECT src, dst, weight FROM edge UNION ALL SELECT dst, src, weight FROM edge), d AS (SELECT src AS id, sum(weight) AS d FROM b GROUP BY src)
+    SELECT src AS i, dst AS j, round(-weight / sqrt(x.d * y.d), 9) AS value FROM b JOIN d x ON x.id = src JOIN d y ON y.id = dst UNION ALL SELECT id, id, 1.0 FROM d""")
+def laplacian_entries(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, edges = _sem_graph(spark, sf_dir)
+    return spectral.laplacian(nodes, edges).withColumn("value", F.round("value", 9))
+
+
+def _coords(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, edges = _sem_graph(spark, sf_dir)
+    placed = nodes.select("id", F.col("id").alias("position"), F.lit(nodes.count()).alias("doc_size"))
+    return spectral.coordinates(placed, spectral.laplacian(nodes, edges), 8)
+
+
+@query()
+def spectral_coords(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _coords(spark, sf_dir)
+
+
+@query()
+def multiplex_coords(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes = t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"))
+    entries = spectral.multiplex(nodes, _raw(spark, sf_dir), {"semantic": 0.5, "section": 0.3, "adjacency": 0.2})
+    return spectral.coordinates(nodes.select("id", F.col("id").alias("position"), F.lit(nodes.count()).alias("doc_size")), entries, 8)
+
+
+@query()
+def kmeans_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spectral.cluster_labels(_coords(spark, sf_dir))
+
+
+@query()
+def ppr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, edges = _sem_graph(spark, sf_dir)
+    seeds = nodes.where("id < 20").select((F.col("id") % 4).alias("query_id"), "id")
+    return diffusion.ppr_proximity(graph.expand(seeds, edges), seeds, edges)
+
+
+# -- views, sources, sessions ----------------------------------------------------------------------------
+
+
+@query("""
+    WITH x AS (SELECT unnest(range(len(embedding))) AS dim, unnest(CAST(embedding AS DOUBLE[])) AS v FROM embeddings), s AS (SELECT CAST(dim AS INTEGER) AS dim, var_pop(v) AS variance FROM x GROUP BY dim)
+    SELECT dim, round(variance, 12) AS variance, CAST(row_number() OVER (ORDER BY round(variance, 12) DESC, dim) AS INTEGER) AS rank FROM s QUALIFY rank <= 3""")
+def axis_variance(spark: SparkSession, sf_dir: str) -> DataFrame:
+    got = vx.axis_variance(t(spark, sf_dir, "embeddings").select(F.col("embedding").alias("v")))
+    return got.withColumn("variance", F.round("variance", 12))
+
+
+@query(f"""
+    WITH {_COMB} SELECT src, dst, CASE WHEN greatest(semantic, section, adjacency) = 0 THEN NULL WHEN semantic = greatest(semantic, section, adjacency) THEN 'semantic'
+        WHEN section = greatest(semantic, section, adjacency) THEN 'section' ELSE 'adjacency' END AS dominant FROM (SELECT src, dst, round_even(semantic, 4) AS semantic, round_even(section, 4) AS section, round_even(adjacency, 4) AS adjacency FROM comb)""")
+def dominant_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return view.edge_view(_graph(spark, sf_dir)).select("src", "dst", "dominant")
+
+
+@query()
+def signal_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return view.signal_breakdown(_graph(spark, sf_dir)).select("src", "dst", F.to_json("breakdown").alias("breakdown"))
+
+
+@query()
+def graph_nodes_view(spark: SparkSession, sf_dir: str) -> DataFrame:
+    nodes, edges = _sem_graph(spark, sf_dir)
+    chunks = t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_idx"), F.concat(F.lit("vector "), F.col("vec_id")).alias("text"), F.lit("/v").alias("source"), F.lit("v").alias("doc_id"), F.col("vec_id").alias("position"), F.array().cast("array<string>").alias("section_path"), F.col("embedding").cast("array<double>").alias("coords"))
+    every = edges.select("src", "dst", "weight", F.col("weight").alias("semantic"), *(F.lit(0.0).alias(s) for s in ("section", "entity", "adjacency", "utility_question", "citation")))
+    return view.graph_payload(chunks, every)[0].drop("section_path")
+
+
+@query("""
+    SELECT conv_id, count(*) AS n_messages, sum(CASE WHEN role = 'user' THEN 1 ELSE 0 END)::BIGINT AS n_user, sum(CASE WHEN role = 'assistant' THEN 1 ELSE 0 END)::BIGINT AS n_assistant,
+        arg_min(text, (turn, text)) AS first_text, arg_max(text, (turn, text)) AS last_text, sum(length(text))::BIGINT AS n_chars FROM conversations GROUP BY conv_id""")
+def conversation_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return session_summary(t(spark, sf_dir, "conversations"))
+
+
+@query()
+def html_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return t(spark, sf_dir, "pages").select("page_id", html_text(F.col("html")).alias("text"))
+
+
+@query()
+def structural_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents through the chunker with the default settings."""
+    return chunking.chunk_documents(documents_from_table(t(spark, sf_dir, "documents"))).drop("references", "section_path")
+
+
+@query("""SELECT date_trunc('hour', ts) AS start, event_type, count(*) AS n, round(sum(value), 4) AS total FROM events GROUP BY 1, 2""")
+def event_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return windowed_activity(t(spark, sf_dir, "events"))
+
+
+@query("""
+    SELECT page_id, array_to_string(list_filter(string_split_regex(regexp_replace(url, '^[a-z]+://', ''), '[/?#]'), lambda p: p <> '')[1:3], '/') AS path, string_split(url, '/')[-1] AS basename FROM pages""")
+def page_paths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return t(spark, sf_dir, "pages").select("page_id", F.array_join(url_section_path(F.col("url")), "/").alias("path"), tx.basename(F.col("url")).alias("basename"))
+
+
+@query("""
+    WITH v AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings)
+    SELECT vec_id, round(sqrt(list_inner_product(e, e)), 9) AS norm, round(list_sum(list_transform(e, lambda x: abs(x))) / sqrt(list_inner_product(e, e)), 9) AS l1_of_unit FROM v""")
+def vector_norms(spark: SparkSession, sf_dir: str) -> DataFrame:
+    v = F.col("embedding").cast("array<double>")
+    unit = vx.l2_normalise(v)
+    return t(spark, sf_dir, "embeddings").select("vec_id", F.round(F.sqrt(vx.dot(v, v)), 9).alias("norm"), F.round(F.aggregate(unit, F.lit(0.0), lambda s, x: s + F.abs(x)), 9).alias("l1_of_unit"))
+
+
