@@ -112,8 +112,9 @@ class ShardStore:
         if not files:
             return []
         counts = {r["path"]: r["n"] for r in self.spark.read.parquet(folder).groupBy(F.col("_metadata.file_path").alias("path")).agg(F.count(F.lit(1)).alias("n")).collect()}
-        by_name = {p.rsplit("/", 1)[-1]: n for p, n in counts.items()}
-        return [{"path": p, "bytes": b, "rows": by_name.get(p.rsplit("/", 1)[-1], 0), "arrival": arrival, "tier": self.tier(b)} for p, b in files]
+        inside = lambda p: p.split(folder.rsplit("/", 1)[-1], 1)[1]  # noqa: E731  two arrivals may hold files of one name
+        rows = {inside(p): n for p, n in counts.items()}
+        return [{"path": p, "bytes": b, "rows": rows.get(inside(p), 0), "arrival": arrival, "tier": self.tier(b)} for p, b in files]
 
     # -- operations --------------------------------------------------------------------------------------
 
