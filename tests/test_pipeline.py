@@ -141,3 +141,28 @@ def test_providers_are_deterministic(spark):
     rows = spark.createDataFrame([("The quick brown fox. It met Ada Lovelace there, with Grace Hopper.",), (None,)], "t string")
     a, b = (rows.select(p.embed(F.col("t"), "document").alias("v"), p.entities(F.col("t")).alias("e")).collect() for _ in range(2))
     assert a == b and [e["text"] for e in a[0]["e"]] == ["Ada Lovelace", "Grace Hopper"]
+
+
+def test_settings_from_the_environment():
+    from weftline.config import from_env
+
+    c = from_env(env={"WEFTLINE_RETRIEVAL_SEED_K": "30", "WEFTLINE_RETRIEVAL_BACKFILL": "false", "WEFTLINE_FALLBACK_LANGUAGE": "de"})
+    assert (c.retrieval.seed_k, c.retrieval.backfill, c.fallback_language, c.retrieval.hops) == (30, False, "de", 2)
+
+
+def test_missing_vectors_are_an_error(spark):
+    from weftline.operators.providers import require_embedded
+
+    rows = spark.createDataFrame([(1, None)], "chunk_idx long, embedding array<float>")
+    with pytest.raises(Exception, match="has no embedding"):
+        require_embedded(rows).collect()
+
+
+def test_command_line(spark, tmp_path, capsys):
+    from weftline.__main__ import main
+
+    for i in range(6):
+        (tmp_path / f"d{i}.txt").write_text(f"Topic{i} is about number {i}. " * 20)
+    assert main(["index", str(tmp_path / "ix"), *(str(tmp_path / f"d{i}.txt") for i in range(6))]) == 0
+    assert main(["query", str(tmp_path / "ix"), "What is topic3 about?"]) == 0
+    assert "Topic3" in capsys.readouterr().out

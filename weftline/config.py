@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, field
+import os
+from collections.abc import Mapping
+from dataclasses import dataclass, field, fields, replace
 
 #: Signal names in their fixed order; ties between signals go to the earlier one.
 SIGNALS = ("semantic", "section", "entity", "adjacency", "utility_question", "citation")
@@ -111,3 +113,21 @@ class Config:
     view: View = field(default_factory=View)
     fallback_language: str = "en"
     embedding_dim: int = 256
+
+
+def from_env(base: Config | None = None, env: Mapping[str, str] | None = None, prefix: str = "WEFTLINE_") -> Config:
+    """The settings with those that the environment gives: WEFTLINE_RETRIEVAL_SEED_K=30, for one."""
+    config, env = base or Config(), os.environ if env is None else env
+    out = {}
+    for part in fields(config):
+        group = getattr(config, part.name)
+        if hasattr(group, "__dataclass_fields__"):
+            given = {}
+            for f in fields(group):
+                if (raw := env.get(f"{prefix}{part.name}_{f.name}".upper())) is not None:
+                    old = getattr(group, f.name)
+                    given[f.name] = raw.lower() in ("1", "true", "yes") if isinstance(old, bool) else type(old)(raw)
+            out[part.name] = replace(group, **given)
+        elif (raw := env.get(f"{prefix}{part.name}".upper())) is not None:
+            out[part.name] = type(group)(raw)
+    return replace(config, **out)

@@ -103,6 +103,12 @@ def default_providers(dim: int = 256) -> Providers:
     return Providers(embed=hashed_embedding(dim))
 
 
+def require_embedded(chunks: DataFrame, column: str = "embedding") -> DataFrame:
+    """The same rows; reading one without a vector is an error."""
+    v = F.col(column)
+    return chunks.withColumn(column, F.when(v.isNull(), F.raise_error(F.lit(f"a chunk has no {column}"))).otherwise(v))
+
+
 def cached(texts: DataFrame, cache: DataFrame | None, compute: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
     """Values by content: rows (key, text) and a cache (key, value) give all values and the rows to add to the cache.
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
@@ -11,7 +12,7 @@ from weftline.config import SIGNALS, Config, EdgeWeights
 from weftline.functions.vectors import dot
 from weftline.operators import diffusion, graph, lexical, retrieval, selection, signals, spectral, weights
 from weftline.operators.chunking import chunk_documents, numbered
-from weftline.operators.providers import Providers, default_providers, entity_terms
+from weftline.operators.providers import Providers, default_providers, entity_terms, require_embedded
 from weftline.plans.view import context_blocks, context_texts
 from weftline.sources.stores import IndexStore
 
@@ -19,12 +20,15 @@ from weftline.sources.stores import IndexStore
 class Engine:
     """An index below one path, and the questions put to it."""
 
-    def __init__(self, spark: SparkSession, path: str, config: Config | None = None, providers: Providers | None = None):
+    def __init__(self, spark: SparkSession, path: str, config: Config | None = None, providers: Providers | None = None, on_step: Callable[[str], None] | None = None):
+        """on_step is told each step's name as it begins."""
         self.spark, self.path, self.config = spark, path.rstrip("/"), config or Config()
         self.providers = providers or default_providers(self.config.embedding_dim)
-        self.store = IndexStore(spark, self.path)
+        self.store, self.on_step = IndexStore(spark, self.path), on_step
 
     def _write(self, df: DataFrame, name: str) -> DataFrame:
+        if self.on_step:
+            self.on_step(name)
         target = f"{self.path}/work/{name}"
         df.write.mode("overwrite").parquet(target)
         return self.spark.read.parquet(target)
@@ -42,7 +46,7 @@ class Engine:
             raise ValueError("no text to index")
         rich = chunks.withColumn("language", p.language(F.col("text"), c.fallback_language)).withColumn("tokens", p.token_len(F.col("text")))
         rich = rich.withColumn("embedding", p.embed(F.col("text"), "document")).withColumn("utility_questions", p.questions(F.col("text"), c.indexing.questions_per_chunk))
-        rich = self._write(rich, "embedded")
+        rich = require_embedded(self._write(rich, "embedded"))
         raw = self._write(self.raw_edges(rich), "raw_edges")
         used = c.edge_weights
         nodes = rich.select(F.col("chunk_idx").alias("id"), "chunk_id", "doc_id", "position")

@@ -65,6 +65,12 @@ def graph_payload(chunks: DataFrame, edges: DataFrame, settings: View | None = N
     return view, edge_view(induced(edges, top.select("id"))), counts(nodes, edges)
 
 
+def payload_rows(nodes: DataFrame, edges: DataFrame, totals: DataFrame) -> DataFrame:
+    """The payload as JSON, a row for each node, each edge and the totals: (part, json)."""
+    as_json = lambda df, part: df.select(F.lit(part).alias("part"), F.to_json(F.struct(*df.columns)).alias("json"))
+    return as_json(nodes, "node").unionByName(as_json(edges, "edge")).unionByName(as_json(totals, "totals"))
+
+
 def score_buckets(scores: DataFrame) -> DataFrame:
     """Each score over the query's best, and its colour: high from .66, middle from .33, else low."""
     ratio = F.col("score") / F.max("score").over(Window.partitionBy("query_id"))
