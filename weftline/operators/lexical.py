@@ -30,17 +30,20 @@ def idf(df: Column, n: Column, mean_idf: Column) -> Column:
 def bm25_scores(docs: DataFrame, queries: DataFrame, id_col: str, text_col: str, query_id: str, query_text: str) -> DataFrame:
     """Rows (query_id, doc_id, score) for each query and document with a term in common.
 
-    Only terms that some query has are joined; frequencies of all terms are needed for the mean idf and are
-    counted with partial sums. Scores are rounded to six places, so that the order of additions can't matter.
+    Document frequencies of all terms (the mean idf needs them) come from each document's distinct terms, so only
+    partial counts by term are shuffled; frequencies within documents are counted for the queries' terms alone.
+    Scores are rounded to six places, so that the order of additions can't matter.
     """
-    lengths = docs.select(F.size(tokenize(F.col(text_col))).alias("len")).where("len >= 0")
-    corpus = lengths.agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg("len").alias("avgdl"))
-    post = postings(docs, id_col, text_col)
-    stats = post.groupBy("term").agg(F.count(F.lit(1)).cast("double").alias("df")).crossJoin(F.broadcast(corpus))  # one row
+    toks = docs.select(F.col(id_col).alias("id"), tokenize(F.col(text_col)).alias("toks")).where("toks is not null")
+    corpus = toks.agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg(F.size("toks")).alias("avgdl"))
+    found = toks.select(F.explode(F.array_distinct("toks")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).cast("double").alias("df"))
+    stats = found.crossJoin(F.broadcast(corpus))  # one row
+    wanted = query_terms(queries, query_id, query_text)
+    asked = wanted.select("term").distinct()
+    post = toks.select("id", F.size("toks").alias("len"), F.explode("toks").alias("term")).join(asked, "term", "left_semi").groupBy("id", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
     raw = F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
     mean = stats.agg(F.avg(raw).alias("mean_idf"))  # one row
-    wanted = query_terms(queries, query_id, query_text)
-    scored = stats.join(wanted.select("term").distinct(), "term", "left_semi").crossJoin(F.broadcast(mean)).withColumn("idf", idf(F.col("df"), F.col("n"), F.col("mean_idf")))
+    scored = stats.join(asked, "term", "left_semi").crossJoin(F.broadcast(mean)).withColumn("idf", idf(F.col("df"), F.col("n"), F.col("mean_idf")))
     hits = post.join(scored, "term").join(wanted, "term")
     tf = F.col("tf")
     part = F.col("qtf") * F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("len") / F.col("avgdl")))
