@@ -34,13 +34,14 @@ def bm25_scores(docs: DataFrame, queries: DataFrame, id_col: str, text_col: str,
     partial counts by term are shuffled; frequencies within documents are counted for the queries' terms alone.
     Scores are rounded to six places, so that the order of additions can't matter.
     """
-    toks = docs.select(F.col(id_col).alias("id"), tokenize(F.col(text_col)).alias("toks")).where("toks is not null")
+    # explode_outer: for explode the optimiser would add a filter that tokenises each text once more.
+    toks = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).alias("id"), tokenize(F.col(text_col)).alias("toks"))
     corpus = toks.agg(F.count(F.lit(1)).cast("double").alias("n"), F.avg(F.size("toks")).alias("avgdl"))
-    found = toks.select(F.explode(F.array_distinct("toks")).alias("term")).groupBy("term").agg(F.count(F.lit(1)).cast("double").alias("df"))
+    found = toks.select(F.explode_outer(F.array_distinct("toks")).alias("term")).where("term is not null").groupBy("term").agg(F.count(F.lit(1)).cast("double").alias("df"))
     stats = found.crossJoin(F.broadcast(corpus))  # one row
     wanted = query_terms(queries, query_id, query_text)
     asked = wanted.select("term").distinct()
-    post = toks.select("id", F.size("toks").alias("len"), F.explode("toks").alias("term")).join(asked, "term", "left_semi").groupBy("id", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
+    post = toks.select("id", F.size("toks").alias("len"), F.explode_outer("toks").alias("term")).join(asked, "term", "left_semi").groupBy("id", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
     raw = F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
     mean = stats.agg(F.avg(raw).alias("mean_idf"))  # one row
     scored = stats.join(asked, "term", "left_semi").crossJoin(F.broadcast(mean)).withColumn("idf", idf(F.col("df"), F.col("n"), F.col("mean_idf")))
