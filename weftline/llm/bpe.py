@@ -32,7 +32,7 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from weftline.llm.common import map_batches
+from weftline.llm.common import CLEANERS, map_batches
 
 #: White space of the rank files' pattern: the Unicode property White_Space.
 _SPACE = r"\t-\r \x85\xa0  -     　"
@@ -346,6 +346,9 @@ def machine(rank_path: str) -> Transducer:
     return out
 
 
+CLEANERS["bpe"] = machine.cache_clear
+
+
 def encode_texts(texts: Iterable[str | None], rank_path: str, pattern: str) -> Iterator[bytes]:
     """For each text its ids as little-endian unsigned 32-bit integers."""
     m, split = machine(rank_path), compiled_pattern(pattern)
@@ -384,7 +387,7 @@ def bpe_encode(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "doc
         flat = np.concatenate(coded) if coded else np.zeros(0, np.int32)
         return pa.RecordBatch.from_arrays([b.column(0), pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.int32()))], names=[id_col, "ids"])
 
-    return map_batches(docs.select(id_col, text_col), run, f"{id_col} {kind}, ids array<int>")
+    return map_batches(docs.select(id_col, text_col), run, f"{id_col} {kind}, ids array<int>", "bpe")
 
 
 def bpe_decode(coded: DataFrame, rank_path: str, id_col: str = "doc_id", ids_col: str = "ids") -> DataFrame:
@@ -395,7 +398,7 @@ def bpe_decode(coded: DataFrame, rank_path: str, id_col: str = "doc_id", ids_col
         texts = ["".join(decode_ids(np.array(x if x is not None else [], np.int64), rank_path)) for x in b.column(1).to_pylist()]
         return pa.RecordBatch.from_arrays([b.column(0), pa.array(texts, pa.string())], names=[id_col, "text"])
 
-    return map_batches(coded.select(id_col, ids_col), run, f"{id_col} {kind}, text string")
+    return map_batches(coded.select(id_col, ids_col), run, f"{id_col} {kind}, text string", "bpe")
 
 
 def bpe_digest(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -415,4 +418,4 @@ def bpe_digest(docs: DataFrame, rank_path: str, pattern: str, id_col: str = "doc
             text_sha.append(h.hexdigest())
         return pa.RecordBatch.from_arrays([b.column(0), pa.array(n, pa.int64()), pa.array(ids_sha), pa.array(text_sha)], names=[id_col, "n_tokens", "ids_sha256", "decoded_sha256"])
 
-    return map_batches(docs.select(id_col, text_col), run, f"{id_col} {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string")
+    return map_batches(docs.select(id_col, text_col), run, f"{id_col} {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string", "bpe")

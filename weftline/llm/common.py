@@ -7,6 +7,8 @@ documents of a batch; Python objects per word are made only where a dictionary n
 from __future__ import annotations
 
 import contextlib
+import ctypes
+import gc
 import uuid
 import zlib
 from collections.abc import Callable, Iterable, Iterator
@@ -25,7 +27,26 @@ LOWER = np.arange(256, dtype=np.uint8)
 LOWER[65:91] += 32
 
 #: Bytes of text that one step of a vectorised kernel takes at once.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 1 << 20
+
+
+#: What a worker keeps between tasks, by operator: functions that let go of it.
+CLEANERS: dict[str, Callable[[], None]] = {}
+_owner: list[str] = []
+
+
+def claim(owner: str) -> None:
+    """Called by a task: what another operator's tasks have left in this worker is given back first."""
+    if _owner[:1] == [owner]:
+        return
+    _owner[:] = [owner]
+    for name, clear in CLEANERS.items():
+        if name != owner:
+            clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    with contextlib.suppress(OSError, AttributeError):
+        ctypes.CDLL("libc.so.6").malloc_trim(0)
 
 
 def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -75,10 +96,11 @@ def fold_of(ids: Iterable[int], n: int) -> np.ndarray:
     return np.array([zlib.crc32(str(i).encode()) % n for i in ids], np.int64)
 
 
-def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch] | pa.RecordBatch], schema: str) -> DataFrame:
-    """mapInArrow with one call of fn for each batch."""
+def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch] | pa.RecordBatch], schema: str, owner: str = "") -> DataFrame:
+    """mapInArrow with one call of fn for each batch; owner: the operator, see claim()."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim(owner)
         for b in batches:
             if b.num_rows:
                 out = fn(b)

@@ -5,11 +5,12 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import crc_fold
+from weftline.llm.common import claim, crc_fold
 
 
 class Ftrl:
@@ -73,13 +74,19 @@ def _in_training(id_col: str, folds: int, held_out: int) -> Column:
 
 def fitted(sample: DataFrame, fit, schema: str) -> list:
     """Runs fit(pandas frame) in one task over a sample of bounded size and returns its few rows."""
-    return sample.groupBy(F.lit(1).alias("all")).applyInPandas(lambda pdf: fit(pdf.sort_values("id", kind="stable").reset_index(drop=True)), schema).collect()
+
+    def run(pdf: pd.DataFrame) -> pd.DataFrame:
+        claim("fit")
+        return fit(pdf.sort_values("id", kind="stable").reset_index(drop=True))
+
+    return sample.groupBy(F.lit(1).alias("all")).applyInPandas(run, schema).collect()
 
 
 def kept_rows(docs: DataFrame, scorer, keep, id_col: str, text_col: str) -> DataFrame:
     """The rows of docs that scorer() finds keep(score), whole, in one pass: rows are filtered where they are scored."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("")
         score = scorer()
         for b in batches:
             if b.num_rows:

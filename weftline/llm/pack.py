@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import discard, written
+from weftline.llm.common import CLEANERS, claim, discard, written
 
 CAPACITY = 2048
 END_ID = 0
@@ -116,6 +116,9 @@ def word_tokenizer(path: str) -> WordTokenizer:
     return WordTokenizer(path)
 
 
+CLEANERS["pack"] = word_tokenizer.cache_clear
+
+
 def pieces_of(ids: bytes, capacity: int) -> Iterator[tuple[int, int, int, int]]:
     """(piece, start, length, crc32) of a document's ids."""
     step = 4 * capacity
@@ -130,6 +133,7 @@ def packed_pieces(docs: DataFrame, vocab_path: str, capacity: int = CAPACITY, id
     names = [id_col, "piece", "start", "length", "ids_crc32", "bin", "offset", "fill"]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("pack")
         tok = word_tokenizer(vocab_path)
         rows: list[list] = [[] for _ in range(5)]
         base = TaskContext.get().partitionId() << 36

@@ -193,6 +193,9 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs whose id names their group: one document of each group stays, with all its columns."""
+    """One document of each group stays, with all its columns: the one whose id is the group's smallest.
+
+    Ids name documents; rows that repeat an id stay or go together.
+    """
     kept = near_duplicates(docs, id_col, text_col).where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("kept_id")).distinct()
     return docs.join(kept, docs[id_col] == kept["kept_id"], "left_semi")
