@@ -9,6 +9,7 @@ from pathlib import Path
 
 from pyspark.sql import SparkSession
 
+BATCH_ROWS = "spark.sql.execution.arrow.maxRecordsPerBatch"
 PACKAGE = Path(__file__).resolve().parent
 
 
@@ -31,6 +32,8 @@ def session(app: str = "weftline", master: str | None = None, **conf: str) -> Sp
 def ship(spark: SparkSession) -> None:
     """Makes the package importable in every Python worker, once for each Spark context."""
     sc = spark.sparkContext
+    if spark.conf.get(BATCH_ROWS) == "10000":  # unless someone chose otherwise: texts can be long, and so batches large
+        spark.conf.set(BATCH_ROWS, "2000")
     if getattr(sc, "_weftline_shipped", False):
         return
     folder = tempfile.mkdtemp(prefix="weftline-")
