@@ -46,7 +46,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import LOWER, mix, read_table, slices, span_hashes, text_buffer, words, written
+from weftline.llm.common import LOWER, claim, mix, read_table, slices, span_hashes, text_buffer, words, written
 
 __all__ = ["katz_scores", "read_table"]
 
@@ -55,7 +55,7 @@ CLASSES = 5
 BOS, END = np.uint64(1), np.uint64(2)
 MASK = np.uint64((1 << 56) - 1)
 #: Text and documents of a chunk, at most (a longer document is a chunk of its own).
-CHUNK_TEXT, CHUNK_DOCS = 12 << 20, 60_000
+CHUNK_TEXT, CHUNK_DOCS = 6 << 20, 60_000
 #: A word is dealt out by history if it is more than 1 / (HOT_SHARE x buckets) of all tokens.
 HOT_SHARE = 4
 #: Counts above 5 are lowered by this, so that a history whose successors are all frequent still backs off.
@@ -76,12 +76,26 @@ def unpack_ids(b: bytes) -> np.ndarray:
     return out.view("<u8")[:, 0]
 
 
+#: Shorter columns are left as they are.
+SHORT = 128
+_tools: list = []
+
+
 def pack(a: np.ndarray, kind: str) -> bytes:
-    return zstandard.ZstdCompressor(level=1).compress(a.astype(kind).tobytes())
+    raw = a.astype(kind).tobytes()
+    if len(raw) < SHORT:
+        return b"\0" + raw
+    if not _tools:
+        _tools.extend((zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()))
+    return b"\1" + _tools[0].compress(raw)
 
 
 def unpack(b: bytes, kind: str) -> np.ndarray:
-    return np.frombuffer(zstandard.ZstdDecompressor().decompress(b), kind)
+    if b[:1] == b"\0":
+        return np.frombuffer(b, kind, offset=1)
+    if not _tools:
+        _tools.extend((zstandard.ZstdCompressor(level=1), zstandard.ZstdDecompressor()))
+    return np.frombuffer(_tools[1].decompress(memoryview(b)[1:]), kind)
 
 
 def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
@@ -95,10 +109,15 @@ def ranges(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
 
 def token_ids(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Ids of all texts' tokens, ends included, and how many each text has."""
-    low = LOWER[data]
-    s, e, counts = words(low, offs)
-    h = (span_hashes(low, s, e) if len(s) else np.zeros(0, np.uint64)) & MASK
-    h = np.where(h < 16, h + np.uint64(16), h)
+    hashes, sizes = [np.zeros(0, np.uint64)], [np.zeros(0, np.int64)]
+    for i, j in slices(offs):  # hashing needs a multiple of the text's memory, so it goes by parts
+        low = LOWER[data[offs[i] : offs[j]]]
+        s, e, n = words(low, offs[i : j + 1] - offs[i])
+        sizes.append(n)
+        if len(s):
+            h = span_hashes(low, s, e) & MASK
+            hashes.append(np.where(h < 16, h + np.uint64(16), h))
+    h, counts = np.concatenate(hashes), np.concatenate(sizes)
     out = np.empty(len(h) + len(counts), np.uint64)
     out[np.arange(len(h)) + np.repeat(np.arange(len(counts)), counts)] = h
     out[np.cumsum(counts + 1) - 1] = END
@@ -129,10 +148,10 @@ def word_counts(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
                 t, _ = token_ids(data[offs[i] : offs[j]], offs[i : j + 1] - offs[i])
                 kept.append(np.unique(t, return_counts=True))
                 size += len(kept[-1][0])
-                if size > 2_000_000:
+                if size > 1_000_000:
                     kept = [merged()]
                     size = len(kept[0][0])
-                    if size > 1_500_000:
+                    if size > 700_000:
                         yield pa.RecordBatch.from_arrays([pa.array(kept[0][0].view(np.int64)), pa.array(kept[0][1])], names=["word", "n"])
                         kept, size = [], 0
         if kept:
@@ -200,6 +219,7 @@ def flow(docs: DataFrame, id_col: str, text_col: str, hot, buckets: int) -> Data
     schema = pa.schema([("bucket", pa.int32()), ("chunk", pa.int64()), ("kind", pa.int32()), *((c, pa.binary()) for c in _FLOW_COLUMNS[3:])])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("katz")
         base = TaskContext.get().partitionId() << 24
         made = 0
         hot_words = hot.value[0]
@@ -359,18 +379,26 @@ def count_bucket(rows: list[dict], model: Model, hot: np.ndarray, hot_counts: np
         gains.add(rows[src[a]]["chunk"], d[a:b], seen[a:b], logs[a:b], base[a:b], known[a:b])
     # Sums over successors, for the histories' backoff weights.
     live = n_pair > 0
-    m = class_counts(word_of_pair[live])
-    histories.append((pc[live], n_pair[live], class_counts(n_pair[live]), m, np.where(word_of_pair[live] > CLASSES, word_of_pair[live], 0)))
+    c_live, w_live = n_pair[live], word_of_pair[live]
+    histories.append((pc[live], c_live, np.minimum(c_live, COLUMNS).astype(np.uint8), np.minimum(w_live, COLUMNS).astype(np.uint8), np.where(w_live > CLASSES, w_live, 0)))
     chunk = np.array([r["chunk"] for r in rows], np.int64)
     used.append((pc[entry_pair[is_held]], chunk[src[is_held]], d[is_held], np.where(cp[is_held] > 0, k[is_held], 0), np.where(back[is_held], k[is_held], 0)))
 
 
-def sum_histories(histories: list) -> tuple[np.ndarray, ...]:
-    c = np.concatenate([h[0] for h in histories])
-    u, inverse = np.unique(c, return_inverse=True)
+def sum_pairs(histories: list) -> tuple[np.ndarray, ...]:
+    """Each history's sums over its successors: tokens, successors by class of the bigram's and of the word's count, large counts."""
+    u, inverse = np.unique(np.concatenate([h[0] for h in histories]), return_inverse=True)
+    total = lambda i: np.bincount(inverse, weights=np.concatenate([h[i] for h in histories]), minlength=len(u)).astype(np.int64)
+    classes = lambda i: np.bincount(inverse * 8 + np.concatenate([h[i] for h in histories]), minlength=8 * len(u)).reshape(-1, 8)[:, 1 : COLUMNS + 1]
+    return u, total(1), classes(2), classes(3), total(4)
+
+
+def sum_histories(parts: list) -> tuple[np.ndarray, ...]:
+    """The same of several sums."""
+    u, inverse = np.unique(np.concatenate([h[0] for h in parts]), return_inverse=True)
     total = lambda x: np.bincount(inverse, weights=x, minlength=len(u)).astype(np.int64)
-    n, m = (np.concatenate([h[i] for h in histories]) for i in (2, 3))
-    return (u, total(np.concatenate([h[1] for h in histories])), np.stack([total(n[:, r]) for r in range(COLUMNS)], 1), np.stack([total(m[:, r]) for r in range(COLUMNS)], 1), total(np.concatenate([h[4] for h in histories])))
+    n, m = (np.concatenate([h[i] for h in parts]) for i in (2, 3))
+    return (u, total(np.concatenate([h[1] for h in parts])), np.stack([total(n[:, r]) for r in range(COLUMNS)], 1), np.stack([total(m[:, r]) for r in range(COLUMNS)], 1), total(np.concatenate([h[4] for h in parts])))
 
 
 def sum_used(used: list) -> tuple[np.ndarray, ...]:
@@ -387,7 +415,7 @@ def history_rows(histories: list, used: list, hot: np.ndarray, buckets: int) ->
     """What a task passes on to the histories' buckets, and the frequent histories apart."""
     if not histories:
         return
-    u, total, n, m, s = sum_histories(histories)
+    u, total, n, m, s = sum_pairs(histories)
     hu, chunk, d, k, back = sum_used(used)
     names = np.append(hot, BOS)
     is_hot = np.isin(u, names)
@@ -416,7 +444,7 @@ def history_rows(histories: list, used: list, hot: np.ndarray, buckets: int) ->
             yield {"kind": 6, "chunk": int(chunk[part[0]]), "c": pack(hu[part], "<u8"), "d": pack(d[part], "<u2"), "k": pack(k[part], "<u4"), "back": pack(back[part], "<u4")}
 
 
-def count_all(flowing: DataFrame, partitions: int, model, hot, buckets: int, ids_type: str) -> DataFrame:
+def count_all(flowing: DataFrame, partitions: int, model, hot, ids_type: str) -> DataFrame:
     arrow_ids = None
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -449,12 +477,12 @@ def count_all(flowing: DataFrame, partitions: int, model, hot, buckets: int, ids
             if mine:
                 count_bucket(mine, model.value, words_, counts_, gains, histories, used, counts_of)
                 pending += len(histories[-1][0]) + len(used[-1][0])
-            if pending > 4_000_000:
-                yield from emit(history_rows(histories, used, words_, buckets))
+            if pending > 1_500_000:
+                yield from emit(history_rows(histories, used, words_, partitions))
                 histories, used, pending = [], [], 0
         yield from emit(iter(passing))
         yield from emit(gains.rows())
-        yield from emit(history_rows(histories, used, words_, buckets))
+        yield from emit(history_rows(histories, used, words_, partitions))
         if counts_of.any():
             yield out_batch([{"kind": 7, **{f"n{r}": int(counts_of[r]) for r in range(1, CLASSES + 1)}, "total": int(counts_of[CLASSES + 1])}], arrow_ids)
 
@@ -513,7 +541,7 @@ def katz_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     spark = docs.sparkSession
     kind = docs.schema[id_col].dataType.simpleString()
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    buckets = 4 * partitions
+    buckets = 2 * partitions
     unigrams = written(word_counts(docs, id_col, text_col), "unigrams")
     first = unigrams.agg(F.sum("n").alias("tokens"), F.count(F.lit(1)).alias("types"), *(F.count(F.when(F.col("n") == r, 1)).alias(f"n{r}") for r in range(1, CLASSES + 2))).first()
     tokens = first["tokens"] or 0
@@ -528,7 +556,7 @@ def katz_scores(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "256")
     spark.conf.set("spark.sql.classic.shuffleDependency.fileCleanup.enabled", "true")
     try:
-        counted = written(count_all(flow(docs, id_col, text_col, hot, buckets), partitions, model, hot, buckets, kind), "bigrams")
+        counted = written(count_all(flow(docs, id_col, text_col, hot, buckets), partitions, model, hot, kind), "bigrams")
         seen = counted.where("kind = 7").agg(*(F.sum(f"n{r}").alias(f"n{r}") for r in range(1, CLASSES + 1)), F.sum("total").alias("n6")).first()
         d2 = discounts({r: seen[f"n{r}"] or 0 for r in range(1, CLASSES + 2)})
         sums = [F.sum(c).alias(c) for c in ("total", "big", *(f"{x}{r}" for x in "nm" for r in range(1, COLUMNS + 1)))]
