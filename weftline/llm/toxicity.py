@@ -79,8 +79,8 @@ def distinct_features(texts: pa.Array) -> list[np.ndarray]:
 
 
 def unlike(found: list[np.ndarray]) -> np.ndarray:
-    """One text of each group with the same three smallest hashes: copies would make their common words telling."""
-    _, first = np.unique(np.array([f[:3].tobytes() for f in found], dtype=object), return_index=True)
+    """One text of each group with the same ten smallest hashes: copies would make their common words telling."""
+    _, first = np.unique(np.array([f[:10].tobytes() for f in found], dtype=object), return_index=True)
     return np.sort(first)
 
 
