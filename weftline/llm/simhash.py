@@ -147,30 +147,35 @@ def links_of(cell: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 def near_links(distinct: DataFrame) -> DataFrame:
-    """Links (a, b) that join the same components as all pairs of fp at most NEAR bits apart."""
+    """Links (a, b) between names that join the same components as all pairs of fp at most NEAR bits apart; rows (fp, name)."""
 
     def spread(b: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         fp = b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)
+        name = b.column(1).to_numpy(zero_copy_only=False)
         for i in range(0, len(fp), 20_000):
-            cell, owner = cells_of(fp[i : i + 20_000])
-            yield pa.RecordBatch.from_arrays([pa.array(cell.view(np.int64)), pa.array(owner.view(np.int64))], names=["cell", "fp"])
+            order = np.argsort(fp[i : i + 20_000])
+            known, names = fp[i : i + 20_000][order], name[i : i + 20_000][order]
+            cell, owner = cells_of(known)
+            yield pa.RecordBatch.from_arrays([pa.array(cell.view(np.int64)), pa.array(owner.view(np.int64)), pa.array(names[np.searchsorted(known, owner)])], names=["cell", "fp", "name"])
 
     def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held_cell, held_fp = np.zeros(0, np.uint64), np.zeros(0, np.uint64)
+        cell, fp, name = np.zeros(0, np.uint64), np.zeros(0, np.uint64), np.zeros(0, np.int64)
         for b in _and_end(batches):
             if b is not None:
-                held_cell = np.concatenate([held_cell, b.column(0).to_numpy(zero_copy_only=False).view(np.uint64)])
-                held_fp = np.concatenate([held_fp, b.column(1).to_numpy(zero_copy_only=False).view(np.uint64)])
-                cut = int(np.searchsorted(held_cell.view(np.int64), held_cell.view(np.int64)[-1])) if len(held_cell) else 0
+                columns = [c.to_numpy(zero_copy_only=False) for c in b.columns]
+                cell, fp, name = np.concatenate([cell, columns[0].view(np.uint64)]), np.concatenate([fp, columns[1].view(np.uint64)]), np.concatenate([name, columns[2]])
+                cut = int(np.searchsorted(cell.view(np.int64), cell.view(np.int64)[-1])) if len(cell) else 0  # the last cell may go on
             else:
-                cut = len(held_cell)
+                cut = len(cell)
             if cut:
-                a, c = links_of(held_cell[:cut], held_fp[:cut])
-                if len(a):
-                    yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(c.view(np.int64))], names=["a", "b"])
-                held_cell, held_fp = held_cell[cut:], held_fp[cut:]
-
-    cells = map_batches(distinct.select("fp"), spread, "cell long, fp long")
+                x, y = links_of(cell[:cut], fp[:cut])
+                if len(x):
+                    known, first = np.unique(fp[:cut], return_index=True)
+                    names = name[:cut][first]
+                    yield pa.RecordBatch.from_arrays([pa.array(names[np.searchsorted(known, v)]) for v in (x, y)], names=["a", "b"])
+                cell, fp, name = cell[cut:], fp[cut:], name[cut:]
+
+    cells = map_batches(distinct.select("fp", "name"), spread, "cell long, fp long, name long")
     n = int(distinct.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     return cells.repartition(n, "cell").sortWithinPartitions("cell").mapInArrow(compare, "a long, b long")
 
@@ -180,15 +185,23 @@ def _and_end(batches: Iterator) -> Iterator:
     yield None
 
 
+#: Names of fingerprints that only rows without an id have; ids are below.
+NAMELESS = 1 << 62
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Rows (id, fingerprint, component_id), one for each row of docs; component_id is the smallest id reachable."""
+    """Rows (id, fingerprint, component_id), one for each row of docs; component_id is the smallest id reachable.
+
+    Ids are whole numbers below 2**62. Each distinct fingerprint goes by its smallest id, so the smallest name of a
+    component is its id and nothing is grouped by component. Rows without an id link too, but give no name: among
+    themselves their component is null. Rows that repeat an id are one document, and so in one component.
+    """
     marked = written(fingerprints(docs, id_col, text_col), "fingerprints")
-    distinct = written(marked.groupBy("fp").agg(F.min(id_col).alias("least")), "distinct")
+    nameless = F.lit(NAMELESS).cast("long") + F.col("fp").bitwiseAND(F.lit((1 << 61) - 1))
+    distinct = written(marked.groupBy("fp").agg(F.min(F.col(id_col).cast("long")).alias("least")).select("fp", F.coalesce("least", nameless).alias("name")), "distinct")
     links = components(near_links(distinct))
-    # Roots are fingerprints; the smallest id of all that share a root is the component's name.
-    named = distinct.join(links, distinct["fp"] == links["node"], "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
-    names = named.groupBy("root").agg(F.min("least").alias("component_id"))
-    of = written(named.join(names, "root").select("fp", "component_id"), "components")
+    root = F.coalesce("root", "name")
+    of = written(distinct.join(links, distinct["name"] == links["node"], "left").select("fp", F.when(root < NAMELESS, root).alias("component_id")), "components")
     return marked.join(of, "fp").select(id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
