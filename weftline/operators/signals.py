@@ -70,19 +70,28 @@ def section(chunks: DataFrame, max_members: int = 100) -> DataFrame:
     return _edges(pairs, "section")
 
 
+#: Chunks of a key that are joined with one another at once.
+PAIR_BLOCK = 512
+
+
 def shared_keys(keys: DataFrame, signal: str, min_freq: int = 2, max_members: int | None = None) -> DataFrame:
     """Number of keys two chunks share over the largest such number; rows (chunk_idx, key), each once.
 
     Keys in fewer than min_freq chunks link nothing and go before the join. With max_members a key links only
-    its first chunks in corpus order; without it a key in n chunks gives n (n - 1) / 2 pairs, as defined.
+    its first chunks in corpus order; without it a key in n chunks gives n (n - 1) / 2 pairs, as defined. A key's
+    chunks are dealt into blocks of about PAIR_BLOCK, and each two blocks meet on their own, so no key is one task.
     """
     once = keys.distinct()
-    often = once.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= min_freq).select("key")
-    kept = once.join(often, "key", "left_semi")
+    often = once.groupBy("key").agg(F.count(F.lit(1)).alias("members")).where(F.col("members") >= min_freq)
+    kept = once.join(often, "key")
     if max_members is not None:
         kept = kept.withColumn("nth", F.row_number().over(Window.partitionBy("key").orderBy("chunk_idx"))).where(F.col("nth") <= max_members).drop("nth")
-    a, b = kept.select("key", F.col("chunk_idx").alias("i")), kept.select("key", F.col("chunk_idx").alias("j"))
-    pairs = a.join(b, "key").where("i < j").groupBy("i", "j").agg(F.count(F.lit(1)).cast("double").alias("n"))
+    blocks = F.ceil(F.col("members") / PAIR_BLOCK).cast("long")
+    dealt = kept.select("key", "chunk_idx", blocks.alias("blocks"), F.pmod(F.xxhash64("chunk_idx"), blocks).alias("own"))
+    a = dealt.select("key", F.col("chunk_idx").alias("i"), F.col("own").alias("x"), F.explode(F.sequence("own", F.col("blocks") - 1)).alias("y"))
+    b = dealt.select("key", F.col("chunk_idx").alias("j"), F.col("own").alias("y"), F.explode(F.sequence(F.lit(0).cast("long"), "own")).alias("x"))
+    met = a.join(b, ["key", "x", "y"]).where("x < y or i < j").select(F.least("i", "j").alias("i"), F.greatest("i", "j").alias("j"))
+    pairs = met.groupBy("i", "j").agg(F.count(F.lit(1)).cast("double").alias("n"))
     most = pairs.agg(F.max("n").alias("most"))  # one row
     return pairs.crossJoin(F.broadcast(most)).select(F.lit(signal).alias("signal"), "i", "j", (F.col("n") / F.col("most")).alias("score"))
 

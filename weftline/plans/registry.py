@@ -299,9 +299,9 @@ def entity_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     p AS (SELECT a.id AS i, b.id AS j, CAST(count(*) AS DOUBLE) AS n FROM c a JOIN c b ON a.key = b.key AND a.id < b.id GROUP BY 1, 2)
     SELECT 'citation' AS signal, i, j, n / max(n) OVER () AS score FROM p""")
 def citation_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Links that pages share; a link joins its first 50 pages (the operator's member limit)."""
+    """Links that pages share."""
     keys = t(spark, sf_dir, "pages").select(F.col("page_id").alias("chunk_idx"), F.explode(F.regexp_extract_all("html", F.lit('href="([^"]+)"'), F.lit(1))).alias("key"))
-    return signals.shared_keys(keys, "citation", 2, 50)
+    return signals.shared_keys(keys, "citation", 2)
 
 
 @query()
