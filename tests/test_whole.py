@@ -29,3 +29,12 @@ def test_citation_links_all_pages_of_a_link(spark, tmp_path, monkeypatch, block)
     spark.createDataFrame(rows, "page_id long, url string, html string").write.parquet(str(tmp_path / "pages.parquet"))
     got = edges_of(QUERIES["citation_edges"](spark, str(tmp_path)))
     assert len(got) == 70 * 69 // 2 and got == pytest.approx(shared_by_hand(keys))
+
+
+def test_entity_links_terms_of_many_documents(spark, tmp_path):
+    """A term in 14 documents links them all; short terms and those of one document link nothing."""
+    keys = {i: {"frequency"} | ({"rareterm"} if i < 3 else set()) | {f"unshared{i}"} for i in range(14)}
+    rows = [(i, " ".join(["tiny", *sorted(ks), *sorted(ks)])) for i, ks in keys.items()]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    got = edges_of(QUERIES["entity_edges"](spark, str(tmp_path)))
+    assert len(got) == 14 * 13 // 2 and got == pytest.approx(shared_by_hand(keys))

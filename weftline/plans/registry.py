@@ -281,10 +281,9 @@ _TERMS = """
 
 
 def _entity(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Terms of eight letters or more that are in 2 to 10 documents."""
+    """Terms of eight letters or more that are in two documents at least."""
     terms = t(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_idx"), F.explode(F.array_distinct(tx.tokenize(F.col("text")))).alias("key")).where(F.length("key") >= 8)
-    fine = terms.groupBy("key").agg(F.count(F.lit(1)).alias("n")).where(F.col("n").between(2, 10)).select("key")
-    return signals.shared_keys(terms.join(fine, "key", "left_semi"), "entity", 2)
+    return signals.shared_keys(terms, "entity", 2)
 
 
 @query(f"WITH {_TERMS} SELECT 'entity' AS signal, i, j, round(score, 9) AS score FROM ent")
