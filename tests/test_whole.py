@@ -3,10 +3,13 @@
 from collections import Counter
 from itertools import combinations
 
+import numpy as np
 import pytest
+from test_oracle import con, rows_of  # noqa: F401
 
-from weftline.operators import signals
-from weftline.plans.registry import QUERIES
+from weftline.operators import lexical, signals
+from weftline.operators.providers import default_providers
+from weftline.plans.registry import ORACLE_SQL, QUERIES
 
 
 def shared_by_hand(keys):
@@ -38,3 +41,43 @@ def test_entity_links_terms_of_many_documents(spark, tmp_path):
     spark.createDataFrame(rows, "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
     got = edges_of(QUERIES["entity_edges"](spark, str(tmp_path)))
     assert len(got) == 14 * 13 // 2 and got == pytest.approx(shared_by_hand(keys))
+
+
+#: What each query's SQL reads instead, to cover whole tables.
+SEARCH = {"WHERE q.vec_id < 10": "WHERE q.vec_id % 20 = 0"}
+TOP = "(SELECT id FROM node LEFT JOIN (SELECT id, count(*) AS n FROM (SELECT src AS id FROM edge UNION ALL SELECT dst FROM edge) GROUP BY id) USING (id) ORDER BY coalesce(n, 0) DESC, id LIMIT 200)"
+WHOLE = dict.fromkeys(("dense_topk", "question_seeds", "rrf_fusion", "seed_proximity_max", "seed_proximity_topk", "seed_proximity_weighted", "diffuse_blend"), SEARCH) | {
+    "bfs_2hop": {"SELECT id % 4 AS query_id, id, 0 AS hop FROM node WHERE id < 20": "SELECT id AS query_id, id, 0 AS hop FROM node WHERE id % 20 = 0"},
+    "subgraph": {"WHERE src < 200 AND dst < 200": f"WHERE src IN {TOP} AND dst IN {TOP}"},
+}
+
+
+@pytest.mark.parametrize("name", sorted(WHOLE))
+def test_same_rows_over_whole_tables(spark, sf_dir, con, name):  # noqa: F811
+    sql = ORACLE_SQL[name]
+    for part, whole in WHOLE[name].items():
+        assert part in sql or whole in sql
+        sql = sql.replace(part, whole)
+    mine, theirs = QUERIES[name](spark, sf_dir).toPandas(), con.sql(sql).df()
+    assert len(mine) and rows_of(mine) == rows_of(theirs[list(mine.columns)])
+
+
+def test_ppr_has_each_seed(spark, sf_dir):
+    asked = {r["query_id"] for r in QUERIES["ppr"](spark, sf_dir).select("query_id").distinct().collect()}
+    assert asked == {r["vec_id"] for r in spark.read.parquet(f"{sf_dir}/embeddings.parquet").where("vec_id % 20 = 0").select("vec_id").collect()}
+
+
+def test_hybrid_relevance_blends_bm25_of_all_pairs(spark, sf_dir):
+    docs, asked = spark.read.parquet(f"{sf_dir}/documents.parquet"), spark.read.parquet(f"{sf_dir}/benchmark.parquet")
+    embed = default_providers(64).embed
+    vectors = lambda df, i: {r[0]: np.array(r[1], np.float64) for r in df.select(i, embed(df["text"])).collect()}
+    x, q = vectors(docs, "doc_id"), vectors(asked, "item_id")
+    lex = {(r["query_id"], r["doc_id"]): max(r["score"], 0.0) for r in lexical.bm25_scores(docs, asked, "doc_id", "text", "item_id", "text").collect()}
+    want = {}
+    for k, v in q.items():
+        dense, high = {i: float(v @ w) for i, w in x.items()}, max(lex.get((k, i), 0.0) for i in x)
+        top = max(dense.values())
+        assert high > 0 and top > 0
+        want |= {(k, i): 0.7 * d / top + 0.3 * lex.get((k, i), 0.0) / high for i, d in dense.items()}
+    got = {(r["query_id"], r["chunk_idx"]): r["score"] for r in QUERIES["hybrid_relevance"](spark, sf_dir).collect()}
+    assert got.keys() == want.keys() and max(abs(got[k] - want[k]) for k in want) < 1e-8

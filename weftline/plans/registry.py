@@ -356,9 +356,9 @@ def degree_topn(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"WITH {_EDGE_SQL} SELECT src, dst, round(weight, 9) AS weight FROM edge WHERE src < 200 AND dst < 200")
 def subgraph(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The graph induced by the nodes below 200."""
+    """The graph induced by the 200 nodes with most edges."""
     nodes, edges = _sem_graph(spark, sf_dir)
-    return graph.induced(edges, nodes.where("id < 200")).select("src", "dst", F.round("weight", 9).alias("weight"))
+    return graph.induced(edges, graph.top_by_degree(nodes, edges, 200)).select("src", "dst", F.round("weight", 9).alias("weight"))
 
 
 @query(f"WITH {_EDGE_SQL} SELECT (SELECT count(*) FROM node) AS node_count, (SELECT count(*) FROM edge) AS edge_count, (SELECT count(*) FROM node) > 0 AS has_data")
@@ -381,8 +381,9 @@ def neighbour_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
     u2 AS (SELECT query_id, id, min(hop) AS hop FROM (SELECT * FROM c1 UNION ALL SELECT query_id, dst, 2 FROM c1 JOIN b ON b.src = c1.id WHERE hop = 1) GROUP BY 1, 2)
     SELECT query_id, id, CAST(hop AS INTEGER) AS hop FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY hop, id) AS n FROM u2) WHERE n <= 200""")
 def bfs_2hop(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each node whose id is divisible by 20 is the seed of a query of its own."""
     nodes, edges = _sem_graph(spark, sf_dir)
-    return graph.expand(nodes.where("id < 20").select((F.col("id") % 4).alias("query_id"), "id"), edges, 2, 200)
+    return graph.expand(nodes.where("id % 20 = 0").select(F.col("id").alias("query_id"), "id"), edges, 2, 200)
 
 
 @query(f"""
@@ -411,9 +412,9 @@ _DENSE = f"""
 
 
 def _dense(spark: SparkSession, sf_dir: str, k: int) -> DataFrame:
-    """The first ten vectors as queries over all."""
+    """The vectors whose id is divisible by 20 as queries over all."""
     v = _vectors(spark, sf_dir)
-    return retrieval.dense_ranking(v.where("chunk_idx < 10").withColumnRenamed("chunk_idx", "query_id"), v, k)
+    return retrieval.dense_ranking(v.where("chunk_idx % 20 = 0").withColumnRenamed("chunk_idx", "query_id"), v, k)
 
 
 @query(f"WITH {_DENSE} SELECT query_id, chunk_idx, round(score, 9) AS score, CAST(rank AS INTEGER) AS rank FROM dk WHERE rank < 20")
@@ -450,8 +451,12 @@ def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     m AS (SELECT *, max(d) OVER (PARTITION BY query_id) AS dm, max(l) OVER (PARTITION BY query_id) AS lm FROM b)
     SELECT query_id, chunk_idx, round(CASE WHEN lm > 0 THEN 0.7 * d / dm + 0.3 * l / lm ELSE d END, 9) AS score FROM m""")
 def hybrid_relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    dense = _dense(spark, sf_dir, 1 << 30)
-    lex = dense.where("chunk_idx % 3 = 0").select("query_id", "chunk_idx", ((F.col("chunk_idx") * 7 + F.col("query_id")) % 13 - 3).cast("double").alias("score"))
+    """Benchmark passages as queries over all documents, by hashed words and by BM25."""
+    docs, asked, embed = t(spark, sf_dir, "documents"), t(spark, sf_dir, "benchmark"), default_providers(64).embed
+    chunks = docs.select(F.col("doc_id").alias("chunk_idx"), embed(F.col("text"), "document").alias("embedding"))
+    queries = asked.select(F.col("item_id").alias("query_id"), embed(F.col("text"), "query").alias("embedding"))
+    dense = retrieval.dense_ranking(queries, chunks, 1 << 30)
+    lex = lexical.bm25_scores(docs, asked, "doc_id", "text", "item_id", "text").withColumnRenamed("doc_id", "chunk_idx")
     return retrieval.hybrid_relevance(dense, lex).withColumn("score", F.round("score", 9))
 
 
@@ -531,7 +536,7 @@ def kmeans_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query()
 def ppr(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes, edges = _sem_graph(spark, sf_dir)
-    seeds = nodes.where("id < 20").select((F.col("id") % 4).alias("query_id"), "id")
+    seeds = nodes.where("id % 20 = 0").select(F.col("id").alias("query_id"), "id")
     return diffusion.ppr_proximity(graph.expand(seeds, edges), seeds, edges)
 
 
