@@ -48,6 +48,7 @@ SEARCH = {"WHERE q.vec_id < 10": "WHERE q.vec_id % 20 = 0"}
 TOP = "(SELECT id FROM node LEFT JOIN (SELECT id, count(*) AS n FROM (SELECT src AS id FROM edge UNION ALL SELECT dst FROM edge) GROUP BY id) USING (id) ORDER BY coalesce(n, 0) DESC, id LIMIT 200)"
 WHOLE = dict.fromkeys(("dense_topk", "question_seeds", "rrf_fusion", "seed_proximity_max", "seed_proximity_topk", "seed_proximity_weighted", "diffuse_blend"), SEARCH) | {
     "bfs_2hop": {"SELECT id % 4 AS query_id, id, 0 AS hop FROM node WHERE id < 20": "SELECT id AS query_id, id, 0 AS hop FROM node WHERE id % 20 = 0"},
+    "context_blocks": {"substr(text, 1, 100)": "text"},
     "subgraph": {"WHERE src < 200 AND dst < 200": f"WHERE src IN {TOP} AND dst IN {TOP}"},
 }
 

@@ -220,7 +220,7 @@ def select_anchor(spark: SparkSession, sf_dir: str) -> DataFrame:
     SELECT query_id, CAST(n AS INTEGER) AS n, source, CASE WHEN rank = fs THEN '=== Source: ' || source || ' ===' || chr(10) ELSE '' END
         || '--- Context ' || n || ' (source: ' || source || ', pos: ' || doc_id || ') ---' || chr(10) || substr(text, 1, 100) || chr(10) AS block FROM g""")
 def context_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = t(spark, sf_dir, "documents").select("doc_id", "source", F.substring("text", 1, 100).alias("text"))
+    docs = t(spark, sf_dir, "documents").select("doc_id", "source", "text")
     rows = bm25_topk(spark, sf_dir).join(docs, "doc_id").select("query_id", "rank", "source", F.col("doc_id").alias("position"), "text")
     return view.context_blocks(rows)
 
