@@ -125,6 +125,19 @@ def test_near_duplicates_and_keep_one(spark):
     assert simhash.near_duplicates(docs.limit(0)).count() == 0
 
 
+def test_keep_one_without_ids(spark):
+    """Of rows without an id one of each group stays, unless its group has an id; other columns may be null."""
+    alone, twice, named = (" ".join(f"{w}{i}" for i in range(40)) for w in ("alone", "twice", "named"))
+    rows = [(None, alone, "a"), (None, twice, None), (None, twice, "b"), (None, twice, "b"), (None, named, "c"), (5, named, None), (6, named, "d")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    kept = simhash.keep_one(docs)
+    got = [tuple(r) for r in kept.collect()]
+    assert kept.columns == docs.columns and sorted((r[0] or 0, r[1]) for r in got) == [(0, alone), (0, twice), (5, named)]
+    assert set(got) <= set(rows) and sorted(map(str, got)) == sorted(str(tuple(r)) for r in simhash.keep_one(docs.repartition(3)).collect())
+    empty = spark.createDataFrame([(None, None, "x"), (None, "", "y")], docs.schema)
+    assert simhash.keep_one(empty).count() == 1
+
+
 def katz_by_hand(texts, ids):
     toks = [[*WORD.findall((t or "").translate(LOW)), 0] for t in texts]
     held = [zlib.crc32(str(i).encode()) % 7 == 2 for i in ids]

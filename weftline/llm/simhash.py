@@ -189,6 +189,14 @@ def _and_end(batches: Iterator) -> Iterator:
 NAMELESS = 1 << 62
 
 
+def _roots(marked: DataFrame, id_col: str) -> DataFrame:
+    """Rows (fp, root): the smallest name of each fingerprint's component; NAMELESS and above if no row there has an id."""
+    nameless = F.lit(NAMELESS).cast("long") + F.col("fp").bitwiseAND(F.lit((1 << 61) - 1))
+    distinct = written(marked.groupBy("fp").agg(F.min(F.col(id_col).cast("long")).alias("least")).select("fp", F.coalesce("least", nameless).alias("name")), "distinct")
+    links = components(near_links(distinct))
+    return written(distinct.join(links, distinct["name"] == links["node"], "left").select("fp", F.coalesce("root", "name").alias("root")), "components")
+
+
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Rows (id, fingerprint, component_id), one for each row of docs; component_id is the smallest id reachable.
 
@@ -197,18 +205,23 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     themselves their component is null. Rows that repeat an id are one document, and so in one component.
     """
     marked = written(fingerprints(docs, id_col, text_col), "fingerprints")
-    nameless = F.lit(NAMELESS).cast("long") + F.col("fp").bitwiseAND(F.lit((1 << 61) - 1))
-    distinct = written(marked.groupBy("fp").agg(F.min(F.col(id_col).cast("long")).alias("least")).select("fp", F.coalesce("least", nameless).alias("name")), "distinct")
-    links = components(near_links(distinct))
-    root = F.coalesce("root", "name")
-    of = written(distinct.join(links, distinct["name"] == links["node"], "left").select("fp", F.when(root < NAMELESS, root).alias("component_id")), "components")
-    return marked.join(of, "fp").select(id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
+    component = F.when(F.col("root") < NAMELESS, F.col("root")).alias("component_id")
+    return marked.join(_roots(marked, id_col), "fp").select(id_col, F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), component)
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One document of each group stays, with all its columns: the one whose id is the group's smallest.
 
-    Ids name documents; rows that repeat an id stay or go together.
+    Ids name documents; rows that repeat an id stay or go together. Of a group in which no row has an id one row
+    stays, the one with the smallest fingerprint and then the smallest hash of its columns; a row without an id
+    goes if its group has one with.
     """
-    kept = near_duplicates(docs, id_col, text_col).where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("kept_id")).distinct()
-    return docs.join(kept, docs[id_col] == kept["kept_id"], "left_semi")
+    marked = written(fingerprints(docs, id_col, text_col), "fingerprints")
+    roots = _roots(marked, id_col)
+    kept = marked.join(roots, "fp").where(F.col(id_col) == F.col("root")).select(F.col(id_col).alias("kept_id")).distinct()
+    named = docs.join(kept, docs[id_col] == kept["kept_id"], "left_semi")
+    row = F.struct(*docs.columns).alias("row")
+    unnamed = fingerprints(docs.where(F.col(id_col).isNull()).select(row, text_col), "row", text_col)
+    order = F.struct("fp", F.sha2(F.to_json("row"), 256))
+    one = unnamed.join(roots.where(F.col("root") >= NAMELESS), "fp").groupBy("root").agg(F.min_by("row", order).alias("row"))
+    return named.unionByName(one.select("row.*"))
