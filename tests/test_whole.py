@@ -7,6 +7,7 @@ import numpy as np
 import pytest
 from test_oracle import con, rows_of  # noqa: F401
 
+from weftline.llm import ann
 from weftline.operators import lexical, signals
 from weftline.operators.providers import default_providers
 from weftline.plans.registry import ORACLE_SQL, QUERIES
@@ -82,3 +83,14 @@ def test_hybrid_relevance_blends_bm25_of_all_pairs(spark, sf_dir):
         want |= {(k, i): 0.7 * d / top + 0.3 * lex.get((k, i), 0.0) / high for i, d in dense.items()}
     got = {(r["query_id"], r["chunk_idx"]): r["score"] for r in QUERIES["hybrid_relevance"](spark, sf_dir).collect()}
     assert got.keys() == want.keys() and max(abs(got[k] - want[k]) for k in want) < 1e-8
+
+
+def test_repeated_rows_take_no_place_among_the_nearest(spark):
+    """Rows said 25 times count once: each query still gets its 20 nearest."""
+    rng = np.random.default_rng(5)
+    vectors = {i: [float(x) for x in rng.normal(size=8)] for i in range(60)} | {100 + i: [1.0] * 8 for i in range(3)}
+    rows = [(i, v) for i, v in vectors.items() for _ in range(25 if i in (1, 2, 3, 100) else 1)]
+    got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>")).collect()
+    for q in (0, 20, 40, 100):
+        near = sorted((-sum(a * b for a, b in zip(vectors[q], v, strict=True)), i) for i, v in vectors.items() if i != q)
+        assert [r["vec_id"] for r in sorted(got, key=lambda r: r["rank"]) if r["query_id"] == q] == [i for _, i in near[:20]]

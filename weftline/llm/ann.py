@@ -160,7 +160,7 @@ def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
 def nearest(vectors: DataFrame, id_col: str = "vec_id", vec_col: str = "embedding", every: int = QUERY_EVERY, top: int = TOP, keep: int = KEEP) -> DataFrame:
     """Rows (query_id, rank, vec_id, score): the nearest of each row whose id is divisible by `every`."""
     spark = vectors.sparkSession
-    rows = usable(vectors, id_col, vec_col)
+    rows = usable(vectors, id_col, vec_col).distinct()  # before any limit: a row said twice is found once
     sample = rows.orderBy(F.xxhash64("id"), "id").limit(SAMPLE).toPandas()  # bounded
     if sample.empty:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score double")
