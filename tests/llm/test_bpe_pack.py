@@ -14,7 +14,7 @@ from weftline.llm import bpe, pack  # noqa: E402
 
 RANKS, VOCAB = P.path("byte_bpe_multi_50k.tiktoken"), P.path("word_bpe_49k.json")
 SCHEMA = "doc_id long, text string, lang string, ids string, piece int, bin long"
-TEXTS = ["Hello world", None, "", "a" * 5000, "naïve café 中文 👍\n\n  x", "Hello world", "the cat's " * 900, "  \t\n", "<|endoftext|>"]
+TEXTS = ["Hello world", None, "", "a" * 5000, "naïve café 中文 👍\n\n  x", "Hello world", "the cat's " * 900, "  \t\n", "<|endoftext|>", "so<|startoftext|>it's <|ENDOFTEXT|> Ünder’s ΣΑΣ"]
 
 
 @pytest.fixture(scope="module")
@@ -99,7 +99,6 @@ def test_best_fit_by_brute_force():
 @pytest.mark.parametrize("parts", [1, 5])
 def test_packing_is_whole_and_gapless(spark, docs, parts):
     tok = tokenizers.Tokenizer.from_file(VOCAB)
-    tok.encode_special_tokens = True
     rows = pack.pack(docs.repartition(parts), VOCAB, capacity=64).toPandas()
     assert len(rows[rows["doc_id"] == 0]) == 2  # repeated rows are documents of their own
     for doc, g in rows[rows["doc_id"] != 0].groupby("doc_id"):
@@ -112,3 +111,33 @@ def test_packing_is_whole_and_gapless(spark, docs, parts):
         assert g["offset"].tolist() == [0, *g["length"].cumsum().tolist()[:-1]] and g["length"].sum() <= 64
     assert rows["sequence_id"].nunique() <= -(-rows["length"].sum() // 64) + 2
     assert pack.pack(docs.limit(0), VOCAB).count() == 0
+
+
+def test_word_cache_equals_the_library():
+    tok, rng = tokenizers.Tokenizer.from_file(VOCAB), random.Random(3)
+    parts = [*map(chr, range(0x250)), "'s", "'re", "'LL", "<|endoftext|>", "<|startoftext|>", "<|END", "\u0301", "中", "Σ", " ", "\n", "a", "the", "don't"]
+    texts = ["".join(rng.choice(parts) for _ in range(rng.randint(0, 40))) for _ in range(3000)] + ["x" * 70 + " " + "y" * 90]
+    for plain in (False, True):
+        tok.encode_special_tokens = plain
+        got = pack.WordTokenizer(VOCAB, plain).texts(texts)
+        assert [np.frombuffer(g, "<u4").tolist() for g in got] == [tok.encode(t, add_special_tokens=False).ids for t in texts]
+
+
+def test_rounds_of_several_groups(spark, monkeypatch):
+    """Many bins, few to a group: rounds merge them until no more is gained; nothing is lost and little room wasted."""
+    monkeypatch.setattr(pack, "ROUND_ITEMS", 12)
+    rng = random.Random(4)
+    texts = ["a " * rng.choice([3, 20, 30, 35, 40, 70]) for _ in range(300)]
+    frame = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(40)
+    rows = pack.pack(frame, VOCAB, capacity=64).toPandas()
+    assert rows["length"].sum() == sum(t.count("a") + 1 for t in texts) and rows["doc_id"].nunique() == 300
+    for _, g in rows.groupby("sequence_id"):
+        g = g.sort_values("offset")
+        assert g["offset"].tolist() == [0, *g["length"].cumsum().tolist()[:-1]] and g["length"].sum() <= 64
+    lengths = rows["length"].to_numpy()
+    assert rows["sequence_id"].nunique() <= 1.05 * len(pack.best_fit(lengths, 64)[2])
+
+
+def test_sequences_reach_the_lower_bound(spark, sf_dir):
+    rows = pack.pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), VOCAB).toPandas()
+    assert rows["sequence_id"].nunique() <= -(-int(rows["length"].sum()) // 2048) + 1

@@ -9,15 +9,19 @@ where, so only small rows move, tokens never do.
 Cases: a null text is an empty one; an empty text still has its end token. Repeated rows are documents of
 their own. A text of any length is cut into pieces of `capacity` tokens, the last may be shorter. Ties go to
 the earlier piece of the partition. An empty table gives an empty result. Columns besides id and text are
-not looked at.
+not looked at. The strings of the vocabulary's added tokens in a text give those tokens' ids.
 """
 
 from __future__ import annotations
 
 import os
+import re
 import zlib
+from array import array
+from collections import ChainMap
 from collections.abc import Iterator
 from functools import lru_cache
+from itertools import chain
 
 import numpy as np
 import pandas as pd
@@ -73,47 +77,84 @@ class WordTokenizer:
     """Ids of a text as packed little-endian 32-bit integers; words seen before are looked up.
 
     The vocabulary's normaliser and splitter never join what a blank or a line feed parts, so each stretch
-    between those is tokenised once and kept (in a bounded table).
+    between those is tokenised once and kept (in a bounded table). A new stretch of plain Latin letters, digits
+    and signs is first cut where the splitter cuts it, and its parts, which are fewer, are what the library sees.
+    The strings of added tokens (`<|endoftext|>`) in a text give those tokens' ids, as the library does;
+    with plain_specials they are ordinary text.
     """
 
     MOST_WORDS = 1_000_000
     LONG_WORD = 64
+    #: Stretches that the normaliser only puts into lower case.
+    _SIMPLE = re.compile("[!-~\u00c0-\u00ff]+")
+    # Fixed value: the vocabulary's splitter, for such stretches in lower case.
+    _PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u00ff]+")
 
-    def __init__(self, path: str):
+    def __init__(self, path: str, plain_specials: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
+        self.tokenizer.encode_special_tokens = plain_specials
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.ends = np.zeros(max(self.tokenizer.get_vocab().values()) + 1, bool)
+        self.ends[[i for t, i in self.tokenizer.get_vocab().items() if t.endswith("</w>")]] = True
         self.kept: dict[str, bytes] = {"": b""}
+        self.parts: dict[str, bytes] = {}
+
+    def _library(self, found: list[str]) -> list[bytes]:
+        return [array("I", e.ids).tobytes() for e in self.tokenizer.encode_batch_fast(found, add_special_tokens=False)]
+
+    def _apart(self, parts: list[str]) -> Iterator[bytes]:
+        """Parts that the splitter leaves whole, many to a line: the vocabulary marks the tokens that end one."""
+        lines = [parts[i : i + 256] for i in range(0, len(parts), 256)]
+        for line, raw in zip(lines, self._library([" ".join(p) for p in lines]), strict=True):
+            ends = 4 * (np.flatnonzero(self.ends[np.frombuffer(raw, "<u4")]) + 1)
+            if len(ends) == len(line):
+                yield from (raw[a:b] for a, b in zip([0, *ends[:-1].tolist()], ends.tolist(), strict=True))
+            else:
+                yield from self._library(line)
 
     def _new(self, found: list[str]) -> list[bytes]:
-        return [np.array(e.ids, "<u4").tobytes() for e in self.tokenizer.encode_batch_fast(found, add_special_tokens=False)]
+        simple, is_simple = [], []
+        for w in found:
+            fine = self._SIMPLE.fullmatch(w) is not None and len(w) <= self.LONG_WORD and not any(t in w for t in self.added)
+            is_simple.append(fine)
+            simple.append(self._PARTS.findall(w.lower()) if fine else ())
+        parts = self.parts
+        if len(parts) > self.MOST_WORDS:
+            parts.clear()
+        unknown = list(set(chain.from_iterable(simple)).difference(parts))
+        parts.update(zip(unknown, self._apart(unknown), strict=True))
+        rest = iter(self._library([w for w, fine in zip(found, is_simple, strict=True) if not fine]))
+        return [b"".join(map(parts.__getitem__, p)) if fine else next(rest) for p, fine in zip(simple, is_simple, strict=True)]
 
     def texts(self, texts: list[str]) -> Iterator[bytes]:
         kept = self.kept
-        parts = [t.replace("\n", " ").split(" ") for t in texts]
-        new = list({w for p in parts for w in p if w not in kept})
-        long = {}
-        if new:
-            if len(kept) + len(new) > self.MOST_WORDS:
-                kept.clear()
-                kept[""] = b""
-                new = list({w for p in parts for w in p if w})
-            for i in range(0, len(new), 50_000):
-                some = new[i : i + 50_000]
-                for w, coded in zip(some, self._new(some), strict=True):
-                    (kept if len(w) <= self.LONG_WORD else long)[w] = coded
-        for p in parts:
-            if long:
-                yield b"".join([long[w] if w in long else kept[w] for w in p])
-            else:
-                yield b"".join([kept[w] for w in p])
+        stretches = [t.replace("\n", " ").split(" ") for t in texts]
+        found = set(chain.from_iterable(stretches))
+        new = list(found.difference(kept))
+        if len(kept) + len(new) > self.MOST_WORDS:
+            kept.clear()
+            kept[""] = b""
+            new = list(found.difference(kept))
+        here = kept
+        for i in range(0, len(new), 50_000):
+            some = new[i : i + 50_000]
+            coded = dict(zip(some, self._new(some), strict=True))
+            long = {w: coded.pop(w) for w in some if len(w) > self.LONG_WORD}
+            kept.update(coded)
+            if long:  # not kept beyond this call
+                here = long if here is kept else here | long
+        if here is not kept:
+            here = ChainMap(kept, here)
+        for p in stretches:
+            yield b"".join(map(here.__getitem__, p))
 
 
 @lru_cache(maxsize=2)
-def word_tokenizer(path: str) -> WordTokenizer:
-    return WordTokenizer(path)
+def word_tokenizer(path: str, plain_specials: bool = False) -> WordTokenizer:
+    return WordTokenizer(path, plain_specials)
 
 
 CLEANERS["pack"] = word_tokenizer.cache_clear
