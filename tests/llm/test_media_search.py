@@ -341,13 +341,13 @@ def test_shards(spark):
 
     store = shards.ShardStore(spark, shared_dir(spark, "shards"), target_bytes=1 << 20, smallest_bytes=1 << 10)
     rows = spark.createDataFrame([(i, None if i % 9 == 0 else "t" * (i % 50), "a") for i in range(4000)], "doc_id long, text string, append_arrival string")
-    assert store.append(rows.repartition(4), F.pmod("doc_id", F.lit(3)), 200) == [1, 2, 3]
+    assert store.append(rows.repartition(4), F.pmod("doc_id", F.lit(3)), 200) == 1
     before = store.manifest()
     assert sum(s["rows"] for s in before["shards"]) == 4000 and {s["arrival"] for s in before["shards"]} == {0, 1, 2}
     made = store.compact()
     after = store.manifest()
     assert made and len(after["shards"]) < len(before["shards"]) and not store.plan(after["shards"])
-    assert store.read(3).count() == 4000  # old versions stay readable until vacuum
+    assert store.read(1).count() == 4000  # old versions stay readable until vacuum
     assert store.vacuum() > 0 and store.versions() == [after["version"]]
     assert sorted(map(tuple, store.read().collect()), key=str) == sorted(map(tuple, rows.collect()), key=str)
     with pytest.raises(shards.Conflict):
@@ -355,3 +355,74 @@ def test_shards(spark):
     empty = shards.ShardStore(spark, shared_dir(spark, "shards"))
     empty.append(rows.limit(0))
     assert empty.read(schema=rows.schema).count() == 0 and empty.compact() == []
+
+
+def _interleave(store, monkeypatch, at, act):
+    """Runs act() once, just before the first commit whose reason begins with `at`."""
+    commit, done = store.commit, []
+
+    def slow(base, live, why, *more):
+        if why.startswith(at) and not done:
+            done.append(1)
+            act()
+        return commit(base, live, why, *more)
+
+    monkeypatch.setattr(store, "commit", slow)
+
+
+def _store(spark, root=None):
+    return shards.ShardStore(spark, root or shared_dir(spark, "shards"), target_bytes=1 << 20, smallest_bytes=1 << 10)
+
+
+def _numbers(spark, a, b):
+    return spark.range(a, b).selectExpr("id AS doc_id", "repeat('t', int(id % 50)) AS text")
+
+
+def test_vacuum_beside_a_writer(spark, monkeypatch):
+    store = _store(spark)
+    other = _store(spark, store.root)
+    store.append(_numbers(spark, 0, 500), rows_per_shard=50)
+    _interleave(store, monkeypatch, "append", other.vacuum)
+    store.append(_numbers(spark, 500, 900), rows_per_shard=50)
+    assert store.read().count() == 900
+    monkeypatch.undo()
+    _interleave(store, monkeypatch, "merge", other.vacuum)
+    store.compact()
+    assert store.read().count() == 900
+    monkeypatch.undo()
+    stray = f"{store.root}/data/append-lost"
+    _numbers(spark, 0, 5).coalesce(1).write.parquet(stray)  # a writer that died before its commit
+    store.vacuum()
+    assert store._list(stray)
+    assert store.vacuum(grace_seconds=-60) == 1 and not store._list(stray) and store.read().count() == 900
+
+
+def test_two_writers(spark, monkeypatch):
+    store = _store(spark)
+    other = _store(spark, store.root)
+    store.append(_numbers(spark, 0, 300), rows_per_shard=50)
+    _interleave(store, monkeypatch, "append", lambda: other.append(_numbers(spark, 300, 400)))
+    store.append(_numbers(spark, 400, 700), rows_per_shard=50)
+    monkeypatch.undo()
+    _interleave(store, monkeypatch, "merge", lambda: other.append(_numbers(spark, 700, 800)))  # the merge keeps what it doesn't know
+    assert store.compact()
+    monkeypatch.undo()
+    store.append(_numbers(spark, 800, 1000), rows_per_shard=20)
+    _interleave(store, monkeypatch, "merge", other.compact)  # another merge took the same shards
+    store.compact()
+    assert sorted(r[0] for r in store.read().select("doc_id").collect()) == list(range(1000))
+    gone = {"path": f"{store.root}/data/x/none.parquet", "bytes": 1, "rows": 1, "arrival": 0, "tier": 0}
+    with pytest.raises(FileNotFoundError):
+        store.commit(store.manifest()["version"], [gone], "append", None, [gone])
+
+
+def test_columns_of_appends(spark):
+    store = _store(spark)
+    store.append(_numbers(spark, 0, 100), rows_per_shard=20)
+    store.append(_numbers(spark, 100, 200).selectExpr("doc_id", "text", "'x' AS more"), rows_per_shard=20)
+    store.compact()
+    assert store.read().columns == ["doc_id", "text", "more"]
+    assert {r["more"]: r["n"] for r in store.read().groupBy("more").agg({"doc_id": "count"}).toDF("more", "n").collect()} == {None: 100, "x": 100}
+    for clash in ("string(doc_id) AS doc_id", "doc_id AS DOC_ID"):
+        with pytest.raises(ValueError):
+            store.append(_numbers(spark, 0, 1).selectExpr(clash))

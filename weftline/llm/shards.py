@@ -1,10 +1,15 @@
 """Size-tiered shards: small immutable appends, merges of similar sizes, and an atomically committed manifest.
 
 Layout below one root: data/<commit>/... Parquet files that never change, manifests/v<number>.json. A
-manifest lists all live shards with their bytes, rows, arrival and tier; the highest version is the store.
-A commit writes a temporary file and renames it to the next version without overwriting, so of two writers
-that start from one version one fails with Conflict and may start again. Data that no manifest names is
-garbage and goes with vacuum(); a job or executor lost midway leaves nothing else behind.
+manifest lists all live shards with their bytes, rows, arrival and tier, and the columns of the store; the
+highest version is the store. A commit writes a temporary file and renames it to the next version without
+overwriting, so of two writers that start from one version one gets Conflict: appends then commit again on top
+of the other's version, merges too if all shards they merged are still live, else their files go. A call of
+append() is one version, so it is visible whole or not at all. A commit checks that the files it adds exist.
+
+vacuum() deletes what versions that it drops have named and kept ones don't. Files that no version names may
+belong to a writer that has not committed yet; they go only when older than a stated grace period, so data of a
+job or executor lost midway is cleared in the end and a live writer's is not.
 
 A shard's tier is the logarithm (base FAN_IN) of its bytes over the smallest size; shards near the target
 size are finished. A tier with FAN_IN shards or more is merged by one job, which reads its files and writes
@@ -12,21 +17,25 @@ ceil(bytes / target) files without a shuffle: partitions are coalesced, never de
 
 Everything is DataFrame work or calls of Hadoop's file system in the driver's JVM; no Python runs on executors.
 
-Cases: nulls, empty and very long texts and repeated rows are kept as they are. An empty table commits an
-empty version; reading a store without shards needs a schema and gives an empty DataFrame. Columns named as
-the store's own helper column are kept, the helper gets another name.
+Cases: nulls, empty and very long texts and repeated rows are kept as they are. The store's columns are the
+union of all appends' in order of arrival, null where a shard lacks one; a column that comes again with another
+type is refused (ValueError), as names that differ in case only are. An empty table commits a version without
+shards; reading a store without shards needs a schema (or an earlier append's) and gives an empty DataFrame.
+Columns named as the store's own helper column are kept, the helper gets another name.
 """
 
 from __future__ import annotations
 
+import contextlib
 import json
 import math
+import time
 import uuid
 from collections import defaultdict
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import StructField, StructType
 
 
 class Conflict(Exception):
@@ -75,16 +84,19 @@ class ShardStore:
         if version is None:
             version = (self.versions() or [0])[-1]
         if not version:
-            return {"version": 0, "shards": []}
+            return {"version": 0, "shards": [], "schema": None}
         stream = self._fs.open(self._path(self._manifest_name(version)))
         try:
             return json.loads(self._jvm.org.apache.commons.io.IOUtils.toString(stream, "UTF-8"))
         finally:
             stream.close()
 
-    def commit(self, base: int, shards: list[dict], why: str) -> int:
-        """Makes `shards` the live ones of version base + 1, or raises Conflict."""
-        body = json.dumps({"version": base + 1, "parent": base, "why": why, "shards": sorted(shards, key=lambda s: s["path"])})
+    def commit(self, base: int, shards: list[dict], why: str, schema: dict | None = None, added: list[dict] = ()) -> int:
+        """Makes `shards` the live ones of version base + 1, or raises Conflict; `added`: those whose files must be there."""
+        missing = [s["path"] for s in added if not self._fs.exists(self._path(s["path"]))]
+        if missing:
+            raise FileNotFoundError(f"{len(missing)} files of the commit are gone, the first is {missing[0]}")
+        body = json.dumps({"version": base + 1, "parent": base, "why": why, "schema": schema, "shards": sorted(shards, key=lambda s: s["path"])})
         temp = self._path(f"{self.root}/manifests/.{uuid.uuid4().hex}.tmp")
         out = self._fs.create(temp, False)
         try:
@@ -118,25 +130,36 @@ class ShardStore:
 
     # -- operations --------------------------------------------------------------------------------------
 
-    def append(self, df: DataFrame, arrival: Column | None = None, rows_per_shard: int = 20_000) -> list[int]:
-        """Adds rows as small shards, one version for each arrival (a column of small whole numbers; none: one arrival).
-
-        All arrivals of a call are written by one job.
+    def _merged_schema(self, known: dict | None, new: StructType) -> dict:
+        """The store's columns and a new append's; every column may be null."""
+        fields = list(StructType.fromJson(known).fields) if known else []
+        names = {f.name.lower(): f for f in fields}
+        for f in new.fields:
+            old = names.get(f.name.lower())
+            if old is None:
+                fields.append(StructField(f.name, f.dataType, True))
+                names[f.name.lower()] = fields[-1]
+            elif (old.name, old.dataType) != (f.name, f.dataType):
+                raise ValueError(f"column {f.name} {f.dataType.simpleString()} does not fit the store's {old.name} {old.dataType.simpleString()}")
+        return json.loads(StructType(fields).json())
+
+    def append(self, df: DataFrame, arrival: Column | None = None, rows_per_shard: int = 20_000) -> int:
+        """Adds rows as small shards and returns the version; arrival (a column of small whole numbers) parts them.
+
+        All arrivals of a call are written by one job and committed by one version.
         """
+        self._merged_schema(self.manifest()["schema"], df.schema)  # refused before anything is written
         helper = "append_arrival"
         while helper.lower() in {c.lower() for c in df.columns}:
             helper += "_"
         folder = f"{self.root}/data/append-{uuid.uuid4().hex}"
         dealt = df.withColumn(helper, F.coalesce(arrival if arrival is not None else F.lit(0), F.lit(0)).cast("int"))
         dealt.write.option("maxRecordsPerFile", rows_per_shard).partitionBy(helper).parquet(folder)
-        entries = defaultdict(list)
-        for s in self._shards(folder, 0):
-            entries[int(s["path"].split(f"{helper}=")[1].split("/")[0])].append(s)
-        made = []
-        for a in sorted(entries) or [0]:
+        new = [s | {"arrival": int(s["path"].split(f"{helper}=")[1].split("/")[0])} for s in self._shards(folder, 0)]
+        while True:
             base = self.manifest()
-            made.append(self.commit(base["version"], base["shards"] + [s | {"arrival": a} for s in entries[a]], f"append {a}"))
-        return made
+            with contextlib.suppress(Conflict):
+                return self.commit(base["version"], base["shards"] + new, "append", self._merged_schema(base["schema"], df.schema), new)
 
     def plan(self, shards: list[dict]) -> dict[int, list[dict]]:
         """Tiers that are due: shards below half the target, FAN_IN of similar size or more."""
@@ -154,34 +177,63 @@ class ShardStore:
             due = self.plan(base["shards"])
             if not due:
                 return made
-            live = {s["path"]: s for s in base["shards"]}
+            old, new = [], []
             for t, group in due.items():
                 files = max(1, round(sum(s["bytes"] for s in group) / self.target))
                 folder = f"{self.root}/data/merge-{uuid.uuid4().hex}"
-                self.spark.read.parquet(*(s["path"] for s in group)).coalesce(files).write.parquet(folder)
+                self._reader(base["schema"]).parquet(*(s["path"] for s in group)).coalesce(files).write.parquet(folder)
                 merged = [s | {"tier": max(s["tier"], t + 1)} for s in self._shards(folder, -1)]
                 if sum(s["rows"] for s in merged) != sum(s["rows"] for s in group):
                     raise RuntimeError("a merge changed the number of rows")
-                for s in group:
-                    del live[s["path"]]
-                live |= {s["path"]: s for s in merged}
-            made.append(self.commit(base["version"], list(live.values()), f"merge of tiers {', '.join(map(str, due))}"))
-
-    def vacuum(self, keep: int = 1) -> int:
-        """Deletes files that none of the last `keep` versions names, and older manifests; returns how many files went."""
+                old += group
+                new += merged
+            why = f"merge of tiers {', '.join(map(str, due))}"
+            while True:
+                gone = {s["path"] for s in old}
+                live = [s for s in base["shards"] if s["path"] not in gone]
+                if len(live) + len(gone) != len(base["shards"]):  # another merge came first: start over
+                    for s in new:
+                        self._fs.delete(self._path(s["path"]), False)
+                    break
+                try:
+                    made.append(self.commit(base["version"], live + new, why, base["schema"], new))
+                    break
+                except Conflict:
+                    base = self.manifest()
+
+    def vacuum(self, keep: int = 1, grace_seconds: float = 86_400.0) -> int:
+        """Drops all versions but the last `keep` with the files that only they name; returns how many files went.
+
+        Files that no version names go if they are older than grace_seconds: longer than any writer takes between
+        writing its files and committing them. Readers of a dropped version fail.
+        """
         versions = self.versions()
-        named = {s["path"] for v in versions[-keep:] for s in self.manifest(v)["shards"]}
-        gone = [p for p, _ in self._list(f"{self.root}/data") if p not in named]
+        kept, dropped = versions[-keep:], versions[:-keep]
+        named = {s["path"] for v in kept for s in self.manifest(v)["shards"]}
+        expired = {s["path"] for v in dropped for s in self.manifest(v)["shards"]} - named
+        oldest = time.time() - grace_seconds
+        gone = []
+        for p, _ in self._list(f"{self.root}/data"):
+            if p in named:
+                continue
+            if p in expired or self._fs.getFileStatus(self._path(p)).getModificationTime() / 1000 < oldest:
+                gone.append(p)
         for p in gone:
             self._fs.delete(self._path(p), False)
-        for v in versions[:-keep]:
+        for v in dropped:
             self._fs.delete(self._path(self._manifest_name(v)), False)
         return len(gone)
 
+    def _reader(self, schema: dict | StructType | None):
+        if isinstance(schema, dict):
+            schema = StructType.fromJson(schema)
+        return self.spark.read.schema(schema) if schema else self.spark.read
+
     def read(self, version: int | None = None, schema: StructType | None = None) -> DataFrame:
         """The rows of a version."""
-        paths = [s["path"] for s in self.manifest(version)["shards"]]
+        at = self.manifest(version)
+        paths = [s["path"] for s in at["shards"]]
+        schema = schema or at["schema"]
         if not paths:
-            return self.spark.createDataFrame([], schema or StructType([]))
-        reader = self.spark.read.schema(schema) if schema else self.spark.read
-        return reader.parquet(*paths)
+            return self.spark.createDataFrame([], StructType.fromJson(schema) if isinstance(schema, dict) else schema or StructType([]))
+        return self._reader(schema).parquet(*paths)
