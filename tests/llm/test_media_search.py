@@ -288,6 +288,62 @@ def test_few_and_no_vectors(spark):
     assert ann.nearest(vectors(spark, [])).count() == 0
 
 
+def _exact(ids, x, top=20):
+    """Brute force over distinct (id, vector) rows: {query: [(vec, score), ...]}."""
+    rows = sorted({(int(i), tuple(map(float, v))) for i, v in zip(ids, x, strict=True)})
+    out = {}
+    for q, v in rows:
+        if q % 20 == 0:
+            out.setdefault(q, set()).update((-sum(a * b for a, b in zip(v, w, strict=True)), i) for i, w in rows if i != q)
+    return {q: [(i, -s) for s, i in sorted(f)[:top]] for q, f in out.items()}
+
+
+def _found(frame):
+    out = {}
+    for r in frame.orderBy("query_id", "rank").collect():
+        out.setdefault(r["query_id"], []).append((r["vec_id"], r["score"]))
+        assert r["rank"] == len(out[r["query_id"]])
+    return out
+
+
+@pytest.mark.parametrize("case", ["twice", "one id often", "copies", "an id of many vectors"])
+def test_repeated_rows(spark, case):
+    rng = np.random.default_rng(12)
+    x = np.round(rng.normal(size=(120, 4)), 2).astype(np.float32)
+    ids = np.arange(120)
+    if case == "twice":
+        ids, x = np.tile(ids, 2), np.tile(x, (2, 1))
+    elif case == "one id often":
+        ids, x = np.append(ids, np.full(29, 20)), np.concatenate([x, np.repeat(x[20:21], 29, 0)])
+    elif case == "copies":
+        x[30:90] = x[40]
+    else:
+        ids, x = np.append(ids, np.full(60, 40)), np.concatenate([x, x[40] + np.round(rng.normal(size=(60, 4)), 2).astype(np.float32) / 8])
+    frame = vectors(spark, [(int(i), [float(a) for a in v], 1, "c") for i, v in zip(ids, x, strict=True)])
+    got, want = _found(ann.nearest(frame)), _exact(ids, x)
+    assert {q: [v for v, _ in f] for q, f in got.items()} == {q: [v for v, _ in f] for q, f in want.items()}
+    assert all(a == pytest.approx(b, abs=1e-12) for q in want for (_, a), (_, b) in zip(got[q], want[q], strict=True))
+
+
+def test_recall_over_several_blocks(spark):
+    """More rows than a shortlist, in several blocks of rows and queries: the same rows are found, and nearly all that are nearest."""
+    x = np.random.default_rng(3).normal(size=(6000, 32)).astype(np.float32)
+    frame = vectors(spark, [(i, [float(a) for a in v], 1, "c") for i, v in enumerate(x)])
+    one = ann.nearest(frame)
+    many = ann.nearest(frame, row_block=1000, query_block=70)
+    assert _found(one) == _found(many)
+    assert ann.recall(frame, one) >= 0.95
+    assert ann.recall(frame, ann.nearest(frame, keep=6000)) == 1.0
+
+
+def test_stored_codes(spark):
+    x = np.random.default_rng(4).normal(size=(100, 6))
+    books = ann.train(x)
+    frame = spark.createDataFrame([(i, i, v.tolist()) for i, v in enumerate(x)], "row long, id long, v array<double>")
+    got = ann.coded(frame, spark.sparkContext.broadcast(books)).orderBy("row").toPandas()
+    assert (ann.unpacked(got["code"]) == ann.encode(x, books)).all() and len(got["code"][0]) == 2
+
+
 def test_parallel_error_weighs_more():
     rng = np.random.default_rng(2)
     x = rng.normal(size=(2000, 16))

@@ -105,7 +105,7 @@ ORACLE_SQL: dict[str, str] = {
         SELECT doc_id, lang, source, n_chars, CAST(((coalesce(doc_id, 0) % 8) + 8) % 8 AS INTEGER) AS arrival,
             CAST(strlen(coalesce(text, '')) AS BIGINT) AS n_bytes, sha256(coalesce(text, '')) AS text_sha256
         FROM documents""",
-    # Exact search; the operator's recall is 1 on this table.
+    # Exact search. The operator reranks a shortlist; its recall is measured on larger tables, see README and tests.
     "op4_anisotropic_search": """
         WITH v AS (
             SELECT vec_id, CAST(embedding AS DOUBLE[]) AS e FROM embeddings
