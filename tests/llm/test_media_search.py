@@ -358,32 +358,62 @@ def test_parallel_error_weighs_more():
 
 def test_licences(spark):
     mit = licences.TEMPLATES["MIT"]
-    texts = ["Before. Released under the MIT License. After", mit.upper(), "word " * 700 + mit + " tail" * 300, " ".join(mit.split()[:40]), None, "", "Released under the", "x " * 90 + "This work is licensed under the GNU General Public License, version 3." * 2]
+    texts = ["Before. Released under the MIT License. After", mit.upper(), "word " * 700 + mit + " tail" * 300, " ".join(mit.split()[:40]), None, "", "Released under the", "x " * 90 + "This work is licensed under the GNU General Public License, version 3." * 2, licences.TEMPLATES["BSD-3-Clause"]]
     docs = spark.createDataFrame([(i, t, "l") for i, t in enumerate(texts)], "doc_id long, text string, licence string")
     got = {(r["doc_id"], r["licence"]): r for r in licences.licence_scan(docs).collect()}
-    assert set(got) == {(0, "MIT line"), (1, "MIT"), (2, "MIT"), (7, "GPL-3.0 line")}
+    assert set(got) == {(0, "MIT line"), (1, "MIT"), (2, "MIT"), (7, "GPL-3.0 line"), (8, "BSD-2-Clause"), (8, "BSD-3-Clause"), (8, "BSD conditions")}
     r = got[0, "MIT line"]
     assert texts[0].encode()[r["start_byte"] : r["end_byte"]] == b"Released under the MIT License" and r["containment"] == 1.0
     assert licences.licence_scan(docs.limit(0)).count() == 0
 
 
-def test_licence_scan_against_brute_force():
-    """Every planted passage with 80 % of a template's shingles is found, whatever its place."""
+def _by_definition(index, text):
+    """Templates of which some window holds 80 % of the shingles: every window of every template, no MinHash."""
+    sh, found = licences.shingle_hashes(_words(text)), set()
+    n = len(_words(text))
+    for t, name in enumerate(index.names):
+        step, last = licences.windows_of(n, index.window[t])
+        own = set(index.shingles[t].tolist())
+        for w in range(last + 1):
+            if 10 * len(own & set(sh[w * step : min(w * step + index.window[t], n) - 4].tolist())) >= 8 * len(own):
+                found.add(name)
+                break
+    return found
+
+
+@pytest.mark.parametrize("name", sorted(licences.TEMPLATES))
+def test_licence_scan_against_brute_force(name):
+    """Passages of every template, changed or not, at hundreds of places: what is found is what all windows hold."""
     import pyarrow as pa
 
     rng = np.random.default_rng(8)
     index = licences.Index(licences.TEMPLATES)
-    noise = [f"n{i}" for i in range(5000)]
-    for name in ("MIT", "Apache-2.0 header", "ISC", "GPL-3.0 notice"):
-        words = licences.TEMPLATES[name].split()
-        for _ in range(15):
-            w = list(words)
+    noise = np.array([f"n{i}" for i in range(5000)])
+    words = licences.TEMPLATES[name].split()
+    texts = []
+    for k in range(300 if len(words) < 20 else 100):
+        w = list(words)
+        for _ in range(int(rng.integers(0, 2 + len(w) // 40)) if k % 5 else 0):
             w[int(rng.integers(len(w)))] = "changed"
-            text = " ".join([*rng.choice(noise, rng.integers(0, 400)), *w, *rng.choice(noise, rng.integers(0, 400))])
-            s = set(licences.shingle_hashes(_words(text)).tolist())
-            t = set(index.shingles[index.names.index(name)].tolist())
-            found = {r[1] for r in licences.scan_texts(pa.array([text]), index)}
-            assert (len(s & t) / len(t) >= 0.8) == (name in found)
+        if k % 3 == 0 and k % 5:
+            w.insert(int(rng.integers(len(w))), "inserted")
+        texts.append(" ".join([*rng.choice(noise, rng.integers(0, 400)), *w, *rng.choice(noise, rng.integers(0, 400))]))
+    texts.append(" ".join(words))
+    found = [set() for _ in texts]
+    for r in licences.scan_texts(pa.array(texts), index):
+        found[r[0]].add(r[1])
+    for i in range(0, len(texts), 1 if len(words) < 20 else 9):
+        assert found[i] == _by_definition(index, texts[i])
+    whole = [i for i, t in enumerate(texts) if " ".join(words) in t]
+    assert len(whole) > 5 and all(name in found[i] for i in whole)
+
+
+def test_bands_of_templates():
+    index = licences.Index(licences.TEMPLATES)
+    for x, w, bands in zip(index.shingles, index.window, index.bands, strict=True):
+        assert (1 - licences.least_jaccard(len(x), w)) ** bands <= licences.MISS or licences.least_jaccard(len(x), w) == 1
+    with pytest.raises(ValueError):
+        licences.Index({"short": "four words are few"})
 
 
 def _words(text):
