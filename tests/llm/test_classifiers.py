@@ -88,13 +88,85 @@ def test_without_labels_or_rows(tables):
 
 def test_label_model_finds_accuracies_and_correlation():
     rng = np.random.default_rng(1)
-    y = rng.random(4000) < 0.2
-    said = np.stack([np.where(y, rng.random(4000) < 0.6, rng.random(4000) < r) for r in (0.001, 0.002, 0.03)], 1)
-    said = np.column_stack([said, said[:, 0]])  # a voter that repeats another
-    votes = np.column_stack([said, ~said.any(1)])
-    m = toxicity.LabelModel().fit(votes, 0.2)
-    assert m.weight[0] < 0.7 and m.weight[3] < 0.7 and m.accuracy[0] >= m.accuracy[2]
-    assert ((m.posterior(votes) > 0.5) == said.any(1)).mean() > 0.95
+    y = rng.random(6000) < 0.2
+    said = np.stack([np.where(y, rng.random(6000) < 0.6, rng.random(6000) < r) for r in (0.001, 0.002, 0.03)], 1)
+    noise = rng.random(6000) < 0.05  # a voter that is wrong: it speaks alike on both
+    courtesy = ~y & (rng.random(6000) < 0.3)
+    votes = np.column_stack([said, noise, said[:, 0], courtesy, ~said.any(1), ~said[:, :2].any(1)])  # one that repeats another, three for clean
+    m = toxicity.LabelModel().fit(votes, 0.2, np.arange(8) > 4)
+    assert m.accuracy[0] > 0.9 and m.accuracy[1] > 0.9 and m.accuracy[3] < 0.4 and m.accuracy[5] > 0.9
+    assert m.parent[4] == 0 and abs(np.log(m.beside[1, 4] / m.beside[0, 4])) < 1 < np.log(m.rate[1, 4] / m.rate[0, 4])
+    assert ((m.posterior(votes) > 0.5) == y).mean() > 0.93
+    assert abs(m.share - y.mean()) < 0.05
+
+
+@pytest.mark.parametrize("text", ["1d10t", "i.d.i.o.t", "i d i o t", "idiooooot", "ID!0T", "what an i-d-i-o-t, he said"])
+def test_disguises(text):
+    data = toxicity.LOWER[np.frombuffer(text.encode(), np.uint8)]
+    _, h = toxicity.undisguised(data, np.array([0, len(data)]))
+    assert toxicity.hash_of("idiot") in h
+
+
+def test_plain_words_are_no_disguise():
+    data = toxicity.LOWER[np.frombuffer("A week-end in 2024, at 10.30: it's fine!!! and*** so### on 3D".encode(), np.uint8)]
+    _, h = toxicity.undisguised(data, np.array([0, len(data)]))
+    assert not {int(x) for x in h} & {int(toxicity.hash_of(w)) for w in toxicity.LEXICON.split()}
+
+
+def test_votes_by_definition():
+    texts = ["you idiot", "an idiot", "shut up now", "1d10t here", "thank Grumble", "grumblix"]
+    import pyarrow as pa
+
+    fixed, n = toxicity.listed()
+    votes = toxicity.votes_of(toxicity.distinct_features(pa.array(texts)), [*fixed, np.array([toxicity.hash_of("grumblix")])], len(fixed))
+    words = list(dict.fromkeys(toxicity.LEXICON.split()))
+    assert votes[:, words.index("idiot")].tolist() == [True, True, False, True, False, False] and n == len(words)
+    addressed, masked, courtesy, notices, mined, quiet, unmined = votes[:, len(fixed) - 4 :].T.tolist()
+    assert quiet == [False] * 4 + [True] * 2 and unmined == [True] * 5 + [False]
+    assert addressed == [True] + [False] * 5 and masked == [False] * 3 + [True, False, False] and mined == [False] * 5 + [True]
+    assert courtesy == [False] * 4 + [True, False] and not any(notices)
+    assert votes[2, n : n + 3].tolist() == [True, False, False]
+
+
+def test_sample_is_bounded(spark, monkeypatch):
+    """One row of an id however often it comes, none that is too long, and no more ids than asked for."""
+    monkeypatch.setattr(linear, "LONGEST_SAMPLE", 50)
+    docs = spark.createDataFrame([(1, f"text {i}") for i in range(40)] + [(2, "x" * 60), (3, None), (None, "a"), (4, "d")], "doc_id long, text string")
+    labels = spark.createDataFrame([(i, 1) for i in (1, 2, 3, 4)] + [(None, 1), (4, None)], "doc_id long, toxic int")
+    got = linear.labelled_sample(docs, labels, "toxic", 1000, 999, 10).collect()
+    assert sorted(r["id"] for r in got) == [1, 3, 4] and {r["text"] for r in got if r["id"] == 3} == {""}
+    assert len(linear.labelled_sample(docs, labels, "toxic", 1000, 999, 2).collect()) <= 2
+
+
+def test_scores_by_hand(spark, tables):
+    """Scores of both models, once more, text by text and feature by feature from the fitted weights."""
+    import pyarrow as pa
+
+    docs, labels, rows = tables
+    texts = [t for _, t, _, _ in rows[:60]]
+    sample = linear.labelled_sample(docs, labels, "quality", 4, 2, 6000).toPandas().sort_values("id")
+    fit = quality.fit_rows(sample)
+    weights = np.frombuffer(fit["weights"][0], "<f4").astype(float)
+    got = {r["doc_id"]: r["score"] for r in quality.quality_scores(docs, labels).collect()}
+    for (i, *_), text in zip(rows[:60], texts, strict=True):
+        raw = np.frombuffer(text.encode(), np.uint8)
+        f, n = quality.features(raw, np.array([0, len(raw)]))
+        z = fit["bias"][0] + sum(weights[k] for k in f.tolist()) * quality.SCALE / n[0]
+        assert got[i] == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-6)
+    sample = linear.labelled_sample(docs, labels, "toxic", 3, 1, 9000).toPandas().sort_values("id")
+    fit = toxicity.fit_rows(sample)
+    table = dict(zip(np.frombuffer(fit["hashes"][0], "<u8").tolist(), np.frombuffer(fit["weights"][0], "<f8").tolist(), strict=True))
+    got = {r["doc_id"]: r["score"] for r in toxicity.toxicity_scores(docs, labels).collect()}
+    for (i, *_), text in zip(rows[:60], texts, strict=True):
+        z = fit["bias"][0] + sum(table.get(k, 0.0) for k in set(toxicity.distinct_features(pa.array([text]))[0].tolist()))
+        assert got[i] == pytest.approx(1 / (1 + np.exp(-z)), abs=1e-9)
+
+
+def test_null_ids_are_never_held_out(spark, tables):
+    docs, labels, _ = tables
+    frame = docs.limit(5).withColumn("doc_id", F.lit(None).cast("long"))
+    for scores in (quality.quality_scores, toxicity.toxicity_scores):
+        assert [r["held_out"] for r in scores(docs.unionByName(frame), labels).where("doc_id IS NULL").collect()] == [False] * 5
 
 
 def test_pipeline_against_its_parts(spark, sf_dir):

@@ -92,8 +92,9 @@ def crc_fold(id_column: str, n: int) -> Column:
     return F.crc32(F.col(id_column).cast("string").cast("binary")) % n
 
 
-def fold_of(ids: Iterable[int], n: int) -> np.ndarray:
-    return np.array([zlib.crc32(str(i).encode()) % n for i in ids], np.int64)
+def fold_of(ids: Iterable[int | None], n: int) -> np.ndarray:
+    """The same fold for Python values; a null id is in fold -1, which nothing holds out."""
+    return np.array([-1 if i is None else zlib.crc32(str(i).encode()) % n for i in ids], np.int64)
 
 
 def map_batches(df: DataFrame, fn: Callable[[pa.RecordBatch], Iterator[pa.RecordBatch] | pa.RecordBatch], schema: str, owner: str = "") -> DataFrame:

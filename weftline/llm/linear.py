@@ -55,17 +55,25 @@ class Ftrl:
         return self
 
 
+#: Bytes of a text that a model learns from, at most; longer ones are scored, not learnt from.
+LONGEST_SAMPLE = 1 << 16
+
+
 def labelled_sample(docs: DataFrame, labels: DataFrame, label: str, folds: int, held_out: int, most: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Whole texts with a label, outside the held-out fold: rows (id, text, label), at most `most` ids.
+    """Whole texts with a label, outside the held-out fold: rows (id, text, label), at most `most` ids, one row each.
 
-    The ids with the smallest hashes are taken, so the sample is even and the same on every run. Null labels
-    don't count; an id with several labels has their mean, rounded up. Only `most` ids are broadcast.
+    The ids with the smallest hashes are taken, so the sample is even and the same on every run. Null labels and
+    labels without an id don't count; an id with several labels has their mean, rounded up, one with several texts
+    gives the one with the smallest hash. Texts over LONGEST_SAMPLE bytes are left out, so `most` times that bounds the
+    sample. Only `most` ids are broadcast.
     """
     known = labels.where(F.col(label).isNotNull() & F.col(id_col).isNotNull()).where(_in_training(id_col, folds, held_out))
     known = known.groupBy(id_col).agg((F.avg(label) >= 0.5).cast("int").alias("label"))
     taken = known.orderBy(F.xxhash64(id_col), id_col).limit(most).select(F.col(id_col).alias("sample_id"), "label")
-    texts = docs.select(F.col(id_col).alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("body"))
-    return texts.join(F.broadcast(taken), texts["doc"] == taken["sample_id"]).select(F.col("doc").alias("id"), F.col("body").alias("text"), "label")
+    texts = docs.select(F.col(id_col).alias("doc"), F.coalesce(F.col(text_col), F.lit("")).alias("body")).where(F.octet_length("body") <= LONGEST_SAMPLE)
+    found = texts.join(F.broadcast(taken), texts["doc"] == taken["sample_id"])
+    once = found.groupBy("doc").agg(F.min_by("body", F.xxhash64("body")).alias("text"), F.first("label").alias("label"))
+    return once.select(F.col("doc").alias("id"), "text", "label")
 
 
 def _in_training(id_col: str, folds: int, held_out: int) -> Column:

@@ -5,8 +5,8 @@ words and n-grams of word shapes (case, digits, signs, a word said again). A tex
 shares of the text, so the score is a sparse dot product that is a mean of weights over the tokens.
 
 Cases: null and empty texts have no features and score what the bias alone gives; without any labelled row
-every score is 0.5. Repeated rows are scored one by one. Labels that are null don't count. Other columns are
-not looked at and not returned.
+every score is 0.5. A row without an id is never held out, and its labels don't count. Repeated rows are scored one
+by one. Labels that are null don't count. Other columns are not looked at and not returned.
 """
 
 from __future__ import annotations

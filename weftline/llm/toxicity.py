@@ -1,20 +1,30 @@
 """Toxicity by weak supervision.
 
-Voters. From a bounded sample of labelled training rows, words and word beginnings (three to six bytes)
-that go with the label become voters for "toxic"; a voter abstains where its term is absent. One pattern
-voter says "clean" where none of the terms is found.
-
-Label model. The true label is hidden; expectation maximisation on the votes alone estimates how often each
-voter is right when it speaks (its accuracy) and the share of toxic texts. What voters still have in common
-once the label is known is their correlation: voters that speak together more often than the label explains
-share one vote's weight among them. The result is a posterior label.
-
-Classifier. FTRL logistic regression on hashed words and word beginnings, presence only, learns the
-posterior labels, and scores every text; the few features whose weights L1 leaves are looked up by their
-full 64-bit hash, so unrelated words cannot share a weight.
-
-Cases: null and empty texts score the bias; without any labelled row every score is 0. Repeated rows are
-scored one by one. Letters are compared in lower case (A-Z only). Other columns are not looked at.
+Voters, each of which says "toxic" where it finds its term and else abstains:
+- lexicon voters, one a word of a fixed list of insults in four languages;
+- phrase voters, one a fixed phrase of two words, and one for a listed word said to somebody ("you ...");
+- a spelling voter for listed words in disguise: digits or signs for letters, letters set apart, letters drawn out;
+- mined voters: words, word beginnings (three to six bytes) and pairs of words that go with the label in a bounded
+  sample of labelled training rows, by LEAST_TOXIC texts and a likelihood ratio that chance among all terms tried
+  doesn't reach (some six toxic texts where one in nine is toxic).
+Four voters speak for "clean": words of courtesy, words of notices and references, that no fixed voter speaks, and that
+no mined voter does.
+
+Label model. The true label is hidden, and voters may be wrong. Each voter has a rate of speaking on toxic and one on
+clean texts, and their ratio is its vote's weight, so a voter that speaks alike on both has none. Voters are not
+independent: each may have one parent, the earlier voter with which it has most in common given the label (conditional
+mutual information, where that is more than chance), and where the parent speaks the voter's rates are those beside the
+parent; a voter that only repeats another adds nothing. A vote may be worth nothing, but not the contrary of what it says. Expectation maximisation on the votes estimates the rates, the
+parents and the share of toxic texts; the result is a posterior label. (With silence counted as evidence as well, the
+hidden label drifts to what else the texts differ in and misses twice as many toxic texts, so voters abstain.)
+
+Classifier. FTRL logistic regression on hashed words, word beginnings, word pairs and undisguised words, presence
+only, learns the posterior labels, and scores every text; the few features whose weights L1 leaves are looked up
+by their full 64-bit hash, so unrelated words cannot share a weight.
+
+Cases: null and empty texts score the bias; without any labelled row every score is 0. A row without an id is
+never held out, and its labels don't count. Repeated rows are scored one by one. Letters are compared in lower case
+(A-Z only). Other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -26,7 +36,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from weftline.llm.common import LOWER, fold_of, mix, slices, span_hashes, text_buffer
+from weftline.llm.common import LOWER, claim, combine, fold_of, mix, slices, span_hashes, text_buffer, words
 from weftline.llm.linear import Ftrl, fitted, kept_rows, labelled_sample, sigmoid
 from weftline.llm.quality import tokens
 
@@ -37,22 +47,123 @@ PREFIXES = (3, 4, 5, 6)
 #: A term becomes a voter if it is in so many toxic texts of the sample at least, and so pure.
 LEAST_TOXIC, LEAST_PRECISION = 4, 0.9
 #: Terms are tried by the log-likelihood ratio; it must pass 2 ln(terms tried) by this.
-OVER_CHANCE = 12.0
+OVER_CHANCE = 2.0
 MOST_VOTERS = 256
-#: No voter is taken for less accurate than this.
-LEAST_ACCURATE = 0.8
-ROUNDS = 30
+#: Twice the texts times the mutual information of two voters given the label, for one to be the other's parent.
+RELATED = 15.0
+ROUNDS = 20
 EPOCHS, ALPHA, L1, L2 = 10, 1.0, 0.05, 0.005
 
 
+# Insults of four languages, in lower case.
+LEXICON = (
+    "arse arsehole ass asshole bastard bitch bloody bollocks bullshit clown coward crap cretin cunt degenerate dickhead disgusting dumb dumbass dunce fool freak fuck fucking garbage "
+    "idiot idiotic imbecile incompetent jackass jerk liar loser lunatic moron moronic motherfucker nitwit parasite pathetic pig prick psycho rat retard retarded scum scumbag shit "
+    "shithead shut slut sleazy slob stupid suck sucks swine thug trash twat ugly useless vermin vile wanker weasel whore wimp worthless wretch "
+    "abruti batard bouffon connard connasse con conne cretine debile idiote imbecile merde ordure pauvre pourriture salaud salope taré "
+    "abschaum arsch arschloch blöd bloedmann depp dreck dreckig dumm dummkopf drecksau hurensohn idiotin missgeburt mistkerl scheisse scheiße schlampe trottel versager vollidiot wichser "
+    "asqueroso basura cabrón cerdo escoria estúpido estúpida gilipollas idiota imbécil inútil mierda perdedor puta puto tonto"
+)
+PHRASES = (
+    "shut up, get lost, drop dead, screw you, hate you, go die, kill yourself, piss off, fuck you, fuck off, ta gueule, ferme la, casse toi, va crever, "
+    "halt maul, verpiss dich, halts maul, hau ab, cállate ya, vete muere, lárgate ya"
+)
+#: Who is spoken to in a pair of words.
+ADDRESSED = "you your ur tu toi vous du dich dein eres tú"
+#: Words that speak for a clean text: of courtesy, of notices and references.
+COURTESY = "please thanks thank welcome sincerely regards merci bienvenue cordialement bitte danke willkommen gracias bienvenido saludos"
+NOTICES = "licensed license copyright http https www references chapter figure table doi isbn licence licencia lizenz"
+#: Signs and digits that stand for letters.
+DISGUISES = {"0": "o", "1": "i", "3": "e", "4": "a", "5": "s", "7": "t", "@": "a", "$": "s", "!": "i"}
+
+_PLAIN = np.zeros(256, np.uint8)  # the letter that a byte stands for, or 0
+for _c in range(97, 123):
+    _PLAIN[_c] = _c
+for _sign, _letter in DISGUISES.items():
+    _PLAIN[ord(_sign)] = ord(_letter)
+_LETTER = np.zeros(256, bool)
+_LETTER[97:123] = True
+#: Marks features that say a word was in disguise.
+_MASKED = np.uint64(0x5BD1E995)
+SPELT_LEAST, SPELT_MOST = 4, 24
+
+
+def hash_of(text: str) -> np.uint64:
+    raw = np.frombuffer(text.encode(), np.uint8)
+    return span_hashes(raw, np.array([0]), np.array([len(raw)]))[0]
+
+
+def _pair(first: np.uint64, second: np.uint64) -> np.uint64:
+    return combine(np.array([first]), np.array([second]))[0]
+
+
+def undisguised(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(text, hash) of words read through their disguise; data is in lower case.
+
+    A word between blanks is in disguise if between two letters there stands a digit or sign that stands for a letter
+    or a single sign that parts them, or a letter three times; so are four or more single letters in a row. Signs are
+    dropped or read as the letter they stand for, and letters said again are said once or twice (both are tried).
+    """
+    starts, ends, counts = words(data, offs)
+    if not len(starts):
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    text_of = np.repeat(np.arange(len(counts)), counts)
+    length = ends - starts
+    letters = np.concatenate([[0], np.cumsum(_LETTER[data])])
+    inner = letters[ends] - letters[starts]
+    # Not all letters, but a letter at the start and what is at the end is not where the signs stop.
+    triple = np.zeros(len(data), bool)
+    triple[2:] = (data[2:] == data[1:-1]) & (data[1:-1] == data[:-2]) & _LETTER[data[2:]]
+    triples = np.concatenate([[0], np.cumsum(triple)])
+    sign_then_letter = np.zeros(len(data), bool)
+    sign_then_letter[1:] = _LETTER[data[1:]] & ~_LETTER[data[:-1]] & (data[:-1] < 128)
+    signs = np.concatenate([[0], np.cumsum(sign_then_letter)])
+    between = signs[ends] - signs[starts + 1] > 0
+    odd = (length >= SPELT_LEAST) & (length <= 3 * SPELT_MOST) & (inner >= 2) & ((between & (_PLAIN[data[starts]] > 0)) | (triples[ends] - triples[np.minimum(starts + 2, ends)] > 0))
+    found: list[tuple[int, bytes]] = [(int(text_of[i]), data[starts[i] : ends[i]].tobytes()) for i in np.flatnonzero(odd).tolist()]
+    # Single letters in a row.
+    single = (length == 1) & _LETTER[data[starts]]
+    edge = np.flatnonzero(np.diff(np.concatenate([[0], single.astype(np.int8), [0]])))
+    for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
+        for t in np.unique(text_of[a:b]).tolist():
+            run = np.arange(a, b)[text_of[a:b] == t]
+            if SPELT_LEAST <= len(run) <= SPELT_MOST:
+                found.append((t, data[starts[run]].tobytes()))
+    at, forms = [], []
+    for t, raw in found:
+        for form in spelt(raw):
+            at.append(t)
+            forms.append(form)
+    if not forms:
+        return np.zeros(0, np.int64), np.zeros(0, np.uint64)
+    joined = np.frombuffer(b"".join(forms), np.uint8)
+    to = np.cumsum([len(f) for f in forms])
+    return np.array(at), span_hashes(joined, to - [len(f) for f in forms], to)
+
+
+def spelt(raw: bytes) -> set[bytes]:
+    """What a word in disguise may say: signs as letters or as mere parting, letters said again said once or twice."""
+    low = np.frombuffer(raw, np.uint8)
+    out = set()
+    for plain in (_PLAIN[low], np.where(_LETTER[low], low, 0)):
+        letters = plain[plain > 0]
+        if len(letters) < SPELT_LEAST:
+            continue
+        same = np.concatenate([[False], letters[1:] == letters[:-1]])
+        twice = same & np.concatenate([[False], same[:-1]])
+        out |= {letters[~same].tobytes(), letters[~twice].tobytes()}
+    return {w for w in out if SPELT_LEAST <= len(w) <= SPELT_MOST}
+
+
 def features(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Hashes of the words and of their beginnings, text after text, and how many each text has; repeats included."""
+    """Hashes of the words, their beginnings, pairs and undisguised forms, text after text, and how many each text has."""
     data = LOWER[data]
     starts, ends, kind, counts = tokens(data, offs)
     n = len(starts)
     if not n:
         return np.zeros(0, np.uint64), np.zeros(len(offs) - 1, np.int64)
-    out = np.empty((n, 1 + len(PREFIXES)), np.uint64)
+    each = 2 + len(PREFIXES)
+    out = np.empty((n, each), np.uint64)
     out[:, 0] = span_hashes(data, starts, ends)
     length = ends - starts
     for k, p in enumerate(PREFIXES, 1):
@@ -65,7 +176,22 @@ def features(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray
         h = out[:, 0].copy()
         h[ok] = mix(span_hashes(data, starts[ok], cut[ok]) + np.uint64(p))
         out[:, k] = h
-    return out.reshape(-1), counts * (1 + len(PREFIXES))
+    # A word and the next of the same text.
+    out[:, -1] = out[:, 0]
+    follows = np.ones(n, bool)
+    follows[np.cumsum(counts)[counts > 0] - 1] = False
+    at = np.flatnonzero(follows)
+    out[at, -1] = combine(out[at, 0], out[at + 1, 0])
+    owner, hidden = undisguised(data, offs)
+    flat, sizes = out.reshape(-1), counts * each
+    if len(owner):
+        hidden = np.stack([hidden, mix(hidden ^ _MASKED)], 1).reshape(-1)
+        owner = np.repeat(owner, 2)
+        order = np.argsort(owner, kind="stable")
+        owner = owner[order]
+        flat = np.insert(flat, np.cumsum(sizes)[owner], hidden[order])
+        sizes = sizes + np.bincount(owner, minlength=len(sizes))
+    return flat, sizes
 
 
 def distinct_features(texts: pa.Array) -> list[np.ndarray]:
@@ -104,9 +230,15 @@ def choose_voters(found: list[np.ndarray], label: np.ndarray) -> np.ndarray:
     g = telling(both, bad, n, toxic)
     good = np.flatnonzero(tried & (bad >= LEAST_TOXIC) & (bad >= LEAST_PRECISION * both) & (g >= 2 * np.log(max(tried.sum(), 1)) + OVER_CHANCE))
     good = good[np.lexsort((every[good], -g[good]))]
-    rows_of = {i: row[inverse == i] for i in good[: 4 * MOST_VOTERS].tolist()}
+    good = good[: 4 * MOST_VOTERS]
+    place = np.full(len(every), -1)
+    place[good] = np.arange(len(good))
+    spot = place[inverse]
+    hits = np.flatnonzero(spot >= 0)
+    hits = hits[np.argsort(spot[hits], kind="stable")]
+    rows_of = dict(zip(good.tolist(), np.split(row[hits], np.cumsum(np.bincount(spot[hits], minlength=len(good)))[:-1]), strict=True)) if len(good) else {}
     chosen, seen = [], set()
-    for i in good[: 4 * MOST_VOTERS].tolist():
+    for i in good.tolist():
         name = rows_of[i].tobytes()
         if name not in seen:
             seen.add(name)
@@ -114,59 +246,89 @@ def choose_voters(found: list[np.ndarray], label: np.ndarray) -> np.ndarray:
     return every[chosen[:MOST_VOTERS]]
 
 
-def votes_of(found: list[np.ndarray], voters: np.ndarray) -> np.ndarray:
-    """One row a text, one column a voter; the last column is the voter for clean."""
-    order = np.argsort(voters)
-    out = np.zeros((len(found), len(voters) + 1), bool)
-    if len(voters):
-        known = voters[order]
-        for r, f in enumerate(found):
-            at = np.searchsorted(known, f)
-            hit = at[(at < len(known)) & (known[np.minimum(at, len(known) - 1)] == f)]
-            out[r, order[hit]] = True
-    out[:, -1] = ~out[:, :-1].any(1)
+def listed() -> tuple[list[np.ndarray], int]:
+    """Hashes of each fixed voter's features; the first so many are one word's each."""
+    terms = list(dict.fromkeys(LEXICON.split()))
+    lexicon = np.array([hash_of(w) for w in terms])
+    fixed = [lexicon[i : i + 1] for i in range(len(lexicon))]
+    fixed += [np.array([_pair(*(hash_of(w) for w in phrase.split()))]) for phrase in PHRASES.split(", ")]
+    fixed.append(np.array([_pair(hash_of(who), h) for who in ADDRESSED.split() for h in lexicon]))
+    fixed.append(mix(lexicon ^ _MASKED))
+    fixed += [np.array([hash_of(w) for w in clean.split()]) for clean in (COURTESY, NOTICES)]
+    return fixed, len(lexicon)
+
+
+def votes_of(found: list[np.ndarray], voters: list[np.ndarray], n_fixed: int) -> np.ndarray:
+    """One row a text, one column a voter: whether any of its features is in the text. Two more columns: the voters for
+    clean that speak where no fixed voter does, and where no mined one does."""
+    term = np.concatenate(voters) if voters else np.zeros(0, np.uint64)
+    owner = np.repeat(np.arange(len(voters)), [len(v) for v in voters])
+    order = np.argsort(term, kind="stable")
+    term, owner = term[order], owner[order]
+    out = np.zeros((len(found), len(voters) + 2), bool)
+    for r, f in enumerate(found):
+        lo, hi = np.searchsorted(term, f), np.searchsorted(term, f, "right")
+        for i in np.flatnonzero(hi > lo).tolist():
+            out[r, owner[lo[i] : hi[i]]] = True
+    out[:, -2] = ~out[:, : n_fixed - 2].any(1)  # those for clean are the last fixed ones
+    out[:, -1] = ~out[:, n_fixed:-2].any(1)
     return out
 
 
 class LabelModel:
-    """Hidden label, voters with accuracies of their own, and shared weight among voters that repeat each other."""
+    """Hidden label; each voter's rates of speaking by label, alone and beside its parent."""
 
-    def fit(self, votes: np.ndarray, share: float) -> LabelModel:
-        """Expectation maximisation. An accuracy stays between LEAST_ACCURATE and 0.995: a voter is no worse than that
-        by choice, and without the bound the hidden label may turn into whatever else splits the texts best."""
+    def fit(self, votes: np.ndarray, share: float, for_clean: np.ndarray | None = None) -> LabelModel:
+        """for_clean: which voters speak for clean; it says where the iteration begins, not what it finds."""
         v = votes.astype(float)
-        terms = v[:, :-1]
-        said = np.maximum(terms.sum(0), 1)
+        m = v.shape[1]
+        self.for_clean = np.zeros(m, bool) if for_clean is None else for_clean
         self.share = float(np.clip(share, 0.01, 0.6))
-        self.weight = np.ones(terms.shape[1])
-        self.accuracy, self.silent = np.full(terms.shape[1], 0.9), 0.02
-        post = self.posterior(votes)
+        self.parent = np.full(m, -1)
+        post = np.where(votes[:, ~self.for_clean].any(1), 0.9, 0.02)
         for turn in range(ROUNDS):
-            if turn in (1, 10):
-                # What voters have in common once the label is known: correlation of residuals.
-                rate = np.stack([(1 - post) @ terms / max((1 - post).sum(), 1), post @ terms / max(post.sum(), 1)])
-                rest = terms - np.outer(1 - post, rate[0]) - np.outer(post, rate[1])
-                cov = rest.T @ rest
-                dev = np.sqrt(np.maximum(np.diag(cov), 1e-9))
-                self.correlation = cov / np.outer(dev, dev)
-                near = np.where(self.correlation > 0.2, self.correlation, 0)
-                np.fill_diagonal(near, 0)
-                self.weight = 1 / (1 + near.sum(1))
-            self.accuracy = np.clip((post @ terms) / said, LEAST_ACCURATE, 0.995)
-            clean = votes[:, -1]
-            self.silent = float(np.clip(post[clean].mean() if clean.any() else 0.02, 1e-3, 0.3))
+            if turn in (2, 8):
+                self.parent = self._parents(v, post)
+            # Rates: smoothed by half a text, so one lucky hit is no certainty.
+            self.rate = np.stack([(w @ v + 0.5) / (w.sum() + 1.0) for w in (1 - post, post)])
+            self.beside = self.rate.copy()
+            has = np.flatnonzero(self.parent >= 0)
+            above = v[:, self.parent[has]]
+            # What label-blind counts say stands in where a label has too few texts.
+            blind = ((above * v[:, has]).sum(0) + 0.5) / (above.sum(0) + 1.0)
+            for k, w in enumerate((1 - post, post)):
+                self.beside[k, has] = (w @ (above * v[:, has]) + blind) / (w @ above + 1.0)
             self.share = float(np.clip(post.mean(), 0.01, 0.6))
             post = self.posterior(votes)
+        self.accuracy = np.where(self.for_clean, (1 - post) @ v, post @ v) / np.maximum(v.sum(0), 1)
         return self
 
+    @staticmethod
+    def _parents(v: np.ndarray, post: np.ndarray) -> np.ndarray:
+        """For each voter the one before it with which it shares most information given the label, if beyond chance."""
+        info, together = np.zeros((v.shape[1], v.shape[1])), np.zeros((v.shape[1], v.shape[1]))
+        for w in (1 - post, post):
+            total = max(w.sum(), 1e-9)
+            both, one = (v * w[:, None]).T @ v / total, w @ v / total
+            a, b = one[:, None], one[None, :]
+            together += total * (both - a * b)
+            for joint, apart in ((both, a * b), (a - both, a * (1 - b)), (b - both, (1 - a) * b), (1 - a - b + both, (1 - a) * (1 - b))):
+                fine = (joint > 1e-12) & (apart > 1e-12)
+                info += np.where(fine, total * joint * np.log(np.where(fine, joint / np.where(fine, apart, 1), 1)), 0)
+        info = np.tril(np.where(together > 0, info, 0), -1)  # voters that avoid each other repeat nothing
+        info[-2:] = 0  # the last two say what the others leave
+        best = info.argmax(1)
+        return np.where(2 * info[np.arange(len(best)), best] > RELATED, best, -1)
+
+    def weights(self) -> tuple[np.ndarray, np.ndarray]:
+        """What each vote adds to the log odds of toxic, alone and beside its parent; at worst nothing, never the contrary."""
+        sign = np.where(self.for_clean, -1.0, 1.0)
+        return tuple(sign * np.maximum(sign * np.log(r[1] / r[0]), 0.0) for r in (self.rate, self.beside))
+
     def posterior(self, votes: np.ndarray) -> np.ndarray:
-        prior = np.log(self.share / (1 - self.share))
-        each = (np.log(self.accuracy / (1 - self.accuracy)) - prior) * self.weight
-        quiet = np.log(self.silent / (1 - self.silent)) - prior
-        # Voters that repeat each other weigh as one, but never as less than the surest of those that spoke.
-        spoken = votes[:, :-1]
-        total = np.maximum(spoken @ each, np.where(spoken, each / self.weight, 0).max(1, initial=0))
-        return sigmoid(prior + total + votes[:, -1] * quiet)
+        alone, beside = self.weights()
+        near = (self.parent >= 0) & votes[:, self.parent]
+        return sigmoid(np.log(self.share / (1 - self.share)) + np.where(votes, np.where(near, beside, alone), 0.0).sum(1))
 
 
 def fit_rows(pdf: pd.DataFrame) -> pd.DataFrame:
@@ -175,11 +337,18 @@ def fit_rows(pdf: pd.DataFrame) -> pd.DataFrame:
     label = pdf["label"].to_numpy(float)
     once = unlike(found)
     found, label = [found[i] for i in once], label[once]
-    voters = choose_voters(found, label)
-    if not len(voters):
+    fixed, n_words = listed()
+    known = set(np.concatenate(fixed[:n_words]).tolist())
+    mined = [np.array([h]) for h in choose_voters(found, label) if int(h) not in known]
+    votes = votes_of(found, fixed + mined, len(fixed))
+    for_clean = np.zeros(votes.shape[1], bool)
+    for_clean[[len(fixed) - 2, len(fixed) - 1, -2, -1]] = True
+    speaks = votes.any(0)
+    speaks[-2:] = True
+    if not speaks[~for_clean].any():
         return pd.DataFrame({"hashes": [b""], "weights": [b""], "bias": [-35.0], "voters": [0]})
-    votes = votes_of(found, voters)
-    target = LabelModel().fit(votes, float(label.mean())).posterior(votes)
+    votes = votes[:, speaks]
+    target = LabelModel().fit(votes, float(label.mean()), for_clean[speaks]).posterior(votes)
     every, inverse = np.unique(np.concatenate(found), return_inverse=True)
     sizes = [len(f) for f in found]
     both = np.bincount(inverse, minlength=len(every))
@@ -193,7 +362,7 @@ def fit_rows(pdf: pd.DataFrame) -> pd.DataFrame:
     model.fit(examples, target, EPOCHS)
     w = model.weights()
     keep = np.flatnonzero(w)
-    return pd.DataFrame({"hashes": [every[useful][keep].astype("<u8").tobytes()], "weights": [w[keep].astype("<f8").tobytes()], "bias": [model.bias], "voters": [len(voters)]})
+    return pd.DataFrame({"hashes": [every[useful][keep].astype("<u8").tobytes()], "weights": [w[keep].astype("<f8").tobytes()], "bias": [model.bias], "voters": [votes.shape[1]]})
 
 
 class Lookup:
@@ -248,6 +417,7 @@ def toxicity_scores(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id",
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        claim("toxicity")
         scorer = make()
         for b in batches:
             score = scorer(b.column(1))
