@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from weftline.functions import text as tx
 from weftline.functions import vectors as vx
+from weftline.config import View
 from weftline.operators import chunking, diffusion, graph, lexical, retrieval, selection, signals, spectral, weights
 from weftline.operators.providers import default_providers, overlap_reranker
 from weftline.plans import view
@@ -109,7 +110,15 @@ def labels_and_previews(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t(spark, sf_dir, "documents").select("doc_id", tx.language_name(F.col("lang")).alias("language"), tx.label_of(F.col("text"), 80).alias("label"), tx.snippet(F.col("text"), 200).alias("preview"))
 
 
-@query()
+def _stop_hits(words: tuple[str, ...]) -> str:
+    return f"len(list_filter(w, lambda x: list_contains({list(words)!r}, x)))"
+
+
+@query(f"""
+    WITH d AS (SELECT doc_id, lang, coalesce(text, '') AS text, string_split_regex(lower(coalesce(text, '')), '[^\\p{{L}}]+') AS w FROM documents),
+    h AS (SELECT doc_id, lang, text, {", ".join(f"{_stop_hits(words)} AS {code}" for code, words in tx.STOP_WORDS.items())} FROM d)
+    SELECT doc_id, lang, CASE WHEN length(trim(text)) < 20 OR greatest(en, fr, de, es) = 0 THEN 'en' WHEN en = greatest(en, fr, de, es) THEN 'en'
+        WHEN fr = greatest(en, fr, de, es) THEN 'fr' WHEN de = greatest(en, fr, de, es) THEN 'de' ELSE 'es' END AS detected FROM h""")
 def detected_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t(spark, sf_dir, "documents").select("doc_id", "lang", tx.detect_language(F.col("text")).alias("detected"))
 
@@ -218,7 +227,7 @@ def select_anchor(spark: SparkSession, sf_dir: str) -> DataFrame:
     WITH {_BM25}, f AS (SELECT bm.*, d.source, d.text, min(rank) OVER (PARTITION BY query_id, d.source) AS fs FROM bm JOIN documents d USING (doc_id)),
     g AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY fs, rank) AS n FROM f)
     SELECT query_id, CAST(n AS INTEGER) AS n, source, CASE WHEN rank = fs THEN '=== Source: ' || source || ' ===' || chr(10) ELSE '' END
-        || '--- Context ' || n || ' (source: ' || source || ', pos: ' || doc_id || ') ---' || chr(10) || substr(text, 1, 100) || chr(10) AS block FROM g""")
+        || '--- Context ' || n || ' (source: ' || source || ', pos: ' || doc_id || ') ---' || chr(10) || text || chr(10) AS block FROM g""")
 def context_blocks(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = t(spark, sf_dir, "documents").select("doc_id", "source", "text")
     rows = bm25_topk(spark, sf_dir).join(docs, "doc_id").select("query_id", "rank", "source", F.col("doc_id").alias("position"), "text")
@@ -274,7 +283,7 @@ def section_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 _TERMS = """
     e AS (SELECT DISTINCT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM documents),
     el AS (SELECT doc_id, term FROM e WHERE length(term) >= 8),
-    ek AS (SELECT term FROM el GROUP BY term HAVING count(*) BETWEEN 2 AND 10),
+    ek AS (SELECT term FROM el GROUP BY term HAVING count(*) >= 2),
     er AS (SELECT doc_id AS id, term FROM el JOIN ek USING (term)),
     ep AS (SELECT a.id AS i, b.id AS j, CAST(count(*) AS DOUBLE) AS n FROM er a JOIN er b ON a.term = b.term AND a.id < b.id GROUP BY 1, 2),
     ent AS (SELECT i, j, n / max(n) OVER () AS score FROM ep)"""
@@ -294,8 +303,7 @@ def entity_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("""
     WITH h AS (SELECT DISTINCT page_id AS id, unnest(regexp_extract_all(html, 'href="([^"]+)"', 1)) AS key FROM pages),
     k AS (SELECT key FROM h GROUP BY key HAVING count(*) >= 2), r AS (SELECT h.* FROM h JOIN k USING (key)),
-    c AS (SELECT id, key FROM (SELECT *, row_number() OVER (PARTITION BY key ORDER BY id) AS nth FROM r) WHERE nth <= 50),
-    p AS (SELECT a.id AS i, b.id AS j, CAST(count(*) AS DOUBLE) AS n FROM c a JOIN c b ON a.key = b.key AND a.id < b.id GROUP BY 1, 2)
+    p AS (SELECT a.id AS i, b.id AS j, CAST(count(*) AS DOUBLE) AS n FROM r a JOIN r b ON a.key = b.key AND a.id < b.id GROUP BY 1, 2)
     SELECT 'citation' AS signal, i, j, n / max(n) OVER () AS score FROM p""")
 def citation_edges(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Links that pages share."""
@@ -354,7 +362,10 @@ def degree_topn(spark: SparkSession, sf_dir: str) -> DataFrame:
     return graph.top_by_degree(*_sem_graph(spark, sf_dir), 50)
 
 
-@query(f"WITH {_EDGE_SQL} SELECT src, dst, round(weight, 9) AS weight FROM edge WHERE src < 200 AND dst < 200")
+@query(f"""
+    WITH {_EDGE_SQL}, e AS (SELECT src AS id FROM edge UNION ALL SELECT dst FROM edge), d AS (SELECT id, count(*) AS degree FROM e GROUP BY id),
+    top AS (SELECT id FROM node LEFT JOIN d USING (id) ORDER BY coalesce(degree, 0) DESC, id LIMIT 200)
+    SELECT src, dst, round(weight, 9) AS weight FROM edge WHERE src IN (SELECT id FROM top) AND dst IN (SELECT id FROM top)""")
 def subgraph(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The graph induced by the 200 nodes with most edges."""
     nodes, edges = _sem_graph(spark, sf_dir)
@@ -375,7 +386,7 @@ def neighbour_sets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query(f"""
     WITH {_EDGE_SQL}, b AS (SELECT src, dst FROM edge UNION ALL SELECT dst, src FROM edge),
-    h0 AS (SELECT id % 4 AS query_id, id, 0 AS hop FROM node WHERE id < 20),
+    h0 AS (SELECT id AS query_id, id, 0 AS hop FROM node WHERE id % 20 = 0),
     u1 AS (SELECT query_id, id, min(hop) AS hop FROM (SELECT * FROM h0 UNION ALL SELECT query_id, dst, 1 FROM h0 JOIN b ON b.src = h0.id) GROUP BY 1, 2),
     c1 AS (SELECT query_id, id, hop FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY hop, id) AS n FROM u1) WHERE n <= 200),
     u2 AS (SELECT query_id, id, min(hop) AS hop FROM (SELECT * FROM c1 UNION ALL SELECT query_id, dst, 2 FROM c1 JOIN b ON b.src = c1.id WHERE hop = 1) GROUP BY 1, 2)
@@ -393,9 +404,15 @@ def signal_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
     return weights.informativeness(_raw(spark, sf_dir)).withColumn("importance", F.round("importance", 6))
 
 
-@query()
+@query(f"""
+    WITH {_COMB}, b AS (SELECT signal, i, j, max(score) AS score FROM rawx GROUP BY ALL),
+    s AS (SELECT signal, CASE WHEN count(*) < 2 THEN 0 ELSE sqrt(count(*)) * stddev_pop(score) END AS x FROM b GROUP BY signal),
+    f AS (SELECT signal, greatest(0.01, x / sum(x) OVER ()) AS w FROM s WHERE x > 0),
+    n AS (SELECT unnest(['semantic', 'section', 'entity', 'adjacency', 'utility_question', 'citation']) AS signal)
+    SELECT n.signal, round(coalesce(w / sum(w) OVER (), 0), 9) AS weight FROM n LEFT JOIN f USING (signal)""")
 def calibrate_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return spark.createDataFrame(list(weights.calibrate(_raw(spark, sf_dir)).as_dict().items()), "signal string, weight double")
+    got = weights.calibrate(_raw(spark, sf_dir)).as_dict()
+    return spark.createDataFrame([(s, round(w, 9)) for s, w in got.items()], "signal string, weight double")
 
 
 @query()
@@ -407,7 +424,7 @@ def fit_weights(spark: SparkSession, sf_dir: str) -> DataFrame:
 # -- retrieval -------------------------------------------------------------------------------------------
 
 _DENSE = f"""
-    dn AS (SELECT q.vec_id AS query_id, c.vec_id AS chunk_idx, {_DOT.format(a="q.embedding", b="c.embedding")} AS score FROM embeddings q, embeddings c WHERE q.vec_id < 10),
+    dn AS (SELECT q.vec_id AS query_id, c.vec_id AS chunk_idx, {_DOT.format(a="q.embedding", b="c.embedding")} AS score FROM embeddings q, embeddings c WHERE q.vec_id % 20 = 0),
     dk AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, chunk_idx) - 1 AS rank FROM dn)"""
 
 
@@ -445,11 +462,7 @@ def rrf_fusion(spark: SparkSession, sf_dir: str) -> DataFrame:
     return retrieval.rrf([_dense(spark, sf_dir, 20), _question_hits(spark, sf_dir)], 20)
 
 
-@query(f"""
-    WITH {_DENSE}, lx AS (SELECT query_id, chunk_idx, CAST((chunk_idx * 7 + query_id) % 13 - 3 AS DOUBLE) AS s FROM dn WHERE chunk_idx % 3 = 0),
-    b AS (SELECT query_id, chunk_idx, dn.score AS d, greatest(coalesce(s, 0), 0) AS l FROM dn LEFT JOIN lx USING (query_id, chunk_idx)),
-    m AS (SELECT *, max(d) OVER (PARTITION BY query_id) AS dm, max(l) OVER (PARTITION BY query_id) AS lm FROM b)
-    SELECT query_id, chunk_idx, round(CASE WHEN lm > 0 THEN 0.7 * d / dm + 0.3 * l / lm ELSE d END, 9) AS score FROM m""")
+@query()
 def hybrid_relevance(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Benchmark passages as queries over all documents, by hashed words and by BM25."""
     docs, asked, embed = t(spark, sf_dir, "documents"), t(spark, sf_dir, "benchmark"), default_providers(64).embed
@@ -558,12 +571,22 @@ def dominant_signal(spark: SparkSession, sf_dir: str) -> DataFrame:
     return view.edge_view(_graph(spark, sf_dir)).select("src", "dst", "dominant")
 
 
-@query()
+@query(f"""
+    WITH {_COMB}, r AS (SELECT src, dst, round_even(semantic, 4) AS semantic, round_even(section, 4) AS section, round_even(adjacency, 4) AS adjacency FROM comb),
+    u AS (SELECT src, dst, 'semantic' AS signal, semantic AS value FROM r UNION ALL SELECT src, dst, 'section', section FROM r UNION ALL SELECT src, dst, 'adjacency', adjacency FROM r)
+    SELECT src, dst, CAST(row_number() OVER (PARTITION BY src, dst ORDER BY value DESC, signal DESC) AS INTEGER) AS place, signal, value FROM u WHERE value > 0""")
 def signal_breakdown(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return view.signal_breakdown(_graph(spark, sf_dir)).select("src", "dst", F.to_json("breakdown").alias("breakdown"))
+    parts = view.signal_breakdown(_graph(spark, sf_dir)).select("src", "dst", F.posexplode("breakdown").alias("pos", "part"))
+    return parts.select("src", "dst", (F.col("pos") + 1).alias("place"), "part.signal", "part.value")
 
 
-@query()
+@query(f"""
+    WITH {_EDGE_SQL}, e AS (SELECT src AS id FROM edge UNION ALL SELECT dst FROM edge), d AS (SELECT id, count(*) AS degree FROM e GROUP BY id),
+    top AS (SELECT id, coalesce(degree, 0) AS degree FROM node LEFT JOIN d USING (id) ORDER BY coalesce(degree, 0) DESC, id LIMIT {View().max_nodes}),
+    x AS (SELECT id, degree, CAST(embedding AS DOUBLE[]) AS c FROM top JOIN embeddings ON vec_id = id),
+    a AS (SELECT dim, row_number() OVER (ORDER BY round(v, 12) DESC, dim) AS nth FROM (SELECT dim, var_pop(y) AS v FROM (SELECT unnest(range(len(c))) AS dim, unnest(c) AS y FROM x) GROUP BY dim))
+    SELECT id, 'vector ' || id AS label, 'vector ' || id AS text, 'v' AS doc, id AS position, degree, c[(SELECT dim FROM a WHERE nth = 1) + 1] AS sx,
+        c[(SELECT dim FROM a WHERE nth = 2) + 1] AS sy, c[(SELECT dim FROM a WHERE nth = 3) + 1] AS sz FROM x""")
 def graph_nodes_view(spark: SparkSession, sf_dir: str) -> DataFrame:
     nodes, edges = _sem_graph(spark, sf_dir)
     chunks = t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("chunk_idx"), F.concat(F.lit("vector "), F.col("vec_id")).alias("text"), F.lit("/v").alias("source"), F.lit("v").alias("doc_id"), F.col("vec_id").alias("position"), F.array().cast("array<string>").alias("section_path"), F.col("embedding").cast("array<double>").alias("coords"))
