@@ -31,7 +31,7 @@ def main(argv: list[str] | None = None) -> int:
     else:
         asked = spark.createDataFrame(list(enumerate(a.questions)), "query_id long, question string")
         engine.query(asked).select("question", "answer").show(truncate=False)
-        engine.spark.read.parquet(f"{engine.path}/work/context").select("query_id", "rank", F.round("score", 4).alias("score"), "source", "position").orderBy("query_id", F.desc("score")).show(50, truncate=False)
+        engine.spark.read.parquet(f"{engine.run}/context").select("query_id", "rank", F.round("score", 4).alias("score"), "source", "position").orderBy("query_id", F.desc("score")).show(50, truncate=False)
     return 0
 
 

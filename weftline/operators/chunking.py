@@ -184,6 +184,8 @@ def split_semantically(text: str, size: int, least: int, percentile: float, leng
 def chunk_document(items: list[tuple[str, int | None, str]], settings: Chunking, length: Counter = count_tokens, embed: Callable[[list[str]], np.ndarray] | None = None) -> Iterator[tuple[str, list[str], int | None, str]]:
     """(text, section path, page, kind) of a document's chunks; items are (text, page, prose or table) in order."""
     strategy = settings.strategy
+    if not settings.table_extraction:  # a table is then text like any other
+        items = [(text, page, "prose") for text, page, _ in items]
     if strategy == "auto":
         headings = sum(heading_of(line) is not None for t, _, k in items if k == "prose" for line in t.split("\n"))
         strategy = "structural" if headings >= 2 or embed is None else "semantic"

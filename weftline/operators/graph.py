@@ -84,7 +84,11 @@ def shared_neighbours(edges: DataFrame) -> DataFrame:
 
 
 class GraphTables:
-    """A stored graph: nodes and edges as Parquet below one path, edges clustered by their first end."""
+    """A stored graph: nodes and edges as Parquet below one path, edges clustered by their first end.
+
+    The two are written one after the other; whoever replaces a graph under readers writes a new path and then points
+    to it, as IndexStore does.
+    """
 
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path.rstrip("/")

@@ -7,6 +7,9 @@ reranker, the best sentences for an answer. Any of them is replaced by passing a
 
 from __future__ import annotations
 
+import re
+import time
+import zlib
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -18,25 +21,82 @@ from pyspark.sql import functions as F
 from weftline.functions.text import detect_language, text_hash, token_len, tokenize
 
 
-def hashed_embedding(dim: int = 256) -> Callable[[Column, str], Column]:
-    """Signed hashed words, unit length; `kind` (document or query) is for models that tell them apart."""
+#: Turns a list of texts into one row of numbers each: what a model's client offers.
+TextEmbedder = Callable[[list[str]], np.ndarray]
+
+
+def retrying(call: Callable, attempts: int = 3, wait: float = 1.0, longest: float = 10.0) -> Callable:
+    """The call, tried again after a growing wait; the last error is raised."""
+
+    def run(*args):
+        for k in range(attempts):
+            try:
+                return call(*args)
+            except Exception:
+                if k + 1 == attempts:
+                    raise
+                time.sleep(min(wait * 2**k, longest))
+        return None
+
+    return run
+
+
+def in_batches(texts: list[str], embed: TextEmbedder, batch: int = 32, attempts: int = 3, wait: float = 1.0) -> np.ndarray:
+    """Unit vectors of all texts, a batch at a time. A batch that fails or comes back short is tried again; a dimension that
+    changes between batches is an error."""
+
+    def one(part: list[str]) -> np.ndarray:
+        got = np.asarray(embed(part), np.float32)
+        if got.ndim != 2 or len(got) != len(part):
+            raise ValueError(f"{len(part)} texts gave vectors of shape {got.shape}")
+        return got
+
+    parts = [retrying(one, attempts, wait)(texts[i : i + batch]) for i in range(0, len(texts), batch)]
+    if not parts:
+        return np.zeros((0, 0), np.float32)
+    if len({p.shape[1] for p in parts}) > 1:
+        raise ValueError(f"the dimension changed between batches: {sorted({p.shape[1] for p in parts})}")
+    x = np.concatenate(parts)
+    norm = np.linalg.norm(x, axis=1, keepdims=True)
+    return x / np.where(norm == 0, 1, norm)
+
 
-    @F.pandas_udf("array<float>")
-    def embed(texts: pd.Series) -> pd.Series:
-        import re
-        import zlib
+def embedding_of(embed: TextEmbedder, batch: int = 32, attempts: int = 3, wait: float = 1.0, prefixes: dict[str, str] | None = None) -> Callable[[Column, str], Column]:
+    """A column function of a text embedder; prefixes by kind (document or query) for models that tell them apart."""
 
-        out = []
-        for t in texts:
-            v = np.zeros(dim, np.float32)
-            for w in re.findall("[a-z0-9]+", (t or "").lower()):
-                h = zlib.crc32(w.encode())
-                v[h % dim] += 1 if h & 0x80000000 else -1
-            norm = float(np.linalg.norm(v))
-            out.append(v / norm if norm else v)
-        return pd.Series(out)
+    def function(kind: str):
+        before = (prefixes or {}).get(kind, "")
 
-    return lambda text, kind="document": embed(text)
+        @F.pandas_udf("array<float>")
+        def run(texts: pd.Series) -> pd.Series:
+            return pd.Series(list(in_batches([before + (t or "") for t in texts], embed, batch, attempts, wait)))
+
+        return run
+
+    return lambda text, kind="document": function(kind)(text)
+
+
+def hashed_words(dim: int = 256) -> TextEmbedder:
+    """Signed hashed words."""
+
+    def embed(texts: list[str]) -> np.ndarray:
+        found = [re.findall("[a-z0-9]+", t.lower()) for t in texts]
+        distinct = list(dict.fromkeys(w for f in found for w in f))
+        place = {w: i for i, w in enumerate(distinct)}
+        h = np.array([zlib.crc32(w.encode()) for w in distinct], np.int64)
+        at = np.array([place[w] for f in found for w in f], np.int64)
+        row = np.repeat(np.arange(len(texts)), [len(f) for f in found])
+        out = np.zeros((len(texts), dim), np.float32)
+        if len(at):
+            np.add.at(out, (row, h[at] % dim), np.where(h[at] & 0x80000000, 1, -1).astype(np.float32))
+        return out
+
+    return embed
+
+
+def hashed_embedding(dim: int = 256) -> Callable[[Column, str], Column]:
+    """Hashed words of unit length."""
+    return embedding_of(hashed_words(dim), batch=512)
 
 
 def tfidf_concepts(chunks: DataFrame, per_chunk: int = 5, max_share: float = 0.2) -> DataFrame:
@@ -97,10 +157,22 @@ class Providers:
     entities: Callable[[Column], Column] = capitalised_entities
     rerank: Callable[[Column, Column], Column] = overlap_reranker
     answer: Callable[[Column, Column], Column] = extractive_answer
+    #: Names the embedder in cache keys: another model's vectors are not taken for its own.
+    model: str = "hashed-words"
+    #: Embeds sentences where the chunker looks for breaks; without it texts are never cut by meaning.
+    embed_texts: TextEmbedder | None = None
+    #: Concepts of one text (null: failed), kept by content; in place of `concepts`, which looks at the whole corpus.
+    text_concepts: Callable[[Column], Column] | None = None
+    #: A second extractor, whose finds are added to those of `entities`.
+    more_entities: Callable[[Column], Column] | None = None
+
+    def all_entities(self, text: Column) -> Column:
+        first = self.entities(text)
+        return first if self.more_entities is None else merge_entities(first, self.more_entities(text))
 
 
 def default_providers(dim: int = 256) -> Providers:
-    return Providers(embed=hashed_embedding(dim))
+    return Providers(embed=hashed_embedding(dim), model=f"hashed-words-{dim}", embed_texts=hashed_words(dim))
 
 
 def require_embedded(chunks: DataFrame, column: str = "embedding") -> DataFrame:
@@ -112,7 +184,7 @@ def require_embedded(chunks: DataFrame, column: str = "embedding") -> DataFrame:
 def cached(texts: DataFrame, cache: DataFrame | None, compute: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, DataFrame]:
     """Values by content: rows (key, text) and a cache (key, value) give all values and the rows to add to the cache.
 
-    Equal texts are computed once; only misses are computed.
+    Equal texts are computed once; only misses are computed. A null value is a failure: it is given, not kept.
     """
     wanted = texts.select("key", "text").dropDuplicates(["key"])
     misses = wanted if cache is None else wanted.join(cache.select("key"), "key", "left_anti")

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -14,10 +16,17 @@ CONTEXT_BLOCK = "--- Context {i} (source: {source}, pos: {pos}) ---\n{text}\n"
 SOURCE_HEADER = "=== Source: {source} ==="
 
 
+#: How the question follows its context.
+QUESTION = "{context}\nQuestion: {question}\n\nAnswer:"
+
+
+def answer_prompt(question: Column, context: Column, language: Column) -> Column:
+    """The final prompt, as (system, user)."""
+    return F.struct(render(SYSTEM, language=language).alias("system"), render(QUESTION, context=context, question=question).alias("user"))
+
+
 def render(template: str, **values: Column) -> Column:
     """The template with {name} replaced by columns; doubled braces are single ones."""
-    import re
-
     out = []
     for piece in re.split(r"(\{\{|\}\}|\{\w+\})", template):
         if piece in ("{{", "}}"):
