@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from weftline.config import Chunking, Config, Indexing
 from weftline.operators import chunking
-from weftline.operators.providers import cached, default_providers
+from weftline.operators.providers import cached, default_providers, hashed_words
 from weftline.plans import view
 from weftline.plans.pipeline import Engine
 from weftline.sources import readers, stores
@@ -166,3 +166,97 @@ def test_command_line(spark, tmp_path, capsys):
     assert main(["index", str(tmp_path / "ix"), *(str(tmp_path / f"d{i}.txt") for i in range(6))]) == 0
     assert main(["query", str(tmp_path / "ix"), "What is topic3 about?"]) == 0
     assert "Topic3" in capsys.readouterr().out
+
+
+def test_sessions_survive_a_writer_that_fails(spark, tmp_path, monkeypatch):
+    store = stores.SessionStore(spark, str(tmp_path / "sessions"))
+    store.save(spark.createDataFrame([("1", "one", None, [], 0, None), ("2", "two", None, [], 0, None)], store.SCHEMA))
+    seen = store.load()
+    monkeypatch.setattr(store.versions, "commit", lambda version: (_ for _ in ()).throw(RuntimeError("lost")))
+    with pytest.raises(RuntimeError):
+        store.save(seen.limit(0))
+    with pytest.raises(RuntimeError):
+        store.append_exchange("1", "q", "a")
+    monkeypatch.undo()
+    assert store.load().count() == 2 and seen.count() == 2
+    store.append_exchange("2", "q", "a")
+    store.append_exchange("2", "q2", "a2")
+    got = {r["id"]: len(r["messages"] or []) for r in store.load().collect()}
+    assert got == {"1": 0, "2": 4}
+    with pytest.raises(KeyError):
+        store.append_exchange("3", "q", "a")
+    store.save(store.load())  # all in one version again
+    assert {r["id"]: len(r["messages"] or []) for r in store.load().collect()} == got
+
+
+def test_index_versions(spark, tmp_path):
+    store = stores.IndexStore(spark, str(tmp_path / "ix"))
+    frame = lambda n: spark.range(n).withColumnRenamed("id", "chunk_idx")
+    nodes, edges = spark.range(2), spark.createDataFrame([(0, 1, 0.5)], "src long, dst long, weight double")
+    store.save(frame(3), nodes, edges)
+    old = store.load()
+    version = store.versions.begin()
+    frame(9).write.parquet(f"{version}/chunks")  # a writer that is not done
+    assert store.load().count() == 3
+    store.save(frame(5), nodes, edges)
+    assert store.load().count() == 5 and old.count() == 3 and store.graph.edges.count() == 1
+
+
+def test_batches_retries_and_dimensions():
+    from weftline.operators.providers import in_batches
+
+    calls = []
+
+    def flaky(texts):
+        calls.append(len(texts))
+        if len(calls) == 2:
+            raise OSError("busy")
+        return np.ones((len(texts) - (len(calls) == 4), 3))
+
+    got = in_batches([str(i) for i in range(70)], flaky, 32, 3, 0)
+    assert got.shape == (70, 3) and calls == [32, 32, 32, 6, 6] and np.allclose(np.linalg.norm(got, axis=1), 1)
+    with pytest.raises(ValueError):
+        in_batches(["a"], lambda t: np.ones((2, 3)), 32, 2, 0)
+    with pytest.raises(ValueError):
+        in_batches(["a", "b"], lambda t: np.ones((1, 3 + (t == ["b"]))), 1, 1, 0)
+
+
+def test_engine_keeps_values_and_runs_apart(spark, tmp_path):
+    """Vectors and concepts are computed once for each text; a second question leaves the first one's answer readable."""
+    from dataclasses import replace
+
+    seen = spark.sparkContext.accumulator(0)
+
+    @F.udf("array<float>")
+    def embed(text):
+        seen.add(1)
+        return [float(len(text)), 1.0]
+
+    @F.udf("array<string>")
+    def concepts(text):
+        return None if "third" in text else sorted({w for w in text.lower().split() if len(w) > 5})
+
+    p = replace(default_providers(8), embed=lambda text, kind="document": embed(text), text_concepts=concepts, model="m", more_entities=lambda x: F.array(F.struct(F.lit("Ada").alias("text"), F.lit("PER").alias("label"), F.lit("ada").alias("normalized"))))
+    docs = readers.documents_from_table(spark.createDataFrame([(1, "s", "Mention of spectral graphs here."), (2, "s", "Spectral graphs again mention."), (3, "s", "A third text.")], "doc_id long, source string, text string"))
+    engine = Engine(spark, str(tmp_path / "ix"), Config(indexing=Indexing(spectral_components=2), embedding_dim=2), p)
+    engine.index(docs)
+    first = seen.value
+    kept = spark.read.parquet(f"{engine.path}/cache/concepts")
+    assert kept.count() == 2 and spark.read.parquet(f"{engine.path}/cache/embeddings").count() == 3
+    engine.index(docs)
+    assert spark.read.parquet(f"{engine.path}/cache/embeddings").count() == 3 and seen.value - first < first
+    asked = lambda q: spark.createDataFrame([(1, q)], "query_id long, question string")
+    one, two = engine.query(asked("spectral graphs?")), engine.query(asked("a third?"))
+    a, b = one.first(), two.first()
+    assert a["question"] == "spectral graphs?" and b["question"] == "a third?"
+    assert a["prompt"]["user"].endswith("\nQuestion: spectral graphs?\n\nAnswer:") and "English" in a["prompt"]["system"]
+    engine.clean()
+    names = spark.range(1).select(p.all_entities(F.lit("so Grace Hopper came. met Grace Hopper")).alias("e")).first()["e"]
+    assert {e["text"] for e in names} == {"Grace Hopper", "Ada"}
+
+
+def test_sentences_are_embedded_where_texts_have_no_headings(spark):
+    docs = readers.documents_from_table(spark.createDataFrame([(1, "s", " ".join(f"Cats purr softly number{i}." for i in range(30)) + " " + " ".join(f"Stocks fell sharply number{i}." for i in range(30)))], "doc_id long, source string, text string"))
+    settings = Chunking(chunk_size=400, min_chunk_tokens=20)
+    plain, cut = ([r["text"] for r in chunking.chunk_documents(docs, settings, embed=e).orderBy("position").collect()] for e in (None, hashed_words(64)))
+    assert len(cut) > 1 and cut != plain and all(f"{a} number{i}." in " ".join(cut) for a in ("softly", "sharply") for i in range(30))

@@ -117,3 +117,120 @@ def test_dispatch(spark, mode):
     edges = spark.createDataFrame([(0, 1, 0.5)], "src long, dst long, weight double")
     got = selection.select(pool, Retrieval(selection_mode=mode, final_k=3), edges).orderBy("rank").collect()
     assert got and got[0]["id"] == 0 and [r["rank"] for r in got] == list(range(1, len(got) + 1))
+
+
+# -- choices once more, step by step in plain Python -------------------------------------------------------
+
+
+def rich_pool(rng, n):
+    pdf = frame(sorted((round(float(s), 3) for s in rng.random(n)), reverse=True), [int(x) for x in rng.integers(5, 40, n)], [f"s{x}" for x in rng.integers(0, 4, n)])
+    pdf["v"] = [list(map(float, v)) for v in rng.normal(size=(n, 4))]
+    pdf["raw"], pdf["cluster"], pdf["ce"] = [round(float(s), 3) for s in rng.random(n)], [int(c) for c in rng.integers(0, 3, n)], [round(float(s), 3) for s in rng.normal(size=n)]
+    pairs = {tuple(sorted(map(int, rng.choice(n, 2, replace=False)))) for _ in range(2 * n)}
+    edges = pd.DataFrame([(a, b, round(float(rng.random()), 3)) for a, b in sorted(pairs)], columns=["src", "dst", "weight"])
+    return pdf, edges
+
+
+def cosine(a, b):
+    return sum(x * y for x, y in zip(a, b, strict=True)) / (sum(x * x for x in a) ** 0.5 * sum(y * y for y in b) ** 0.5)
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_mmr_by_hand(seed):
+    pdf, _ = rich_pool(np.random.default_rng(seed), 14)
+    score, v = pdf["score"].tolist(), pdf["v"].tolist()
+    for core in (0, 3):
+        chosen = list(range(core))
+        while len(chosen) < 8:
+            gain = {i: 0.6 * score[i] / max(score) - 0.4 * (max(cosine(v[i], v[j]) for j in chosen) if chosen else 0) for i in range(14) if i not in chosen}
+            chosen.append(max(gain, key=lambda i: (round(gain[i], 12), -i)))
+        assert selection.mmr_choice(pdf, 8, 0.6, core) == chosen
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_greedy_by_hand(seed):
+    pdf, edges = rich_pool(np.random.default_rng(seed), 14)
+    r = Retrieval(final_k=7)
+    score, raw_, v, cluster = pdf["score"].tolist(), pdf["raw"].tolist(), pdf["v"].tolist(), pdf["cluster"].tolist()
+    weight = {frozenset((a, b)): w for a, b, w in edges.itertuples(index=False)}
+    chosen = []
+    while len(chosen) < 7:
+        gain = {}
+        for i in range(14):
+            if i not in chosen:
+                like = max([0.0, *(cosine(v[i], v[j]) for j in chosen)])
+                linked = min(1.0, sum(weight.get(frozenset((i, j)), 0.0) for j in chosen))
+                fresh = float(cluster[i] not in {cluster[j] for j in chosen})
+                gain[i] = r.sel_diffused * score[i] / max(score) + r.sel_raw * raw_[i] / max(raw_) - r.sel_redundancy * like + r.sel_connectivity * linked + r.sel_diversity * fresh
+        chosen.append(max(gain, key=lambda i: (round(gain[i], 12), -i)))
+    assert selection.greedy_choice(pdf, edges, r) == chosen
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_anchor_by_hand(seed):
+    pdf, edges = rich_pool(np.random.default_rng(seed), 14)
+    r = Retrieval(anchor_core_k=4, anchor_neighbours=2, anchor_ce_threshold=-0.5, token_budget=170)
+    tokens, ce = pdf["tokens"].tolist(), pdf["ce"].tolist()
+    core, extra = list(range(4)), []
+    for k in core:
+        near = sorted(((w, b if a == k else a) for a, b, w in edges.itertuples(index=False) if k in (a, b)), key=lambda x: (-x[0], x[1]))
+        extra += [d for _, d in near if d not in core and d not in extra][:2]
+    used = sum(tokens[k] for k in core)
+    want = list(core)
+    for k in sorted(extra, key=lambda c: -ce[c]):
+        if ce[k] < -0.5:
+            continue
+        if used + tokens[k] > 170:
+            break
+        want.append(k)
+        used += tokens[k]
+    assert selection.anchor_choice(pdf, edges, r) == want
+
+
+@pytest.mark.parametrize("seed", range(6))
+def test_budget_band_by_hand(seed):
+    pdf, _ = rich_pool(np.random.default_rng(seed), 20)
+    r = Retrieval(token_budget=180, tie_band=0.1, head_k=4, tail_ratio=0.6, head_ratio=0.2)
+    score, tokens, source = pdf["score"].tolist(), pdf["tokens"].tolist(), pdf["source"].tolist()
+    left, seen, order = list(range(20)), [], []
+    while left:
+        band = [i for i in left if score[i] >= score[left[0]] * 0.9]
+        pick = [i for i in band if source[i] not in seen] or band
+        order.append(pick[0])
+        seen.append(source[pick[0]])
+        left.remove(pick[0])
+    want, later, used, ended = [], [], 0, False
+    for i in order:
+        if score[i] < 0.2 * score[0] or ended:
+            continue
+        if len(want) >= 4 and score[i] < 0.6 * score[0]:
+            later.append(i)
+        elif want and used + tokens[i] > 180:
+            ended = True
+        else:
+            want.append(i)
+            used += tokens[i]
+    for i in [] if ended else later:
+        if used + tokens[i] > 180:
+            break
+        want.append(i)
+        used += tokens[i]
+    assert selection.token_budget_choice(pdf, r) == want
+
+
+def test_pagerank_solves_its_equation():
+    """The walk's fixed point, as one linear system."""
+    rng = np.random.default_rng(3)
+    n = 30
+    src, dst = rng.integers(0, 25, 80), rng.integers(0, 25, 80)
+    weight = rng.random(80)
+    seeds = np.array([2, 7, 28])
+    start = np.zeros(n)
+    start[seeds] = 1 / 3
+    move = np.zeros((n, n))
+    for a, b, w in zip(src, dst, weight, strict=True):
+        move[b, a] += w / weight[src == a].sum()
+    move[:, move.sum(0) == 0] = start[:, None]
+    want = np.linalg.solve(np.eye(n) - 0.85 * move, 0.15 * start)
+    got = diffusion.pagerank(n, src, dst, weight, seeds, tol=1e-12)
+    assert np.abs(got - want).max() < 1e-9

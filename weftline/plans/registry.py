@@ -5,6 +5,7 @@ Numbers that depend on the order of additions are rounded on both sides.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -14,11 +15,11 @@ from weftline.functions import text as tx
 from weftline.functions import vectors as vx
 from weftline.config import View
 from weftline.operators import chunking, diffusion, graph, lexical, retrieval, selection, signals, spectral, weights
-from weftline.operators.providers import default_providers, overlap_reranker
+from weftline.operators.providers import cache_key, cached, default_providers, merge_entities, overlap_reranker, tfidf_concepts
 from weftline.plans import view
 from weftline.sources.readers import documents_from_table, html_text
-from weftline.sources.stores import session_summary, url_section_path
-from weftline.streaming.ingest import windowed_activity
+from weftline.sources.stores import IndexStore, SessionStore, ValueCache, session_summary, url_section_path
+from weftline.streaming.ingest import latest_per_user, windowed_activity
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -601,6 +602,198 @@ def conversation_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     return session_summary(t(spark, sf_dir, "conversations"))
 
 
+# -- parsers, labels, stores ------------------------------------------------------------------------------
+
+
+@query("""SELECT doc_id, len(regexp_extract_all(coalesce(text, ''), '\\w+|[^\\w\\s]')) AS n_tokens FROM documents""")
+def token_lengths(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return t(spark, sf_dir, "documents").select("doc_id", tx.token_len(F.col("text")).alias("n_tokens"))
+
+
+_ANSWERS = "'1. What is ' || source || '?' || chr(10) || '  - Who wrote ' || lang || '?' || chr(10) || '   ' || chr(10) || '* ' || CAST(doc_id AS VARCHAR) || ') why?' || chr(10) || 'more?'"
+
+
+@query(f"""
+    WITH r AS (SELECT doc_id, unnest(string_split({_ANSWERS}, chr(10))) AS line, generate_subscripts(string_split({_ANSWERS}, chr(10)), 1) AS nth FROM documents),
+    c AS (SELECT doc_id, nth, trim(regexp_replace(trim(line), '^\\s*(?:\\d+[.)]|[-*•])\\s*', '')) AS q FROM r),
+    n AS (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY nth) AS k FROM c WHERE q <> '')
+    SELECT doc_id, string_agg(q, '|' ORDER BY nth) AS questions, count(*) AS n FROM n WHERE k <= 3 GROUP BY doc_id""")
+def parsed_questions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A model's answer made from columns: numbered and bulleted lines, a blank one, one too many."""
+    got = tx.parse_questions(F.expr(_ANSWERS.replace("VARCHAR", "STRING")), 3)
+    return t(spark, sf_dir, "documents").select("doc_id", F.array_join(got, "|").alias("questions"), F.size(got).cast("long").alias("n"))
+
+
+_CONCEPTS = """CASE WHEN doc_id % 5 = 0 THEN 'no json' ELSE '{"concepts": [" ' || upper(lang) || '", "' || source || '", "' || lang || '", "", "doc ' || CAST(doc_id % 3 AS VARCHAR) || '"]}' END"""
+
+
+@query("""
+    WITH c AS (SELECT doc_id, unnest([lang, lower(trim(source)), 'doc ' || doc_id % 3]) AS term FROM documents WHERE doc_id % 5 <> 0),
+    g AS (SELECT doc_id, list_sort(list(DISTINCT term)) AS terms FROM c GROUP BY doc_id)
+    SELECT doc_id, coalesce(array_to_string(terms, '|'), '') AS concepts FROM documents LEFT JOIN g USING (doc_id)""")
+def parsed_concepts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Concepts of JSON answers, some of them unreadable."""
+    return t(spark, sf_dir, "documents").select("doc_id", F.array_join(tx.parse_concepts(F.expr(_CONCEPTS.replace("VARCHAR", "STRING"))), "|").alias("concepts"))
+
+
+@query("""
+    SELECT doc_id, trim(source) AS first, 'ORG' AS first_label, lower(trim(source)) AS first_normal, CAST(CASE WHEN lang = 'en' THEN 2 ELSE 3 END AS BIGINT) AS n FROM documents""")
+def merged_entities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Entities of two extractors: the second's are taken where the first has none of that text and label."""
+    source, lang = F.col("source"), F.col("lang")
+    first = tx.parse_entities(F.concat(F.lit(" "), source, F.lit(" | ORG\nno separator\nEn|LANG")))
+    second = tx.parse_entities(F.concat(source, F.lit("|ORG\n"), F.when(lang == "en", F.lit("En")).otherwise(lang), F.lit("|LANG")))
+    every = merge_entities(first, second)
+    one = every[0]
+    return t(spark, sf_dir, "documents").select("doc_id", one["text"].alias("first"), one["label"].alias("first_label"), one["normalized"].alias("first_normal"), F.size(every).cast("long").alias("n"))
+
+
+@query("""SELECT n_nationkey, trim(n_name) || ' | ' || n_regionkey || ' | ' || chr(10) || 'x | ' || n_nationkey AS md FROM nation""")
+def table_markdown(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Tables of three rows, the second one blank."""
+    cells = F.array(F.array(F.concat(F.lit(" "), F.col("n_name")), F.col("n_regionkey").cast("string"), F.lit(None).cast("string")), F.array(F.lit(" "), F.lit(None).cast("string")), F.array(F.lit("x"), F.col("n_nationkey").cast("string")))
+    return t(spark, sf_dir, "nation").select("n_nationkey", tx.table_to_md(cells).alias("md"))
+
+
+@query(f"""
+    WITH p AS (SELECT page_id, {_PATH} AS path FROM pages)
+    SELECT page_id, CASE WHEN page_id % 3 = 0 AND len(path) > 0 THEN path[-1] WHEN page_id % 3 = 1 THEN 'p' || page_id ELSE 'chunk ' || page_id END AS label FROM p""")
+def section_labels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The last heading, else the document, else a number."""
+    third = F.col("page_id") % 3
+    path = F.when(third == 0, url_section_path(F.col("url"))).otherwise(F.array().cast("array<string>"))
+    doc = F.when(third == 1, F.concat(F.lit("p"), F.col("page_id")))
+    return t(spark, sf_dir, "pages").select("page_id", tx.section_label(path, doc, F.col("page_id")).alias("label"))
+
+
+@query("""SELECT page_id, lower(regexp_extract(url || '.HTML', '(\\.[^./]+)$', 1)) AS suffix FROM pages""")
+def file_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return t(spark, sf_dir, "pages").select("page_id", tx.suffix(F.concat("url", F.lit(".HTML"))).alias("suffix"))
+
+
+@query(f"""
+    WITH {_BM25} SELECT query_id, string_split(d.source, '/')[-1] AS source, round_even(score, 4) AS score, substr(text, 1, 200) AS preview,
+        text AS full_text, doc_id AS position FROM bm JOIN documents d USING (doc_id)""")
+def source_list(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = t(spark, sf_dir, "documents").select("doc_id", "source", "text")
+    rows = bm25_topk(spark, sf_dir).join(docs, "doc_id").select("query_id", "source", F.lit(None).cast("int").alias("page"), "score", "text", F.col("doc_id").alias("position"), F.array().cast("array<string>").alias("section_path"))
+    return view.source_list(rows).drop("section_path", "page")
+
+
+@query(f"""
+    WITH {_BM25}, b AS (SELECT bm.query_id, bm.doc_id, list_distinct(regexp_extract_all(lower(q.text), '[a-z0-9]+')) AS qt, regexp_extract_all(lower(d.text), '[a-z0-9]+') AS dt
+        FROM bm JOIN documents d USING (doc_id) JOIN benchmark q ON q.item_id = bm.query_id)
+    SELECT query_id, doc_id, round(CASE WHEN len(qt) > 0 THEN len(list_filter(qt, lambda x: list_contains(dt, x))) / len(qt) ELSE 0 END, 9) AS share FROM b""")
+def reranked(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """BM25 hits with the share of the question's words that they have."""
+    docs = t(spark, sf_dir, "documents").select("doc_id", "text")
+    asked = t(spark, sf_dir, "benchmark").select(F.col("item_id").alias("query_id"), F.col("text").alias("question"))
+    rows = bm25_topk(spark, sf_dir).join(docs, "doc_id").join(asked, "query_id")
+    return rows.select("query_id", "doc_id", F.round(overlap_reranker(F.col("question"), F.col("text")), 9).alias("share"))
+
+
+@query("""
+    WITH n AS (SELECT count(*) AS n FROM documents), k AS (SELECT doc_id, unnest(regexp_extract_all(lower(text), '[a-z0-9]+')) AS term FROM documents),
+    c AS (SELECT doc_id, term, count(*) AS tf FROM k WHERE length(term) >= 5 GROUP BY ALL), f AS (SELECT term, count(*) AS df FROM c GROUP BY term),
+    s AS (SELECT doc_id, term, round(tf * ln(CAST(n AS DOUBLE) / df), 9) AS s FROM c JOIN f USING (term), n WHERE df >= 2 AND df <= greatest(2, 0.2 * n)),
+    r AS (SELECT doc_id, term FROM (SELECT *, row_number() OVER (PARTITION BY doc_id ORDER BY s DESC, term) AS k FROM s) WHERE k <= 5)
+    SELECT doc_id AS chunk_idx, array_to_string(list_sort(list(term)), ' ') AS terms FROM r GROUP BY doc_id""")
+def concepts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's five terms with the highest tf-idf."""
+    got = tfidf_concepts(t(spark, sf_dir, "documents").select(F.col("doc_id").alias("chunk_idx"), "text"))
+    return got.select("chunk_idx", F.array_join("terms", " ").alias("terms"))
+
+
+@query("""
+    WITH p AS (SELECT vec_id AS id, CAST(embedding[1] AS DOUBLE) AS sx, CAST(embedding[2] AS DOUBLE) AS sy FROM embeddings),
+    s AS (SELECT min(sx) AS lx, max(sx) AS hx, min(sy) AS ly, max(sy) AS hy FROM p)
+    SELECT id, round(((sx - lx) / (hx - lx) - 0.5) * 520, 6) AS x, round(((sy - ly) / (hy - ly) - 0.5) * 520, 6) AS y FROM p, s""")
+def graph_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    points = t(spark, sf_dir, "embeddings").select(F.col("vec_id").alias("id"), F.col("embedding")[0].cast("double").alias("sx"), F.col("embedding")[1].cast("double").alias("sy"))
+    return view.layout(points).select("id", F.round("x", 6).alias("x"), F.round("y", 6).alias("y"))
+
+
+@query(f"""
+    WITH {_EDGE_SQL} SELECT 'node' AS part, id, CAST(-1 AS BIGINT) AS dst, CAST(0 AS DOUBLE) AS weight FROM node UNION ALL SELECT 'edge', src, dst, round(weight, 6) FROM edge
+    UNION ALL SELECT 'totals', (SELECT count(*) FROM node), (SELECT count(*) FROM edge), 0""")
+def graph_payload_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The payload's JSON, read again."""
+    nodes, edges = _sem_graph(spark, sf_dir)
+    rows = view.payload_rows(nodes, edges.withColumn("weight", F.round("weight", 6)), graph.counts(nodes, edges))
+    got = F.from_json("json", "id long, src long, dst long, weight double, node_count long, edge_count long")
+    return rows.select("part", got.alias("j")).select("part", F.coalesce("j.id", "j.src", "j.node_count").alias("id"), F.coalesce("j.dst", "j.edge_count", F.lit(-1)).alias("dst"), F.coalesce("j.weight", F.lit(0.0)).alias("weight"))
+
+
+@query("""SELECT vec_id, len(embedding) AS n, round(list_sum(list_transform(embedding, lambda x: CAST(x AS DOUBLE))), 9) AS total FROM embeddings""")
+def checked_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Vectors whose length is looked at when they are read."""
+    v = t(spark, sf_dir, "embeddings").select("vec_id", vx.checked(F.col("embedding"), 64).alias("v"))
+    return v.select("vec_id", F.size("v").cast("long").alias("n"), F.round(F.aggregate("v", F.lit(0.0), lambda s, x: s + x.cast("double")), 9).alias("total"))
+
+
+@query("""
+    SELECT source, doc_id, CAST(0 AS INTEGER) AS position, row_number() OVER (ORDER BY source, doc_id) - 1 AS chunk_idx FROM documents""")
+def numbered_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents numbered through in corpus order, without one global sort."""
+    return chunking.numbered(t(spark, sf_dir, "documents").select("source", "doc_id", F.lit(0).alias("position")))
+
+
+@query("""
+    SELECT user_id, event_id, event_type FROM (SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS r FROM events) WHERE r = 1""")
+def last_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return latest_per_user(t(spark, sf_dir, "events"))
+
+
+def _scratch(spark: SparkSession, name: str) -> str:
+    """A new path in the folder that all executors share."""
+    base = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.sql.warehouse.dir")
+    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+@query(f"""
+    WITH {_EDGE_SQL} SELECT 'chunk' AS part, doc_id AS a, CAST(-1 AS BIGINT) AS b, sha256(text) AS value FROM documents UNION ALL SELECT 'node', id, -1, '' FROM node
+    UNION ALL SELECT 'edge', src, dst, CAST(CAST(round(weight * 1000000) AS BIGINT) AS VARCHAR) FROM edge""")
+def stored_index(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Chunks and graph saved twice (another corpus first) and loaded: the last whole version counts."""
+    store = IndexStore(spark, _scratch(spark, "index"))
+    docs = t(spark, sf_dir, "documents").select("doc_id", "text")
+    nodes, edges = _sem_graph(spark, sf_dir)
+    store.save(docs.limit(0), nodes.limit(0), edges.limit(0))
+    store.save(docs, nodes, edges)
+    none = F.lit(-1).cast("long")
+    chunks = store.load().select(F.lit("chunk").alias("part"), F.col("doc_id").alias("a"), none.alias("b"), F.sha2("text", 256).alias("value"))
+    ids = store.graph.nodes.select(F.lit("node"), "id", none, F.lit(""))
+    return chunks.union(ids).union(store.graph.edges.select(F.lit("edge"), "src", "dst", F.round(F.col("weight") * 1000000).cast("long").cast("string")))
+
+
+@query("""SELECT doc_id, substr(sha256('m|' || text), 1, 16) AS key, CAST(length(text) AS BIGINT) AS value FROM documents""")
+def stored_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A content cache: English texts first, then all; each distinct text is computed once."""
+    cache = ValueCache(spark, _scratch(spark, "values"))
+    docs = t(spark, sf_dir, "documents").select("doc_id", "lang", cache_key(F.col("text"), "m").alias("key"), "text")
+    every = None
+    for rows in (docs.where("lang = 'en'"), docs):
+        every, new = cached(rows, cache.read(), lambda misses: misses.select("key", F.length("text").cast("long").alias("value")))
+        cache.append(new)
+    return docs.join(cache.read(), "key").select("doc_id", "key", "value")
+
+
+@query("""
+    SELECT CAST(conv_id AS VARCHAR) AS id, 'chat ' || conv_id AS name, CAST(count(*) + CASE WHEN conv_id = (SELECT min(conv_id) FROM conversations) THEN 2 ELSE 0 END AS BIGINT) AS n_messages
+    FROM conversations GROUP BY conv_id""")
+def stored_sessions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Conversations as chat sessions, one of which is continued."""
+    store = SessionStore(spark, _scratch(spark, "sessions"))
+    turns = t(spark, sf_dir, "conversations")
+    messages = F.transform(F.array_sort(F.collect_list(F.struct("turn", "role", "text"))), lambda m: F.struct(m["role"].alias("role"), m["text"].alias("content")))
+    sessions = turns.groupBy("conv_id").agg(messages.alias("messages")).select(
+        F.col("conv_id").cast("string").alias("id"), F.concat(F.lit("chat "), "conv_id").alias("name"), F.lit(None).cast("timestamp").alias("created_at"), F.array().cast("array<string>").alias("docs"), F.lit(0).alias("chunk_count"), "messages"
+    )
+    store.save(sessions)
+    store.append_exchange(str(turns.agg(F.min("conv_id")).first()[0]), "and then?", "that was all")
+    return store.load().select("id", "name", F.size("messages").cast("long").alias("n_messages"))
+
+
 @query()
 def html_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return t(spark, sf_dir, "pages").select("page_id", html_text(F.col("html")).alias("text"))
