@@ -181,3 +181,41 @@ def test_packing_of_ids():
     a = np.array([0, 1, (1 << 56) - 1, 12345], np.uint64)
     assert katz.unpack_ids(katz.pack_ids(a)).tolist() == a.tolist()
     assert katz.unpack(katz.pack(np.array([], np.uint64), "<u4"), "<u4").tolist() == []
+
+
+@pytest.mark.parametrize("large", [1024, 40])
+def test_large_cells_lose_no_link(monkeypatch, large):
+    """Fingerprints that crowd into few cells, as brute force links them, whether cells are parted or not."""
+    monkeypatch.setattr(simhash, "LARGE_CELL", large)
+    rng = np.random.default_rng(9)
+    base = rng.integers(0, 1 << 63, 4, dtype=np.uint64)
+    fp = np.unique(np.concatenate([b ^ np.bitwise_or.reduce(np.uint64(1) << rng.integers(0, 64, (300, 6), dtype=np.uint64), axis=1) for b in base]))
+    cell, owner = simhash.cells_of(fp)
+    order = np.argsort(cell, kind="stable")
+    a, b = simhash.links_of(cell[order], owner[order])
+    assert (np.bitwise_count(a ^ b) <= 4).all()
+    root = {int(f): int(f) for f in fp}
+
+    def find(x, root):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for x, y in zip(a.tolist(), b.tolist(), strict=True):
+        root[find(x, root)] = find(y, root)
+    want = {int(f): int(f) for f in fp}
+    near = np.bitwise_count(fp[:, None] ^ fp[None, :]) <= 4
+    for i, j in zip(*np.nonzero(near), strict=True):
+        want[find(int(fp[i]), want)] = find(int(fp[j]), want)
+    groups = lambda r: sorted(sorted(int(x) for x in fp if find(int(x), r) == t) for t in {find(int(x), r) for x in fp})
+    assert groups(root) == groups(want) and (np.bincount(np.unique(cell, return_inverse=True)[1]) > 40).any()
+
+
+def test_no_shared_folder_is_an_error_on_a_cluster():
+    from types import SimpleNamespace
+
+    from weftline.llm.common import shared_dir
+
+    conf = SimpleNamespace(get=lambda *a: None)
+    with pytest.raises(ValueError):
+        shared_dir(SimpleNamespace(conf=conf, sparkContext=SimpleNamespace(master="spark://host:7077", getConf=lambda: conf)), "x")

@@ -15,6 +15,9 @@ A piece that is itself in the vocabulary is one token, as in the public library
 Decoding. Token bytes run through a UTF-8 state machine that keeps at most three bytes of an unfinished
 character between calls; ill-formed bytes become U+FFFD one maximal subpart at a time.
 
+Whole short pieces are kept with their tokens in a bounded table, and most pieces of a corpus are found there; the
+transducer sees the others.
+
 Null texts count as empty; an empty text has no tokens. Texts that are one endless piece need memory in
 proportion to their own length only.
 """
@@ -35,7 +38,7 @@ from pyspark.sql import DataFrame
 from weftline.llm.common import CLEANERS, map_batches
 
 #: White space of the rank files' pattern: the Unicode property White_Space.
-_SPACE = r"\t-\r \x85\xa0  -     　"
+_SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 
 
 def compiled_pattern(pattern: str) -> regex.Pattern:

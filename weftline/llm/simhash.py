@@ -118,6 +118,31 @@ def _spread(members: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
                 left = left[~near]
 
 
+#: Cells of more members are looked at by parts.
+LARGE_CELL = 1024
+#: Which of the 16 segments of a half are in each of five groups.
+_GROUPS = [np.uint64(sum(3 << 2 * s for s in range(16) if s % 5 == g)) for g in range(5)]
+
+
+def _parts(members: np.ndarray, half: int) -> Iterator[np.ndarray]:
+    """The members of a cell of this half; of a large cell, those that agree in one group of the other half's popcounts.
+
+    Two members at most NEAR = 4 bits apart differ by four at most in the Manhattan distance of the other half's popcounts
+    as well, so of five groups of segments they agree in one and meet there: no link is lost.
+    """
+    if len(members) <= LARGE_CELL:
+        yield members
+        return
+    other = members >> np.uint64(32) if half == 0 else members & np.uint64(0xFFFFFFFF)
+    counts = other - ((other >> np.uint64(1)) & np.uint64(0x55555555))
+    for group in _GROUPS:
+        key = counts & group
+        order = np.argsort(key, kind="stable")
+        for part in np.split(members[order], np.flatnonzero(np.diff(key[order])) + 1):
+            if len(part) > 1:
+                yield part
+
+
 #: Cells of up to so many members are compared all at once, pair by pair.
 SMALL_CELL = 12
 
@@ -136,9 +161,10 @@ def links_of(cell: np.ndarray, fp: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         left.append(fp[i])
         right.append(fp[i + k])
     for at in np.flatnonzero(size > SMALL_CELL):
-        for a, b in _spread(fp[new[at] : new[at] + size[at]]):
-            left.append(a)
-            right.append(b)
+        for part in _parts(fp[new[at] : new[at] + size[at]], int(cell[new[at]]) & 1):
+            for a, b in _spread(part):
+                left.append(a)
+                right.append(b)
     if not left:
         return np.zeros(0, np.uint64), np.zeros(0, np.uint64)
     a, b = np.concatenate(left), np.concatenate(right)
