@@ -672,8 +672,9 @@ def file_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(f"""
-    WITH {_BM25} SELECT query_id, string_split(d.source, '/')[-1] AS source, round_even(score, 4) AS score, substr(text, 1, 200) AS preview,
-        text AS full_text, doc_id AS position FROM bm JOIN documents d USING (doc_id)""")
+    WITH {_BM25}, k AS (SELECT query_id, doc_id, CAST(round(score * 1000000) AS BIGINT) AS k FROM bm)
+    SELECT query_id, string_split(d.source, '/')[-1] AS source, (k // 100 + CASE WHEN k % 100 > 50 OR (k % 100 = 50 AND k // 100 % 2 = 1) THEN 1 ELSE 0 END) / 10000.0::DOUBLE AS score,
+        substr(text, 1, 200) AS preview, text AS full_text, doc_id AS position FROM k JOIN documents d USING (doc_id)""")
 def source_list(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = t(spark, sf_dir, "documents").select("doc_id", "source", "text")
     rows = bm25_topk(spark, sf_dir).join(docs, "doc_id").select("query_id", "source", F.lit(None).cast("int").alias("page"), "score", "text", F.col("doc_id").alias("position"), F.array().cast("array<string>").alias("section_path"))
