@@ -186,14 +186,23 @@ def mix(h: np.ndarray) -> np.ndarray:
         return h ^ (h >> np.uint64(31))
 
 
-def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+def prefix_sums(data: np.ndarray) -> np.ndarray:
+    """What span_hashes() reads; made once where several sets of spans of the same bytes are hashed."""
+    sums = np.empty(len(data) + 1, np.uint64)
+    sums[0] = 0
+    with np.errstate(over="ignore"):
+        terms = data.astype(np.uint64)
+        terms += np.uint64(1)
+        terms *= _powers(len(data) + 1)[0][: len(data)]
+        np.cumsum(terms, out=sums[1:])
+    return sums
+
+
+def span_hashes(data: np.ndarray, starts: np.ndarray, ends: np.ndarray, sums: np.ndarray | None = None) -> np.ndarray:
     """A 64-bit hash of each data[start:end] by prefix sums of a polynomial modulo 2**64; equal bytes, equal hash."""
-    n = len(data)
-    p, inv = _powers(n + 1)
+    sums = prefix_sums(data) if sums is None else sums
+    inv = _powers(len(data) + 1)[1]
     with np.errstate(over="ignore"):
-        sums = np.empty(n + 1, np.uint64)
-        sums[0] = 0
-        np.cumsum((data.astype(np.uint64) + np.uint64(1)) * p[:n], out=sums[1:])
         return mix((sums[ends] - sums[starts]) * inv[starts] + (ends - starts).astype(np.uint64))
 
 

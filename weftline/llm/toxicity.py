@@ -38,7 +38,7 @@ import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from weftline.llm.common import LOWER, claim, combine, fold_of, mix, slices, span_hashes, text_buffer, words
+from weftline.llm.common import LOWER, WHITE, claim, combine, fold_of, mix, prefix_sums, slices, span_hashes, text_buffer, words
 from weftline.llm.linear import Ftrl, fitted, kept_rows, labelled_sample, sigmoid
 from weftline.llm.quality import tokens
 
@@ -85,6 +85,8 @@ for _sign, _letter in DISGUISES.items():
     _PLAIN[ord(_sign)] = ord(_letter)
 _LETTER = np.zeros(256, bool)
 _LETTER[97:123] = True
+_IS_SIGN, _IS_LETTER, _IS_OTHER = 0, 1, 2  # other: white space, and bytes of letters beyond a-z
+_KIND = np.where(_LETTER, _IS_LETTER, np.where(WHITE | (np.arange(256) >= 128), _IS_OTHER, _IS_SIGN)).astype(np.uint8)
 #: Marks features that say a word was in disguise.
 _MASKED = np.uint64(0x5BD1E995)
 SPELT_LEAST, SPELT_MOST = 4, 24
@@ -111,22 +113,19 @@ def undisguised(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndar
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     text_of = np.repeat(np.arange(len(counts)), counts)
     length = ends - starts
-    letters = np.concatenate([[0], np.cumsum(_LETTER[data])])
-    inner = letters[ends] - letters[starts]
-    # Not all letters, but a letter at the start and what is at the end is not where the signs stop.
-    triple = np.zeros(len(data), bool)
-    triple[2:] = (data[2:] == data[1:-1]) & (data[1:-1] == data[:-2]) & _LETTER[data[2:]]
-    triples = np.concatenate([[0], np.cumsum(triple)])
-    sign_then_letter = np.zeros(len(data), bool)
-    sign_then_letter[1:] = _LETTER[data[1:]] & ~_LETTER[data[:-1]] & (data[:-1] < 128)
-    signs = np.concatenate([[0], np.cumsum(sign_then_letter)])
-    between = signs[ends] - signs[starts + 1] > 0
-    odd = (length >= SPELT_LEAST) & (length <= 3 * SPELT_MOST) & (inner >= 2) & ((between & (_PLAIN[data[starts]] > 0)) | (triples[ends] - triples[np.minimum(starts + 2, ends)] > 0))
-    found: list[tuple[int, bytes]] = [(int(text_of[i]), data[starts[i] : ends[i]].tobytes()) for i in np.flatnonzero(odd).tolist()]
+    # Where a letter stands behind a sign or digit, or is said for the third time; such places are few.
+    kind = _KIND[data]
+    behind = np.flatnonzero((kind[1:] == _IS_LETTER) & (kind[:-1] == _IS_SIGN)) + 1
+    same = data[1:] == data[:-1]
+    third = np.flatnonzero(same[1:] & same[:-1] & (kind[2:] == _IS_LETTER)) + 2
+    parted, drawn = _holding(behind, 1, starts, ends), _holding(third, 2, starts, ends)
+    odd = np.union1d(parted[_PLAIN[data[starts[parted]]] > 0], drawn)
+    odd = odd[(length[odd] >= SPELT_LEAST) & (length[odd] <= 3 * SPELT_MOST)]
+    found: list[tuple[int, bytes]] = [(int(text_of[i]), data[starts[i] : ends[i]].tobytes()) for i in odd.tolist() if _LETTER[data[starts[i] : ends[i]]].sum() >= 2]
     # Single letters in a row.
     single = (length == 1) & _LETTER[data[starts]]
-    edge = np.flatnonzero(np.diff(np.concatenate([[0], single.astype(np.int8), [0]])))
-    for a, b in zip(edge[::2].tolist(), edge[1::2].tolist(), strict=True):
+    edge = np.flatnonzero(np.diff(np.concatenate([[0], single.astype(np.int8), [0]]))).reshape(-1, 2)
+    for a, b in edge[edge[:, 1] - edge[:, 0] >= SPELT_LEAST].tolist():
         for t in np.unique(text_of[a:b]).tolist():
             run = np.arange(a, b)[text_of[a:b] == t]
             if SPELT_LEAST <= len(run) <= SPELT_MOST:
@@ -143,6 +142,12 @@ def undisguised(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndar
     return np.array(at), span_hashes(joined, to - [len(f) for f in forms], to)
 
 
+def _holding(places: np.ndarray, least: int, starts: np.ndarray, ends: np.ndarray) -> np.ndarray:
+    """The words that have one of these places, `least` bytes from their start or further."""
+    word = np.searchsorted(starts, places, "right") - 1
+    return np.unique(word[(word >= 0) & (places >= starts[word] + least) & (places < ends[word])])
+
+
 def spelt(raw: bytes) -> set[bytes]:
     """What a word in disguise may say: signs as letters or as mere parting, letters said again said once or twice."""
     low = np.frombuffer(raw, np.uint8)
@@ -166,7 +171,8 @@ def features(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray
         return np.zeros(0, np.uint64), np.zeros(len(offs) - 1, np.int64)
     each = 2 + len(PREFIXES)
     out = np.empty((n, each), np.uint64)
-    out[:, 0] = span_hashes(data, starts, ends)
+    sums = prefix_sums(data)
+    out[:, 0] = span_hashes(data, starts, ends, sums)
     length = ends - starts
     for k, p in enumerate(PREFIXES, 1):
         cut = starts + p
@@ -176,7 +182,7 @@ def features(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray
         fine[inside] = (data[cut[inside]] & 0xC0) != 0x80
         ok = (length > p) & (kind == 1) & fine
         h = out[:, 0].copy()
-        h[ok] = mix(span_hashes(data, starts[ok], cut[ok]) + np.uint64(p))
+        h[ok] = mix(span_hashes(data, starts[ok], cut[ok], sums) + np.uint64(p))
         out[:, k] = h
     # A word and the next of the same text.
     out[:, -1] = out[:, 0]
@@ -219,33 +225,50 @@ def telling(both: np.ndarray, bad: np.ndarray, n: int, toxic: float) -> np.ndarr
         return 2 * (np.where(bad > 0, bad * np.log(share / base), 0) + np.where(both > bad, (both - bad) * np.log((1 - share) / (1 - base)), 0))
 
 
-def choose_voters(found: list[np.ndarray], label: np.ndarray) -> np.ndarray:
+def common_terms(found: list[np.ndarray]) -> tuple[np.ndarray, list[np.ndarray], int]:
+    """Terms of LEAST_TOXIC texts or more, in order; which of them each text has; how many terms there are in all."""
+    flat = np.concatenate(found)
+    flat.sort()
+    new = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
+    terms = flat[new[np.diff(np.append(new, len(flat))) >= LEAST_TOXIC]]
+    del flat
+    inside = []
+    for f in found:
+        at = np.searchsorted(terms, f)
+        at[at == len(terms)] = 0
+        inside.append(at[terms[at] == f].astype(np.int32) if len(terms) else np.zeros(0, np.int32))
+    return terms, inside, len(new)
+
+
+def sums_of(n_terms: int, inside: list[np.ndarray], weight: np.ndarray) -> np.ndarray:
+    """For each term the weight of the texts that have it."""
+    out = np.zeros(n_terms)
+    for at, w in zip(inside, weight.tolist(), strict=True):
+        out[at] += w
+    return out
+
+
+def choose_voters(terms: np.ndarray, inside: list[np.ndarray], label: np.ndarray) -> np.ndarray:
     """Hashes of the terms that go with the label, most telling first; of terms in the same texts only one."""
     n, toxic = len(label), label.sum()
-    if not toxic or toxic == n:
+    if not toxic or toxic == n or not len(terms):
         return np.zeros(0, np.uint64)
-    every, inverse = np.unique(np.concatenate(found), return_inverse=True)
-    row = np.repeat(np.arange(n), [len(f) for f in found])
-    both = np.bincount(inverse, minlength=len(every))
-    bad = np.bincount(inverse, weights=label[row], minlength=len(every))
-    tried = both >= LEAST_TOXIC
+    both, bad = sums_of(len(terms), inside, np.ones(n)), sums_of(len(terms), inside, label)
     g = telling(both, bad, n, toxic)
-    good = np.flatnonzero(tried & (bad >= LEAST_TOXIC) & (bad >= LEAST_PRECISION * both) & (g >= 2 * np.log(max(tried.sum(), 1)) + OVER_CHANCE))
-    good = good[np.lexsort((every[good], -g[good]))]
+    good = np.flatnonzero((bad >= LEAST_TOXIC) & (bad >= LEAST_PRECISION * both) & (g >= 2 * np.log(len(terms)) + OVER_CHANCE))
+    good = good[np.lexsort((terms[good], -g[good]))]
     good = good[: 4 * MOST_VOTERS]
-    place = np.full(len(every), -1)
+    place = np.full(len(terms), -1)
     place[good] = np.arange(len(good))
-    spot = place[inverse]
-    hits = np.flatnonzero(spot >= 0)
-    hits = hits[np.argsort(spot[hits], kind="stable")]
-    rows_of = dict(zip(good.tolist(), np.split(row[hits], np.cumsum(np.bincount(spot[hits], minlength=len(good)))[:-1]), strict=True)) if len(good) else {}
-    chosen, seen = [], set()
-    for i in good.tolist():
-        name = rows_of[i].tobytes()
-        if name not in seen:
-            seen.add(name)
-            chosen.append(i)
-    return every[chosen[:MOST_VOTERS]]
+    rows_of: list[list[int]] = [[] for _ in good]
+    for row, at in enumerate(inside):
+        spot = place[at]
+        for k in spot[spot >= 0].tolist():
+            rows_of[k].append(row)
+    first = {}
+    for k, rows in enumerate(rows_of):
+        first.setdefault(tuple(rows), k)
+    return terms[good[list(first.values())[:MOST_VOTERS]]]
 
 
 def listed() -> tuple[list[np.ndarray], int]:
@@ -341,7 +364,8 @@ def fit_rows(pdf: pd.DataFrame) -> pd.DataFrame:
     found, label = [found[i] for i in once], label[once]
     fixed, n_words = listed()
     known = set(np.concatenate(fixed[:n_words]).tolist())
-    mined = [np.array([h]) for h in choose_voters(found, label) if int(h) not in known]
+    terms, inside, n_all = common_terms(found)
+    mined = [np.array([h]) for h in choose_voters(terms, inside, label) if int(h) not in known]
     votes = votes_of(found, fixed + mined, len(fixed))
     for_clean = np.zeros(votes.shape[1], bool)
     for_clean[[len(fixed) - 2, len(fixed) - 1, -2, -1]] = True
@@ -351,20 +375,17 @@ def fit_rows(pdf: pd.DataFrame) -> pd.DataFrame:
         return pd.DataFrame({"hashes": [b""], "weights": [b""], "bias": [-35.0], "voters": [0]})
     votes = votes[:, speaks]
     target = LabelModel().fit(votes, float(label.mean()), for_clean[speaks]).posterior(votes)
-    every, inverse = np.unique(np.concatenate(found), return_inverse=True)
-    sizes = [len(f) for f in found]
-    both = np.bincount(inverse, minlength=len(every))
-    likely = np.bincount(inverse, weights=np.repeat(target, sizes), minlength=len(every))
+    both, likely = sums_of(len(terms), inside, np.ones(len(found))), sums_of(len(terms), inside, target)
     # The classifier sees what the posterior labels, not the given ones, make telling.
-    useful = np.flatnonzero((both >= LEAST_TOXIC) & (telling(both, likely, len(found), target.sum()) >= 2 * np.log(len(every)) + OVER_CHANCE))
-    place = np.full(len(every), -1)
+    useful = np.flatnonzero(telling(both, likely, len(found), target.sum()) >= 2 * np.log(n_all) + OVER_CHANCE)
+    place = np.full(len(terms), -1)
     place[useful] = np.arange(len(useful))
-    examples = [(at[at >= 0], np.ones((at >= 0).sum())) for at in np.split(place[inverse], np.cumsum(sizes)[:-1])]
+    examples = [(at[at >= 0], np.ones((at >= 0).sum())) for at in (place[i] for i in inside)]
     model = Ftrl(len(useful), ALPHA, 1.0, L1, L2)
     model.fit(examples, target, EPOCHS)
     w = model.weights()
     keep = np.flatnonzero(w)
-    return pd.DataFrame({"hashes": [every[useful][keep].astype("<u8").tobytes()], "weights": [w[keep].astype("<f8").tobytes()], "bias": [model.bias], "voters": [votes.shape[1]]})
+    return pd.DataFrame({"hashes": [terms[useful][keep].astype("<u8").tobytes()], "weights": [w[keep].astype("<f8").tobytes()], "bias": [model.bias], "voters": [votes.shape[1]]})
 
 
 class Lookup:
