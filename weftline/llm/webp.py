@@ -4,13 +4,18 @@ Decoder. Prefix codes (simple and normal, meta prefix groups), back-references w
 distance map, the colour cache, and the inverse of all four transforms: predictor, cross-colour, subtract-green
 and colour-indexing palette (with packed pixels). decode() writes a (height, width, 4) array of RGBA samples.
 
-Fast path. Many images of one batch that are single-group literal streams (grey: subtract-green, one prefix
-code that varies) are decoded together: for every bit of all their streams one table lookup gives the symbol
-that would start there and its length, jumps of eight symbols are composed from single ones, and only those
-jumps are followed one after another. Any other stream takes the general path.
-
-Encoder. Grey images of 64 samples a row, subtract-green, one prefix code from each image's own histogram,
-complete and at most 12 bits long. More than 64 x 16384 samples become several images one after another.
+Reading many images. Grey images of one batch with one prefix group (subtract-green, then a predictor, a palette
+or neither) are decoded together: for every bit of all their streams the token that would start there (sample,
+back-reference or cache index) gives the next bit, jumps of eight tokens are composed from single ones, and only
+those jumps are followed one after another. Copied samples and cached colours are then found by following
+pointers for all images at once, and transforms are undone by image. Any other stream takes the general path.
+
+Encoder. Grey images of 64 samples a row with subtract-green. For each image it takes what needs the fewest bits
+by the entropy of its symbols: samples as they are, predicted (left, above, above right, above left) or packed by
+a palette of at most 16 colours; with back-references or without, with a colour cache or without. References go to the
+latest earlier place with the same five samples, where that saves bits. Prefix codes come from each image's own
+histograms, complete and at most 12 bits long; one prefix group an image, no cross-colour (grey has none).
+More than 64 x 16384 samples become several images one after another.
 
 Cases: a null text is stored as an empty one, which is padded to 64 zero samples. Texts of any length are
 stored whole. Equal texts give equal bytes. A null or damaged stored form raises ValueError in decode(), and
@@ -22,6 +27,8 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
+from functools import lru_cache
+from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -54,12 +61,12 @@ class Bits:
     """Reads bits, least significant first."""
 
     def __init__(self, data: bytes, at: int = 0):
-        self.value, self.at, self.end = int.from_bytes(data[: 1 << 12], "little"), at, 8 * len(data)
-        self.data, self.base, self.top = data, 0, 8 * min(len(data), 1 << 12)
+        self.data, self.at, self.end = data, at, 8 * len(data)
+        self._refill()
 
     def _refill(self) -> None:
         self.base = self.at & ~7
-        part = self.data[self.base >> 3 : (self.base >> 3) + (1 << 12)]
+        part = self.data[self.base >> 3 : (self.base >> 3) + (1 << 8)]
         self.value, self.top = int.from_bytes(part, "little"), self.base + 8 * len(part)
 
     def peek(self, n: int) -> int:
@@ -90,19 +97,32 @@ class Prefix:
             raise ValueError("an empty prefix code")
         if self.single >= 0:
             return
-        self.longest = int(lengths.max())
-        order = used[np.lexsort((used, lengths[used]))]
-        spans = 1 << (self.longest - lengths[order])
-        if spans.sum() != 1 << self.longest:
+        n = lengths[used]
+        self.longest = int(n.max())
+        if (1 << (self.longest - n)).sum() != 1 << self.longest:
             raise ValueError("a prefix code that is not complete")
-        in_order = np.repeat(order, spans)  # by the code read most significant bit first
-        flip = _flips(self.longest)
-        symbols = in_order[flip]
-        self.table = list(zip(symbols.tolist(), lengths[symbols].tolist(), strict=True))
+
+    def in_order(self, longest: int) -> np.ndarray:
+        """symbol * 16 + length for each number of `longest` bits, the first bit read highest."""
+        if self.single >= 0:
+            return np.full(1 << longest, self.single * 16, np.uint16)
+        used = np.flatnonzero(self.lengths)
+        order = used[np.argsort(self.lengths[used], kind="stable")]
+        n = self.lengths[order]
+        return np.repeat((order * 16 + n).astype(np.uint16), 1 << (longest - n))
+
+    def words(self) -> list[tuple[int, int]]:
+        """Symbol and length for each number of the longest length's bits; made when first asked for."""
+        if not self.table and self.single < 0:
+            symbols, n = np.divmod(self.in_order(self.longest)[_flips(self.longest)], 16)
+            self.table = list(zip(symbols.tolist(), n.tolist(), strict=True))
+        return self.table
 
     def read(self, bits: Bits) -> int:
         if self.single >= 0:
             return self.single
+        if not self.table:
+            self.words()
         symbol, n = self.table[bits.peek(self.longest)]
         bits.at += n
         return symbol
@@ -122,6 +142,11 @@ def _flips(n: int) -> np.ndarray:
     return _FLIPS[n]
 
 
+@lru_cache(maxsize=256)
+def _length_code(lengths: bytes) -> Prefix:
+    return Prefix(np.frombuffer(lengths, np.int64))
+
+
 def read_prefix(bits: Bits, alphabet: int) -> Prefix:
     lengths = np.zeros(max(alphabet, 256), np.int64)
     if bits.read(1):  # simple: one or two symbols
@@ -134,12 +159,17 @@ def read_prefix(bits: Bits, alphabet: int) -> Prefix:
     code_lengths = np.zeros(19, np.int64)
     for i in range(4 + bits.read(4)):
         code_lengths[CODE_LENGTH_ORDER[i]] = bits.read(3)
-    code = Prefix(code_lengths)
+    code = _length_code(code_lengths.tobytes())
     most = 2 + bits.read(2 + 2 * bits.read(3)) if bits.read(1) else alphabet
     before, i = 8, 0
+    table, longest = code.words(), code.longest
     while i < alphabet and most:
         most -= 1
-        s = code.read(bits)
+        if code.single >= 0:
+            s = code.single
+        else:
+            s, n = table[bits.peek(longest)]
+            bits.at += n
         if s < 16:
             lengths[i] = s
             before = s or before
@@ -396,7 +426,7 @@ def code_lengths(histogram: np.ndarray, most: int = LONGEST_CODE) -> np.ndarray:
     room = one - share()
     while True:
         before = room.copy()
-        for k in range(histogram.shape[1]):
+        for k in range(int(used.sum(1).max())):
             col = rank[:, k]
             row = np.arange(len(room))
             n = lengths[row, col]
@@ -471,45 +501,377 @@ def _put_one(w: Writer, symbol: int) -> None:
     w.put(symbol, 8)
 
 
-def encode_grey(payloads: np.ndarray, offs: np.ndarray) -> list[bytes]:
-    """A WebP file for each payload (a multiple of 64 bytes, at most 64 x 16384)."""
+#: Offset back to the sample that each of the encoder's predictors takes, by its mode; above right of a row's last
+#: sample is the first of the same row, as the format has it.
+PREDICTORS = {1: 1, 2: WIDTH, 3: WIDTH - 1, 4: WIDTH + 1}
+#: Sizes of the colour cache that the encoder tries, in bits; the others only where the first pays.
+CACHES = (1, 2, 3, 4, 6, 8)
+#: Samples that a reference is looked up by; the longest reference and the farthest one.
+SAME, LONGEST_COPY, FARTHEST = 5, 4096, (1 << 20) - 120
+#: Bits of a header, about, for each symbol that a prefix code holds.
+HEAD_BITS = 5
+
+
+def _entropy(histogram: np.ndarray) -> np.ndarray:
+    """Bits that each row's symbols need, with their code's header, about."""
+    total = histogram.sum(1)
+    log = lambda c: np.log2(np.maximum(c, 1))
+    return total * log(total) - (histogram * log(histogram)).sum(1) + HEAD_BITS * (histogram > 0).sum(1)
+
+
+def _histograms(row: np.ndarray, symbols: np.ndarray, rows: int, size: int) -> np.ndarray:
+    return np.bincount(row * size + symbols, minlength=rows * size).reshape(rows, size)
+
+
+def _predicted(samples: np.ndarray, offs: np.ndarray, back: int) -> np.ndarray:
+    """What is left of each sample when the one `back` before it is taken away; edges as the format has them."""
+    before = np.zeros(len(samples), np.uint8)
+    before[back:] = samples[:-back] if back < len(samples) else samples[:0]
+    column = np.arange(0, len(samples), WIDTH)
+    before[column[1:]] = samples[column[:-1]]
+    first = (offs[:-1, None] + np.arange(WIDTH)).reshape(-1)
+    before[first] = samples[first - 1]
+    before[offs[:-1]] = 0
+    return samples - before
+
+
+def _packed(samples: np.ndarray) -> tuple[np.ndarray, np.ndarray, int]:
+    """Palette, samples as indices, several to one, and the binary logarithm of how many; at most 16 colours."""
+    palette, index = np.unique(samples, return_inverse=True)
+    packing = 3 if len(palette) <= 2 else 2 if len(palette) <= 4 else 1
+    each = index.reshape(-1, 1 << packing) << (np.arange(1 << packing) * (8 >> packing))
+    return palette, each.sum(1).astype(np.uint8), packing
+
+
+def _ways(samples: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[tuple]]:
+    """Ways to code the images: samples, offsets, image and (transform, what it needs) of each.
+
+    Every image as it is; after these the images that a predictor or a palette makes smaller.
+    """
     n = len(offs) - 1
+    row = np.repeat(np.arange(n), np.diff(offs))
+    plain = _histograms(row, samples, n, 256)
+    least = _entropy(plain)
+    best: list[tuple] = [("", 0)] * n
+    parts: dict[int, np.ndarray] = {}
+    for mode, back in PREDICTORS.items():
+        rest = _predicted(samples, offs, back)
+        cost = _entropy(_histograms(row, rest, n, 256)) + 60
+        for i in np.flatnonzero(cost < least).tolist():
+            best[i], parts[i] = ("predictor", mode), rest[offs[i] : offs[i + 1]]
+        least = np.minimum(least, cost)
+    colours = (plain > 0).sum(1)
+    for i in np.flatnonzero((colours > 1) & (colours <= 16)).tolist():
+        palette, packed, packing = _packed(samples[offs[i] : offs[i + 1]])
+        cost = float(_entropy(np.bincount(packed, minlength=256)[None])[0]) + 60 + 8 * len(palette)
+        if cost < least[i]:
+            best[i], parts[i] = ("palette", (palette, packing)), packed
+    owner = sorted(parts)
+    sizes = np.concatenate([np.diff(offs), np.array([len(parts[i]) for i in owner], np.int64)])
+    return (
+        np.concatenate([samples, *(parts[i] for i in owner)]),
+        np.concatenate([[0], np.cumsum(sizes)]),
+        np.concatenate([np.arange(n), np.array(owner, np.int64)]),
+        [("", 0)] * n + [best[i] for i in owner],
+    )
+
+
+def _references(samples: np.ndarray, offs: np.ndarray, worth: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Start, length and distance of references that save bits, where a sample of image i is worth worth[i] bits."""
+    none = np.zeros(0, np.int64)
+    n = len(samples)
+    if n <= SAME:
+        return none, none, none
+    room = int(n).bit_length()
+    key = samples.astype(np.uint64)
+    for k in range(1, SAME):
+        key = (key[:-1] << np.uint64(8)) | samples[k:]
+    key <<= np.uint64(room)
+    key |= np.arange(len(key), dtype=np.uint64)
+    key.sort()
+    same = np.flatnonzero((key[1:] ^ key[:-1]) < np.uint64(1 << room))
+    at = (key & np.uint64((1 << room) - 1)).astype(np.int32)
+    back = np.zeros(n + 1, np.int64)  # distance to the latest place with the same samples
+    back[at[same + 1]] = at[same + 1] - at[same]
+    del key, at, same
     sizes = np.diff(offs)
-    row = np.repeat(np.arange(n), sizes)
-    key = row * 256 + payloads
-    histogram = np.bincount(key, minlength=n * 256).reshape(n, 256)
-    single = (histogram > 0).sum(1) == 1
-    lengths = code_lengths(histogram)
-    lengths[single] = 0
-    codes = canonical(lengths)
-    heads, head_bits = [], np.zeros(n, np.int64)
-    for i in range(n):
-        w = Writer()
-        w.put(SIGNATURE, 8)
-        w.put(WIDTH - 1, 14)
-        w.put(int(sizes[i]) // WIDTH - 1, 14)
-        w.put(0, 4)
+    edge = np.arange(n) - np.repeat(offs[:-1], sizes)  # place in its image
+    back[:n] *= (back[:n] <= edge) & (back[:n] <= FARTHEST)
+    back[(offs[1:, None] - np.arange(1, SAME)).reshape(-1)] = 0
+    # Places one after another at one distance are one longer copy.
+    last = np.flatnonzero((back[1:] != back[:-1]) & (back[:-1] > 0))
+    first = np.flatnonzero((back[1:] != back[:-1]) & (back[1:] > 0)) + 1
+    if back[0] or not len(last):
+        return none, none, none
+    runs = last - first + 1
+    far_bits = np.log2(back[first])
+    value = worth[np.searchsorted(offs, first, "right") - 1]
+    # From the middle of a copy less is left, and may not pay any more.
+    start = np.flatnonzero(back)
+    length = np.repeat(last + SAME, runs) - start
+    least = np.maximum(np.floor((9 + far_bits) / np.maximum(value, 1e-9)) + 1, 2)
+    pays = length >= np.repeat(least, runs)
+    start, length = start[pays], np.minimum(length[pays], LONGEST_COPY)
+    # From left to right, each at the first place that the one before leaves, and as far as the copy goes on.
+    stop = memoryview(np.minimum(start + LONGEST_COPY, np.repeat(offs[1:], sizes)[start]))
+    index = np.zeros(n + 2, np.int64)
+    index[start + 1] = 1
+    index = memoryview(np.cumsum(index))
+    until, far, raw = memoryview(start + length), memoryview(back[start]), samples.tobytes()
+    chosen, ends, i, count = [], [], 0, len(start)
+    while i < count:
+        e, d, most = until[i], far[i], stop[i]
+        if e < most and raw[e] == raw[e - d]:
+            while e + 16 <= most and raw[e : e + 16] == raw[e - d : e - d + 16]:
+                e += 16
+            while e < most and raw[e] == raw[e - d]:
+                e += 1
+        chosen.append(i)
+        ends.append(e)
+        i = index[e]
+    start = start[chosen]
+    return start, np.array(ends, np.int64) - start, back[start]
+
+
+_NEAR: dict[int, np.ndarray] = {}
+
+
+def _distance_codes(far: np.ndarray, width: np.ndarray) -> np.ndarray:
+    """The number that the format gives to a distance: near ones by the map, the smallest that fits."""
+    out = far + 120
+    for w in np.unique(width).tolist():
+        if w not in _NEAR:
+            near = np.zeros(8 * w + 9, np.int64)
+            for code in range(120, 0, -1):
+                dx, dy = DISTANCE_MAP[code - 1]
+                near[max(1, dx + dy * w)] = code
+            _NEAR[w] = near
+        near = _NEAR[w]
+        code = near[np.minimum(far, len(near) - 1)]
+        out = np.where((width == w) & (far < len(near)) & (code > 0), code, out)
+    return out
+
+
+def _count_codes(count: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(symbol, extra bits, their value) of lengths and of distances' numbers."""
+    n = count - 1
+    k = np.frexp(np.maximum(n, 1).astype(np.float64))[1] - 1
+    extra = np.where(n < 4, 0, k - 1)
+    half = (n >> extra) & 1
+    return np.where(n < 4, n, 2 * k + half), extra, np.where(n < 4, 0, n & ((1 << extra) - 1))
+
+
+_KEYS: dict[tuple[int, int], np.ndarray] = {}
+
+
+def _cache_keys(cache_bits: int, alpha: int) -> np.ndarray:
+    """The place in a colour cache of each green sample, with that alpha."""
+    if (cache_bits, alpha) not in _KEYS:
+        px = np.arange(256, dtype=np.uint64) << np.uint64(8) | np.uint64(alpha << 24)
+        _KEYS[cache_bits, alpha] = (((px * np.uint64(COLOUR_CACHE_MULTIPLIER)) & np.uint64(0xFFFFFFFF)) >> np.uint64(32 - cache_bits)).astype(np.int64)
+    return _KEYS[cache_bits, alpha]
+
+
+def _latest(key: np.ndarray, offs: np.ndarray) -> np.ndarray:
+    """The latest earlier place of the same image with the same key; -1: none."""
+    room = int(len(key)).bit_length()
+    kind = np.uint32 if room + int(key.max()).bit_length() <= 32 else np.uint64
+    mixed = key.astype(kind) << kind(room) | np.arange(len(key), dtype=kind)
+    mixed.sort()
+    at = (mixed & kind((1 << room) - 1)).astype(np.int64)
+    out = np.full(len(key), -1, np.int64)
+    out[at[1:]] = np.where((mixed[1:] ^ mixed[:-1]) < kind(1 << room), at[:-1], -1)
+    out[out < np.repeat(offs[:-1], np.diff(offs))] = -1
+    return out
+
+
+def _first_keys() -> np.ndarray:
+    """Places in a cache of two colours, of samples with alpha 0 and 255."""
+    return np.stack([_cache_keys(CACHES[0], 0), _cache_keys(CACHES[0], 255)])
+
+
+def _latest_of_two(key: np.ndarray) -> np.ndarray:
+    """The latest earlier place with the same key, 0 or 1; -1: none."""
+    turns = np.flatnonzero(key[1:] != key[:-1]) + 1
+    out = np.arange(-1, len(key) - 1)
+    out[turns[:1]] = -1
+    out[turns[1:]] = turns[:-1] - 1
+    return out
+
+
+def _put_head(w: Writer, rows: int, way: tuple) -> None:
+    w.put(SIGNATURE, 8)
+    w.put(WIDTH - 1, 14)
+    w.put(rows - 1, 14)
+    w.put(0, 4)
+    w.put(1, 1)
+    w.put(2, 2)  # subtract green: a grey pixel is its green sample alone
+    kind, what = way
+    if kind == "predictor":
         w.put(1, 1)
-        w.put(2, 2)  # subtract green: a grey pixel is its green sample alone
+        w.put(0, 2)
+        w.put(7, 3)  # blocks of 512 x 512, all of one mode
         w.put(0, 1)
-        w.put(0, 1)  # no colour cache
-        w.put(0, 1)  # one prefix group
-        if single[i]:
-            _put_one(w, int(payloads[offs[i]]))
+        for s in (what, 0, 0, 0, 0):
+            _put_one(w, s)
+    elif kind == "palette":
+        w.put(1, 1)
+        w.put(3, 2)
+        palette = what[0].tolist()
+        w.put(len(palette) - 1, 8)
+        w.put(0, 1)
+        steps = np.diff([0, *palette])
+        lengths = np.zeros((1, ALPHABETS[0]), np.int64)
+        lengths[0, :256] = np.bincount(steps, minlength=256)
+        several = (lengths > 0).sum() > 1
+        lengths = code_lengths(lengths) if several else lengths * 0
+        words = canonical(lengths)[0]
+        if several:
+            _put_lengths(w, lengths[0].tolist())
         else:
-            _put_lengths(w, lengths[i].tolist() + [0] * 24)
-        for s in (0, 0, 255, 0):
+            _put_one(w, int(steps[0]))
+        for s in (0, 0):
             _put_one(w, s)
+        w.put(1, 1)  # alpha: 255, then 0; a simple code of two symbols, in order
+        w.put(1, 1)
+        w.put(0, 1)
+        w.put(0, 1)
+        w.put(255, 8)
+        _put_one(w, 0)
+        for k, s in enumerate(steps.tolist()):
+            w.put(int(words[s]), int(lengths[0, s]))
+            w.put(0 if k else 1, 1)
+    w.put(0, 1)
+
+
+def _put_code(w: Writer, lengths: list[int], used: np.ndarray) -> None:
+    if len(used) > 1:
+        _put_lengths(w, lengths)
+    else:
+        _put_one(w, int(used[0]) if len(used) else 0)
+
+
+def encode_grey(payloads: np.ndarray, offs: np.ndarray) -> list[bytes]:
+    """A WebP file for each payload (a multiple of 64 bytes, at most 64 x 16384)."""
+    samples, at, owner, ways = _ways(payloads, offs)
+    n, sizes = len(ways), np.diff(at)
+    row = np.repeat(np.arange(n), sizes)
+    width = np.array([WIDTH >> (what[1] if kind == "palette" else 0) for kind, what in ways])
+    alpha = np.array([0 if kind == "predictor" else 255 for kind, _ in ways])
+    head = np.array([60 if kind else 0 for kind, _ in ways]) + np.array([8 * len(what[0]) if kind == "palette" else 0 for kind, what in ways])
+
+    plain = _histograms(row, samples, n, 256)
+    least = _entropy(plain) + head
+    start, length, far = _references(samples, at, (least - head) / sizes)
+    image = row[start]
+    n_symbol, n_extra, n_value = _count_codes(length)
+    d_symbol, d_extra, d_value = _count_codes(_distance_codes(far, width[image]))
+    # Samples that references cover are not written.
+    edges = np.zeros(len(samples) + 1, np.int8)
+    edges[start] += 1
+    edges[start + length] -= 1
+    literal = np.flatnonzero(np.cumsum(edges[:-1], dtype=np.int8) == 0)
+    distances = _histograms(image, d_symbol, n, ALPHABETS[4])
+    beside = _entropy(distances) + np.bincount(image, n_extra + d_extra, n) + head
+    green = np.hstack([_histograms(row[literal], samples[literal], n, 256), _histograms(image, n_symbol, n, 24)])
+    cost = beside + _entropy(green)
+    refers = cost < least
+    least = np.minimum(cost, least)
+    # A colour cache, of the size that saves most; it also holds what references copy.
+    cache = np.zeros(n, np.int64)
+    symbols = samples.astype(np.int64)
+    key = _first_keys()[1][samples]
+    if (alpha == 0).any():
+        key = np.where(alpha[row] == 0, _first_keys()[0][samples], key)
+    before, key = _latest_of_two(key)[literal], key[literal]
+    hit = (before >= at[row[literal]]) & (samples[before] == samples[literal])
+    with_cache = _histograms(row[literal], np.where(hit, 280 + key, samples[literal]), n, 282)
+    with_cache[:, 256:280] = green[:, 256:]
+    for i in np.flatnonzero(beside + _entropy(with_cache) < least).tolist():
+        mine = slice(at[i], at[i + 1])
+        own = literal[slice(*np.searchsorted(literal, at[i : i + 2]))] - at[i]
+        for bits in CACHES:
+            key = _cache_keys(bits, int(alpha[i]))[samples[mine]]
+            before = _latest(key, np.array([0, sizes[i]]))[own]
+            coded = np.where((before >= 0) & (samples[mine][before] == samples[mine][own]), 280 + key[own], samples[mine][own])
+            histogram = np.bincount(coded, minlength=280 + (1 << bits))
+            histogram[256:280] = green[i, 256:]
+            total = beside[i] + _entropy(histogram[None])[0]
+            if total < least[i]:
+                least[i], cache[i], refers[i] = total, bits, True
+                symbols[at[i] + own] = coded
+
+    # The way of each image that needs the fewest bits, the first of equals.
+    order = np.lexsort((np.arange(n), least, owner))
+    chosen = order[np.concatenate([[True], owner[order][1:] != owner[order][:-1]])]
+    is_chosen = np.zeros(n, bool)
+    is_chosen[chosen] = True
+    ref = np.flatnonzero((refers & is_chosen)[image])
+    start, length, image = start[ref], length[ref], image[ref]
+    written = is_chosen[row]
+    whole = np.zeros(len(samples), bool)
+    whole[literal] = True
+    written &= whole | ~refers[row]
+    # One item a sample; a reference has two (length, distance), in the places of its first two samples.
+    item = np.flatnonzero(written)
+    most = 280 + (1 << int(cache.max()) if cache.any() else 0)
+    green = _histograms(row[item], symbols[item], n, most)
+    green[:, :280] += _histograms(image, 256 + n_symbol[ref], n, 280)
+    distances = _histograms(image, d_symbol[ref], n, ALPHABETS[4])
+    green, distances = green[chosen], distances[chosen]
+    place = np.zeros(n, np.int64)
+    place[chosen] = np.arange(len(chosen))
+    lengths, codes = _prefix_codes(green)
+    far_lengths, far_codes = _prefix_codes(distances)
+    bits = np.zeros(len(samples) + 1, np.int64)
+    value = np.zeros(len(samples) + 1, np.uint64)
+    flat = place[row[item]] * most + symbols[item]
+    bits[item], value[item] = lengths.reshape(-1)[flat], codes.reshape(-1)[flat].astype(np.uint64)
+    for to, s, extra, rest, size, c, v in (
+        (start, 256 + n_symbol[ref], n_extra[ref], n_value[ref], most, lengths, codes),
+        (start + 1, d_symbol[ref], d_extra[ref], d_value[ref], ALPHABETS[4], far_lengths, far_codes),
+    ):
+        flat = place[image] * size + s
+        bits[to] = c.reshape(-1)[flat] + extra
+        value[to] = (v.reshape(-1)[flat] | rest << c.reshape(-1)[flat]).astype(np.uint64)
+    item = np.concatenate([item, start, start + 1])
+    written[start] = written[start + 1] = True
+    item = np.flatnonzero(written)
+    item = item[np.argsort(place[row[item]], kind="stable")]
+    heads = []
+    for i, c in enumerate(chosen.tolist()):
+        w = Writer()
+        _put_head(w, int(offs[i + 1] - offs[i]) // WIDTH, ways[c])
+        w.put(1 if cache[c] else 0, 1)
+        if cache[c]:
+            w.put(int(cache[c]), 4)
+        w.put(0, 1)  # one prefix group
+        _put_code(w, lengths[i, : 280 + (1 << int(cache[c]) if cache[c] else 0)].tolist(), np.flatnonzero(green[i]))
+        for s in (0, 0, int(alpha[c])):
+            _put_one(w, s)
+        _put_code(w, far_lengths[i].tolist(), np.flatnonzero(distances[i]))
         heads.append(w)
-        head_bits[i] = w.n
-    bits = lengths.reshape(-1)[key]
+    return _files(heads, bits[item], value[item], np.bincount(place[row[item]], minlength=len(chosen)))
+
+
+def _prefix_codes(histogram: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Lengths and codes by row; a row of one symbol or none takes no bits."""
+    lengths = code_lengths(histogram)
+    lengths[(histogram > 0).sum(1) <= 1] = 0
+    return lengths, canonical(lengths)
+
+
+def _files(heads: list[Writer], bits: np.ndarray, value: np.ndarray, items: np.ndarray) -> list[bytes]:
+    """Files of a header and the items that follow each; items are one after another in the order of the headers."""
+    head_bits = np.array([w.n for w in heads], np.int64)
     ends = np.cumsum(bits)
-    body = np.diff(np.concatenate([[0], ends[offs[1:] - 1]]))
+    last = np.cumsum(items)
+    body = np.diff(np.concatenate([[0], ends[last - 1]]))
     stream_bytes = (head_bits + body + 7) // 8
     base = np.cumsum(stream_bytes) - stream_bytes
     # Each code is added into the 32-bit words that it touches; codes never overlap, so adding is joining.
-    at = ends - bits + np.repeat(base * 8 + head_bits - (ends[offs[1:] - 1] - body), sizes)
-    value = codes.reshape(-1)[key].astype(np.uint64) << (at & 31).astype(np.uint64)
+    at = ends - bits + np.repeat(base * 8 + head_bits - (ends[last - 1] - body), items)
+    value = value << (at & 31).astype(np.uint64)
     word = at >> 5
     words = np.zeros(int(stream_bytes.sum() + 11) // 4 + 2, np.uint64)
     first = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
@@ -532,13 +894,13 @@ def encode_grey(payloads: np.ndarray, offs: np.ndarray) -> list[bytes]:
 def encode_payloads(payloads: np.ndarray, offs: np.ndarray) -> list[bytes]:
     """The stored form of each payload: one image, or several one after another."""
     most = WIDTH * MOST_ROWS
-    if (np.diff(offs) <= most).all():
-        return encode_grey(payloads, offs)
     cuts = [c for a, b in zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True) for c in range(a, b, most)]
-    owner = [i for i, (a, b) in enumerate(zip(offs[:-1].tolist(), offs[1:].tolist(), strict=True)) for _ in range(a, b, most)]
+    owner = np.searchsorted(offs, cuts, "right") - 1
+    at = np.array([*cuts, offs[-1]])
     out = [b""] * (len(offs) - 1)
-    for i, file in zip(owner, encode_grey(payloads, np.array([*cuts, offs[-1]])), strict=True):
-        out[i] += file
+    for i, j in slices(at, most):
+        for k, file in zip(owner[i:j].tolist(), encode_grey(payloads[at[i] : at[j]], at[i : j + 1] - at[i]), strict=True):
+            out[k] += file
     return out
 
 
@@ -551,101 +913,256 @@ def files_of(stored: bytes) -> list[bytes]:
     return out
 
 
-def _plain_grey(file: bytes) -> tuple[bytes, int, int, np.ndarray] | None:
-    """Stream, first bit of its pixels, number of pixels and code lengths, if the fast path can take it."""
+class Grey(NamedTuple):
+    """A stream whose coded samples are green alone: what its head says, and the first bit of its tokens."""
+
+    stream: bytes
+    first: int
+    width: int  # as coded
+    pixels: int
+    cache_bits: int
+    alpha: int
+    green: Prefix
+    far: Prefix
+    undo: list
+
+
+def _grey(file: bytes) -> Grey | None:
+    """The head of a stream, if it can be read together with others."""
     stream = chunk_of(file)
     bits = Bits(stream)
     if bits.read(8) != SIGNATURE:
         return None
-    pixels = (bits.read(14) + 1) * (bits.read(14) + 1)
-    if bits.read(4) > 1 or bits.read(3) != 5 or bits.read(3):  # subtract green and no other, no cache, one group
+    width, height = bits.read(14) + 1, bits.read(14) + 1
+    if bits.read(4) > 1:
+        return None
+    undo, width = _transforms(bits, width, height)
+    kinds = [t[0] for t in undo]
+    if kinds not in ([2], [2, 0], [2, 3]):
+        return None
+    if kinds == [2, 3] and ((undo[1][3] & 0xFFFF00FF) != 0xFF000000).any():
+        return None
+    cache_bits = bits.read(4) if bits.read(1) else 0
+    if cache_bits > 11 or bits.read(1):
         return None
-    green = read_prefix(bits, ALPHABETS[0])
-    rest = [read_prefix(bits, k) for k in ALPHABETS[1:]]
-    if [p.single for p in rest[:3]] != [0, 0, 255] or green.lengths[256:].any():
+    green = read_prefix(bits, ALPHABETS[0] + ((1 << cache_bits) if cache_bits else 0))
+    *rest, far = (read_prefix(bits, k) for k in ALPHABETS[1:])
+    alpha = 0 if kinds == [2, 0] else 255
+    if [p.single for p in rest] != [0, 0, alpha]:
         return None
-    if green.single >= 0:
-        return stream, -1, pixels, green.lengths
-    return stream, bits.at, pixels, green.lengths
+    return Grey(stream, bits.at, width, width * height, cache_bits, alpha, green, far, undo[1:])
 
 
-#: Streams of the fast path that are decoded together: about so many bytes.
-TOGETHER = 1 << 19
+def undo_predictor_grey(rest: np.ndarray, width: int, modes: np.ndarray, block: int) -> np.ndarray | None:
+    """The samples, where all blocks take one of the encoder's predictors; otherwise None."""
+    mode = int(modes[0] >> 8) & 0xF
+    if mode not in PREDICTORS or (((modes >> 8) & 0xF) != mode).any():
+        return None
+    rows = rest.reshape(-1, width)
+    out = np.empty_like(rows)
+    out[0] = np.cumsum(rows[0], dtype=np.uint8)
+    # Slices, not single samples, so that sums wrap.
+    if mode == 1:
+        out[:, 0] = np.cumsum(rows[:, 0], dtype=np.uint8)
+        out[1:, 1:] = rows[1:, 1:]
+        out[1:] = np.cumsum(out[1:], axis=1, dtype=np.uint8)
+        return out.reshape(-1)
+    for y in range(1, len(rows)):
+        up = out[y - 1]
+        out[y, :1] = rows[y, :1] + up[:1]
+        if mode == 2:
+            out[y, 1:] = rows[y, 1:] + up[1:]
+        elif mode == 3:
+            out[y, 1:-1] = rows[y, 1:-1] + up[2:]
+            out[y, -1:] = rows[y, -1:] + out[y, :1]
+        else:
+            out[y, 1:] = rows[y, 1:] + up[:-1]
+    return out.reshape(-1)
+
+
+#: Texts that are encoded together and streams that are decoded together: about so many bytes.
+TOGETHER, STREAMS = 1 << 18, 1 << 16
 
 
 def decode_samples(files: list[bytes]) -> list[bytes]:
     """The 8-bit samples (green) of each file."""
     out: list[bytes | None] = [None] * len(files)
-    group: list[tuple[int, bytes, int, int, np.ndarray]] = []
-    size = 0
+    group: list[tuple[int, Grey]] = []
+    size = pixels = 0
 
     def flush() -> None:
-        nonlocal size
+        nonlocal size, pixels
         if group:
-            for i, samples in zip((g[0] for g in group), _decode_together([g[1:] for g in group]), strict=True):
-                out[i] = samples
+            for (i, g), coded in zip(group, _decode_together([g for _, g in group]), strict=True):
+                out[i] = _undone(g, coded, files[i])
         group.clear()
-        size = 0
+        size = pixels = 0
 
     for i, f in enumerate(files):
-        plain = _plain_grey(f)
-        if plain is None:
+        grey = _grey(f)
+        if grey is None:
             out[i] = decode(f)[..., 1].tobytes()
-        elif plain[1] < 0:
-            out[i] = bytes([int(np.flatnonzero(plain[3])[0])]) * plain[2]
+        elif grey.green.single >= 0:
+            out[i] = _undone(grey, np.full(grey.pixels, grey.green.single, np.uint8) if grey.green.single < 256 else None, f)
         else:
-            group.append((i, *plain))
-            size += len(plain[0])
-            if size >= TOGETHER:
+            group.append((i, grey))
+            size += len(grey.stream)
+            pixels += grey.pixels
+            if size >= STREAMS or pixels >= WIDTH * MOST_ROWS:
                 flush()
     flush()
     return out
 
 
-def _decode_together(group: list[tuple[bytes, int, int, np.ndarray]]) -> list[bytes]:
-    longest = int(max(g[3].max() for g in group))
-    # One table for each stream, by the next `longest` bits, first bit highest: symbol * 16 + length.
-    tables = np.empty((len(group), 1 << longest), np.uint16)
-    for t, (_, _, _, lengths) in zip(tables, group, strict=True):
-        used = np.flatnonzero(lengths)
-        order = used[np.lexsort((used, lengths[used]))]
-        t[:] = np.repeat(order * 16 + lengths[order], 1 << (longest - lengths[order]))
-    sizes = np.array([len(g[0]) for g in group])
-    base = np.cumsum(sizes) - sizes
-    raw = np.frombuffer(b"".join(g[0] for g in group) + bytes(8), np.uint8)
-    flipped = _flips(8).astype(np.uint32)[raw]
-    n = int(sizes.sum())
-    window = flipped[:n] << 24 | flipped[1 : n + 1] << 16 | flipped[2 : n + 2] << 8 | flipped[3 : n + 3]
-    at_bit = (window[:, None] << np.arange(8, dtype=np.uint32)) >> np.uint32(32 - longest)
-    at_bit += np.repeat(np.arange(len(group), dtype=np.uint32) << np.uint32(longest), sizes)[:, None]
-    entry = tables.reshape(-1)[at_bit.reshape(-1)]
+def _undone(g: Grey, coded: np.ndarray | None, file: bytes) -> bytes:
+    """Samples from those that are coded; what isn't grey throughout is decoded by itself."""
+    for kind, width, n, extra in g.undo if coded is not None else ():
+        if kind == 0:
+            coded = undo_predictor_grey(coded, width, extra, n)
+        else:
+            coded = (undo_palette(coded.astype(np.uint32) << 8, extra, width, n) >> 8).astype(np.uint8)
+    return decode(file)[..., 1].tobytes() if coded is None else coded.tobytes()
+
+
+def _follow(source: np.ndarray, todo: np.ndarray) -> None:
+    """Makes each sample's source the one at the end of its chain."""
+    while len(todo):
+        now = source[todo]
+        then = source[now]
+        source[todo] = then
+        todo = todo[now != then]
+
+
+@lru_cache
+def _token_bits(first: int = 0) -> np.ndarray:
+    """Bits of the code and of what follows it, for each symbol * 16 + length; counts are the symbols from 256 - first on."""
+    entry = np.arange(1 << 16)
+    symbol = (entry >> 4) - 256 + first
+    extra = np.where((symbol >= 4) & (symbol < (40 if first else 24)), (symbol - 2) >> 1, 0)
+    return ((entry & 15) + extra).astype(np.uint8)
+
+
+def _decode_together(group: list[Grey]) -> list[np.ndarray | None]:
+    """Coded samples of each stream; None where one needs a colour that no sample has put into the cache."""
+    longest = max(g.green.longest for g in group)
+    far_longest = max(g.far.longest for g in group)
+    # Tables for each stream, by the next bits, first bit highest: symbol * 16 + length.
+    table = np.concatenate([g.green.in_order(longest) for g in group])
+    far_table = np.concatenate([g.far.in_order(far_longest) for g in group])
+    sizes = np.array([len(g.stream) for g in group])
+    # A byte more for each: a distance of no bits may start where a stream ends, and is by that stream's code.
+    base = np.cumsum(sizes + 1) - sizes - 1
+    n = int(sizes.sum()) + len(group)
+    raw = np.frombuffer(b"".join(g.stream + b"\0" for g in group) + bytes(16), np.uint8)
+    window = lambda b: b[:-3] << 24 | b[1:-2] << 16 | b[2:-1] << 8 | b[3:]
+    most_first = window(_flips(8).astype(np.uint32)[raw])
+    least_first = window(raw[::-1].astype(np.uint32))[::-1]
+    stream_of = np.repeat(np.arange(len(group), dtype=np.uint32), sizes + 1)
+    at_bit = (most_first[:n, None] << np.arange(8, dtype=np.uint32)) >> np.uint32(32 - longest)
+    at_bit += (stream_of << np.uint32(longest))[:, None]
+    entry = table[at_bit.reshape(-1)]
+    del at_bit
     bits = 8 * n
-    jump = np.empty(bits + 1, np.int32)
-    np.add(np.arange(bits, dtype=np.int32), entry & 15, out=jump[:-1])
-    jump[-1] = bits
-    np.minimum(jump, bits, out=jump)
+    jump = np.empty(bits + 2, np.int32)
+    np.add(np.arange(bits, dtype=np.int32), _token_bits()[entry], out=jump[:-2])
+    jump[-2:] = bits + 1
+    # After a reference's length and its extra bits comes its distance.
+    refer = np.flatnonzero((entry >= 256 * 16) & (entry < 280 * 16))
+    if len(refer):
+        at_bit = (most_first[: n + 8, None] << np.arange(8, dtype=np.uint32)) >> np.uint32(31 - far_longest) >> np.uint32(1)
+        at_bit[:n] += (stream_of << np.uint32(far_longest))[:, None]
+        far_bits = _token_bits(256)[far_table][at_bit.reshape(-1)]
+        del at_bit
+        p = jump[refer]
+        jump[refer] = p + far_bits[p]
+    widths = np.array([g.width for g in group])
+    near = np.array(DISTANCE_MAP)
+
+    def count(symbol: np.ndarray, p: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        extra = np.where(symbol < 4, 0, (symbol - 2) >> 1)
+        value = (least_first[p >> 3] >> (p & 7).astype(np.uint32)).astype(np.int64) & ((1 << extra) - 1)
+        return np.where(symbol < 4, symbol, ((2 + (symbol & 1)) << extra) + value) + 1, p + extra
+
+    def references(p: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Length, distance and next bit of the references that start at these bits."""
+        stream = stream_of[p >> 3].astype(np.int64)
+        e = entry[p].astype(np.int64)
+        length, p = count((e >> 4) - 256, p + (e & 15))
+        code = (most_first[p >> 3] << (p & 7).astype(np.uint32)).astype(np.int64) >> (32 - far_longest)
+        e = far_table[stream << far_longest | code].astype(np.int64)
+        code, p = count(e >> 4, p + (e & 15))
+        dx, dy = near[np.minimum(code, 120) - 1].T
+        return length, np.where(code > 120, code - 120, np.maximum(1, dx + dy * widths[stream])), p
+
+    np.minimum(jump, bits + 1, out=jump)
     two = jump[jump]
     four = two[two]
     eight = memoryview(four[four])
     starts, per = [], []
-    for (_, first, pixels, _), b in zip(group, base.tolist(), strict=True):
-        p = 8 * b + first
-        steps = -(-pixels // 8)
-        per.append(steps)
-        for _ in range(steps):
+    for g, b, size in zip(group, base.tolist(), sizes.tolist(), strict=True):
+        p, before, stop = 8 * b + g.first, len(starts), 8 * (b + size)
+        while p < stop:
             starts.append(p)
             p = eight[p]
+        per.append(len(starts) - before)
     grid = np.empty((len(starts), 8), np.int32)
     grid[:, 0] = starts
     for k in range(1, 8):
         grid[:, k] = jump[grid[:, k - 1]]
-    np.minimum(grid, bits - 1, out=grid)
-    symbols = (entry[grid.reshape(-1)] >> 4).astype(np.uint8).tobytes()
-    out, at = [], 0
-    for (_, _, pixels, _), steps in zip(group, per, strict=True):
-        out.append(symbols[8 * at : 8 * at + pixels])
-        at += steps
-    return out
+    token = grid.reshape(-1)
+    owner = np.repeat(np.arange(len(group)), 8 * np.array(per))
+    stop = 8 * (base + sizes)
+    inside = token < stop[owner]
+    token, owner = token[inside].astype(np.int64), owner[inside]
+    symbol = entry[token] >> 4
+    refer = np.flatnonzero((symbol >= 256) & (symbol < 280))
+    copied, distance, _ = references(token[refer])
+    advance = np.ones(len(token) + 1, np.int64)
+    advance[refer] = copied
+    ends = np.cumsum(advance[:-1])
+    first = np.searchsorted(owner, np.arange(len(group)))
+    if (np.diff(np.append(first, len(owner))) == 0).any():
+        raise ValueError("the stream ends too early")
+    pixels = np.array([g.pixels for g in group])
+    here = ends - advance[:-1] - (ends[first] - advance[first])[owner]  # place in its own image
+    need = here < pixels[owner]  # what follows are the last byte's unused bits
+    done = np.zeros(len(group), np.int64)
+    np.maximum.at(done, owner[need], (here + advance[:-1])[need])
+    if (done != pixels).any() or (jump[token[need]] > stop[owner[need]]).any():
+        raise ValueError("the stream ends too early, or a back-reference leaves the image")
+    origin = np.cumsum(pixels) - pixels
+    place = origin[owner] + here
+    kept = need[refer]
+    refer, copied, distance = refer[kept], copied[kept], distance[kept]
+    if (distance > here[refer]).any():
+        raise ValueError("a back-reference leaves the image")
+    token, owner, symbol, place, at = token[need], owner[need], symbol[need], place[need], place[refer]
+    total = int(pixels.sum())
+    value = np.zeros(total, np.uint8)
+    literal = symbol < 256
+    value[place[literal]] = symbol[literal]
+    source = np.arange(total)
+    step = np.arange(int(copied.sum())) - np.repeat(np.cumsum(copied) - copied, copied)
+    to = np.repeat(at, copied) + step
+    source[to] = np.repeat(at - distance, copied) + step % np.repeat(distance, copied)
+    _follow(source, to)
+    bare: set[int] = set()
+    cached = np.flatnonzero(symbol >= 280)
+    if len(cached):
+        key = np.zeros(total, np.int64)
+        for i, g in enumerate(group):
+            if g.cache_bits:
+                part = slice(origin[i], origin[i] + g.pixels)
+                key[part] = _cache_keys(g.cache_bits, g.alpha)[value[part]]
+        key[place[cached]] = symbol[cached].astype(np.int64) - 280
+        key = key[source]
+        # The latest sample with a key is what its place in the cache holds.
+        latest = _latest(key, np.append(origin, total))[place[cached]]
+        bare = set(owner[cached[latest < 0]].tolist())
+        source[place[cached]] = np.where(latest < 0, place[cached], latest)
+        _follow(source, np.arange(total))
+    value = value[source]
+    return [None if i in bare else value[o : o + g.pixels] for i, (o, g) in enumerate(zip(origin.tolist(), group, strict=True))]
 
 
 def padded(data: np.ndarray, offs: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
