@@ -141,3 +141,29 @@ def test_rounds_of_several_groups(spark, monkeypatch):
 def test_sequences_reach_the_lower_bound(spark, sf_dir):
     rows = pack.pack(spark.read.parquet(f"{sf_dir}/documents.parquet"), VOCAB).toPandas()
     assert rows["sequence_id"].nunique() <= -(-int(rows["length"].sum()) // 2048) + 1
+
+
+def test_a_batch_sees_each_stretch_once(spark):
+    """Texts go to the tokeniser as Arrow arrays, cut and made distinct there; nulls, slices and a full table change nothing."""
+    import pyarrow as pa
+
+    lib, tok = tokenizers.Tokenizer.from_file(VOCAB), pack.WordTokenizer(VOCAB)
+    texts = ["", " ", "\n\n", "a  b\n", "the The THE's", "x" * 70, "a<|endoftext|>b c", "Ünï ÷× 中́ it's", "", "one two one two " * 9]
+    looked_up = []
+
+    class Table(dict):
+        def get(self, word, other=None):
+            looked_up.append(word)
+            return super().get(word, other)
+
+    tok.kept = Table(tok.kept)
+    for kind in (pa.string(), pa.large_string()):
+        for most in (pack.WordTokenizer.MOST_WORDS, 3):
+            tok.MOST_WORDS = most
+            looked_up.clear()
+            data, at = tok.coded(pa.array(["not seen", *texts], kind).slice(1))
+            assert [np.frombuffer(data[a:b], "<u4").tolist() for a, b in zip(at, at[1:], strict=False)] == [lib.encode(t, add_special_tokens=False).ids for t in texts]
+            assert len(looked_up) == len(set(looked_up))
+    assert tok.coded(pa.array([], pa.string()))[1] == [0]
+    rows = pack.pack(spark.createDataFrame([(1, None), (2, ""), (3, "a b")], "doc_id long, text string").coalesce(1), VOCAB).collect()
+    assert sorted((r["doc_id"], r["length"]) for r in rows) == [(1, 1), (2, 1), (3, 3)]

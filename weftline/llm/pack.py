@@ -18,24 +18,26 @@ import os
 import re
 import zlib
 from array import array
-from collections import ChainMap
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import chain
+from itertools import pairwise
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from weftline.llm.common import CLEANERS, claim, discard, written
+from weftline.llm.common import CLEANERS, claim, discard, slices, text_buffer, written
 
 CAPACITY = 2048
 END_ID = 0
 #: A bin with at most this many free places is done.
 NEARLY_FULL = 8
+#: Bytes of text that are tokenised together, about.
+TOGETHER = 4 << 20
 #: Pieces that one best fit of a partition, and items that one best fit of a round, takes at most.
 LOCAL_PIECES, ROUND_ITEMS = 200_000, 40_000
 #: Rounds end when one of several groups' rounds merges less than this share of the bins.
@@ -77,7 +79,8 @@ class WordTokenizer:
     """Ids of a text as packed little-endian 32-bit integers; words seen before are looked up.
 
     The vocabulary's normaliser and splitter never join what a blank or a line feed parts, so each stretch
-    between those is tokenised once and kept (in a bounded table). A new stretch of plain Latin letters, digits
+    between those is tokenised once and kept (in a bounded table). Arrow cuts the texts of a batch, finds the
+    different stretches and puts their ids together; only these are looked up one by one. A new stretch of plain Latin letters, digits
     and signs is first cut where the splitter cuts it, and its parts, which are fewer, are what the library sees.
     The strings of added tokens (`<|endoftext|>`) in a text give those tokens' ids, as the library does;
     with plain_specials they are ordinary text.
@@ -86,9 +89,11 @@ class WordTokenizer:
     MOST_WORDS = 1_000_000
     LONG_WORD = 64
     #: Stretches that the normaliser only puts into lower case.
-    _SIMPLE = re.compile("[!-~\u00c0-\u00ff]+")
-    # Fixed value: the vocabulary's splitter, for such stretches in lower case.
-    _PARTS = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u00ff]+")
+    _SIMPLE = re.compile("[!-~\u00c0-\u00ff]{1,%d}" % LONG_WORD)
+    # Fixed value: the vocabulary's splitter, for such stretches in lower case, with a blank between two.
+    _PARTS = re.compile(" |'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^ a-z0-9\u00df-\u00f6\u00f8-\u00ff]+")
+    #: Stands for the blank between two stretches; no id is as large, so its bytes are found nowhere else.
+    _BETWEEN = b"\xff" * 4
 
     def __init__(self, path: str, plain_specials: bool = False):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -115,41 +120,55 @@ class WordTokenizer:
             else:
                 yield from self._library(line)
 
-    def _new(self, found: list[str]) -> list[bytes]:
-        simple, is_simple = [], []
-        for w in found:
-            fine = self._SIMPLE.fullmatch(w) is not None and len(w) <= self.LONG_WORD and not any(t in w for t in self.added)
-            is_simple.append(fine)
-            simple.append(self._PARTS.findall(w.lower()) if fine else ())
+    def _new(self, found: list[str]) -> dict[str, bytes]:
+        simple = list(filter(self._SIMPLE.fullmatch, found))
+        line = " ".join(simple)
+        if any(t in line for t in self.added):
+            simple = [w for w in simple if not any(t in w for t in self.added)]
+            line = " ".join(simple)
         parts = self.parts
         if len(parts) > self.MOST_WORDS:
             parts.clear()
-        unknown = list(set(chain.from_iterable(simple)).difference(parts))
+        parts[" "] = self._BETWEEN
+        cut = self._PARTS.findall(line.lower())
+        unknown = list(set(cut).difference(parts))
         parts.update(zip(unknown, self._apart(unknown), strict=True))
-        rest = iter(self._library([w for w, fine in zip(found, is_simple, strict=True) if not fine]))
-        return [b"".join(map(parts.__getitem__, p)) if fine else next(rest) for p, fine in zip(simple, is_simple, strict=True)]
+        coded = dict(zip(simple, b"".join(map(parts.__getitem__, cut)).split(self._BETWEEN), strict=True)) if simple else {}
+        if len(simple) < len(found):
+            rest = [w for w in found if w not in coded]
+            coded.update(zip(rest, self._library(rest), strict=True))
+        return coded
 
-    def texts(self, texts: list[str]) -> Iterator[bytes]:
+    def coded(self, texts: pa.Array) -> tuple[memoryview, list[int]]:
+        """Ids of all texts, one after another, and the bytes between which each text's are; no text may be null.
+
+        Arrow cuts the texts and finds equal stretches; Python sees each different one once.
+        """
         kept = self.kept
-        stretches = [t.replace("\n", " ").split(" ") for t in texts]
-        found = set(chain.from_iterable(stretches))
-        new = list(found.difference(kept))
-        if len(kept) + len(new) > self.MOST_WORDS:
+        stretches = pc.split_pattern(pc.replace_substring(texts, "\n", " "), " ")
+        ends = np.concatenate([[0], np.cumsum(pc.list_value_length(stretches).to_numpy())])
+        every = stretches.flatten().dictionary_encode()
+        del stretches
+        found = every.dictionary.to_pylist()
+        ids = list(map(kept.get, found))
+        places = [i for i, c in enumerate(ids) if c is None]
+        if len(kept) + len(places) > self.MOST_WORDS:  # what this call needs of the table is in `ids` already
             kept.clear()
             kept[""] = b""
-            new = list(found.difference(kept))
-        here = kept
-        for i in range(0, len(new), 50_000):
-            some = new[i : i + 50_000]
-            coded = dict(zip(some, self._new(some), strict=True))
-            long = {w: coded.pop(w) for w in some if len(w) > self.LONG_WORD}
-            kept.update(coded)
-            if long:  # not kept beyond this call
-                here = long if here is kept else here | long
-        if here is not kept:
-            here = ChainMap(kept, here)
-        for p in stretches:
-            yield b"".join(map(here.__getitem__, p))
+        for i in range(0, len(places), 50_000):
+            some = places[i : i + 50_000]
+            new = self._new([found[k] for k in some])
+            for k in some:
+                ids[k] = new[found[k]]
+            kept.update((w, c) for w, c in new.items() if len(w) <= self.LONG_WORD)
+        _, offsets, data = pa.array(ids, pa.large_binary()).take(every.indices).buffers()
+        at = np.frombuffer(offsets, np.int64)[: int(ends[-1]) + 1] if ends[-1] else np.zeros(1, np.int64)
+        return memoryview(data or b""), at[ends].tolist()
+
+    def texts(self, texts: list[str]) -> Iterator[bytes]:
+        data, at = self.coded(pa.array(texts, pa.large_string()))
+        for a, b in pairwise(at):
+            yield data[a:b].tobytes()
 
 
 @lru_cache(maxsize=2)
@@ -197,10 +216,11 @@ def packed_pieces(docs: DataFrame, vocab_path: str, capacity: int = CAPACITY, id
         for b in batches:
             id_type = b.schema.field(0).type
             ids = b.column(0).to_pylist()
-            for at in range(0, len(ids), 512):  # bounds what is held beside the batch
-                texts = [t or "" for t in b.column(1).slice(at, 512).to_pylist()]
-                for doc, coded in zip(ids[at : at + 512], tok.texts(texts), strict=True):
-                    for p in pieces_of(coded + end, capacity):
+            texts = b.column(1).fill_null("")
+            for i, j in slices(text_buffer(texts)[1], TOGETHER):  # bounds what is held beside the batch
+                data, at = tok.coded(texts.slice(i, j - i))
+                for doc, (x, y) in zip(ids[i:j], pairwise(at), strict=True):
+                    for p in pieces_of(data[x:y].tobytes() + end, capacity):
                         rows[0].append(doc)
                         for r, v in zip(rows[1:], p, strict=True):
                             r.append(v)
