@@ -80,8 +80,9 @@ class WordTokenizer:
 
     The vocabulary's normaliser and splitter never join what a blank or a line feed parts, so each stretch
     between those is tokenised once and kept (in a bounded table). Arrow cuts the texts of a batch, finds the
-    different stretches and puts their ids together; only these are looked up one by one. A new stretch of plain Latin letters, digits
-    and signs is first cut where the splitter cuts it, and its parts, which are fewer, are what the library sees.
+    different stretches and puts their ids together; only these are looked up one by one. A new stretch of plain
+    Latin letters, digits and signs is first cut where the splitter cuts it, and its parts, which are fewer, are
+    what the library sees.
     The strings of added tokens (`<|endoftext|>`) in a text give those tokens' ids, as the library does;
     with plain_specials they are ordinary text.
     """
