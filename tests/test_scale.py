@@ -3,6 +3,8 @@
 import numpy as np
 import pytest
 
+from pyspark.sql import functions as F
+
 from weftline.functions import vectors as vx
 from weftline.plans.registry import QUERIES
 
@@ -49,3 +51,15 @@ def test_neighbours_are_searched_once(spark, sf_dir, name):
     """The search of all pairs is done before the query's own plan, which reads what it found."""
     plan = QUERIES[name](spark, sf_dir)._jdf.queryExecution().optimizedPlan().toString()
     assert "best(" not in plan
+
+
+def test_numbers_are_whole_where_ranges_are_sampled(spark, tmp_path):
+    """More rows than a range partitioning looks at, with sources, ids and pairs that repeat or are missing."""
+    n = 400_000
+    rows = spark.range(0, n, 1, 3).select(F.concat(F.lit("s"), F.col("id") % 7).alias("source"), (F.col("id") * 7919 % 300_007).alias("doc_id"))
+    rows = rows.withColumn("source", F.when(F.col("doc_id") % 1000 != 0, F.col("source")))
+    rows.write.parquet(str(tmp_path / "documents.parquet"))
+    got = QUERIES["numbered_chunks"](spark, str(tmp_path)).toPandas().sort_values("chunk_idx")
+    assert got["chunk_idx"].tolist() == list(range(n))
+    want = got.sort_values(["source", "doc_id"], na_position="last", kind="stable")
+    assert want["chunk_idx"].tolist() == list(range(n))

@@ -11,8 +11,9 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from weftline.config import Chunking
 from weftline.functions.text import ATX_HEADING, NUMBERED_HEADING, SPACED_OUT, chunk_id, extract_references
@@ -238,21 +239,40 @@ def chunk_documents(docs: DataFrame, settings: Chunking | None = None, length: C
     return cut.withColumn("chunk_id", chunk_id(F.coalesce("source", F.lit("")), F.col("doc_id"), F.col("position"), F.col("text"), c.id_hash_prefix)).withColumn("references", extract_references(F.col("text")))
 
 
+#: Rows whose order gives the bounds of numbered()'s ranges, and most ranges.
+SAMPLE, RANGES = 8192, 256
+
+
 def numbered(chunks: DataFrame) -> DataFrame:
-    """chunk_idx: the corpus order by source, document and position, without one global sort.
+    """chunk_idx: the corpus order by source, document and position (nulls last), without one global sort.
 
-    Range partitions are sorted on their own; each row's number is its partition's offset and its place there.
+    Each row's number is its range's offset and its place there. The ranges' bounds are fixed before rows are counted:
+    a range partitioning draws its bounds anew whenever it runs, so counts of one run don't fit another.
     """
-    ranged = chunks.repartitionByRange("source", "doc_id", "position").sortWithinPartitions("source", "doc_id", "position").withColumn("part", F.spark_partition_id()).withColumn("mono", F.monotonically_increasing_id())
-    sizes = {r["part"]: (r["n"], r["least"]) for r in ranged.groupBy("part").agg(F.count(F.lit(1)).alias("n"), F.min("mono").alias("least")).collect()}  # one row a partition
-    start, shift = 0, {}
-    for p in sorted(sizes):
-        shift[p] = start - sizes[p][1]
-        start += sizes[p][0]
-    if not shift:
+    keys = ("source", "doc_id", "position")
+    key = F.struct(*(c for k in keys for c in (F.col(k).isNull(), F.col(k))))
+    drawn = chunks.select(*keys).orderBy(F.xxhash64(*keys)).limit(SAMPLE)
+    sample = drawn.select(key.alias("key")).orderBy("key")
+    bounds = sorted({i * SAMPLE // RANGES for i in range(RANGES)})
+    order = sample.withColumn("nth", F.row_number().over(Window.orderBy("key")) - 1).where(F.col("nth").isin(bounds)).select("key").distinct().orderBy("key").collect()  # RANGES rows at most
+    if not order:
         return chunks.withColumn("chunk_idx", F.lit(0).cast("long")).limit(0)
-    offset = F.create_map(*(F.lit(x) for pair in shift.items() for x in pair))
-    return ranged.withColumn("chunk_idx", (F.col("mono") + offset[F.col("part")]).cast("long")).drop("part", "mono")
+    kind = sample.schema["key"].dataType
+    schema = T.StructType([T.StructField("part", T.IntegerType()), T.StructField("low", kind), T.StructField("high", kind), T.StructField("start", T.LongType())])
+
+    def dealt(start: dict[int, int]) -> DataFrame:
+        lows = [None, *(r["key"] for r in order)]
+        rows = [(p, low, high, start.get(p, 0)) for p, (low, high) in enumerate(zip(lows, [*lows[1:], None], strict=True))]
+        table = chunks.sparkSession.createDataFrame(rows, schema)
+        own = (F.col("low").isNull() | (F.col("key") >= F.col("low"))) & (F.col("high").isNull() | (F.col("key") < F.col("high")))
+        return chunks.withColumn("key", key).join(F.broadcast(table), own).drop("key", "low", "high")  # RANGES + 1 rows
+
+    start, total = {}, 0
+    for r in sorted(dealt({}).groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()):
+        start[r["part"]] = total
+        total += r["n"]
+    nth = F.row_number().over(Window.partitionBy("part").orderBy(*(F.asc_nulls_last(k) for k in keys)))
+    return dealt(start).withColumn("chunk_idx", (F.col("start") + nth - 1).cast("long")).drop("part", "start")
 
 
 def fixed_windows(docs: DataFrame, size: int = 100, overlap: int = 20, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
