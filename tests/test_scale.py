@@ -6,6 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from weftline.functions import vectors as vx
+from weftline.operators import signals, spectral, weights
 from weftline.plans.registry import QUERIES
 
 
@@ -63,3 +64,62 @@ def test_numbers_are_whole_where_ranges_are_sampled(spark, tmp_path):
     assert got["chunk_idx"].tolist() == list(range(n))
     want = got.sort_values(["source", "doc_id"], na_position="last", kind="stable")
     assert want["chunk_idx"].tolist() == list(range(n))
+
+
+def ring_graph(spark, sizes):
+    """Rings of some nodes each, with two nodes without edges."""
+    pairs, at = [], 0
+    for size in sizes:
+        pairs += [(at + i, at + (i + 1) % size, 0.5 + (i * 7 % 11) / 11) for i in range(size)]
+        at += size
+    nodes = spark.createDataFrame([(i, i, at + 2) for i in range(at + 2)], "id long, position int, doc_size int")
+    return nodes, spark.createDataFrame([(min(a, b), max(a, b), w) for a, b, w in pairs], "src long, dst long, weight double"), at + 2
+
+
+def test_distributed_coordinates_span_what_the_dense_ones_span(spark):
+    """Five parts of a graph and two lone nodes: eigenvalue 0 is there seven times, and all seven vectors are found."""
+    nodes, edges, n = ring_graph(spark, (60, 60, 45, 30, 20))
+    lap = np.zeros((n, n))
+    for r in spectral.laplacian(nodes, edges).collect():
+        lap[r["i"], r["j"]] += r["value"]
+    x = spectral.leading_vectors(lambda v: 2 * v - lap @ v, n, 9)
+    assert np.abs(x.T @ x - np.eye(9)).max() < 1e-9
+    value, vector = np.linalg.eigh(lap)
+    assert np.diag(x.T @ lap @ x) == pytest.approx(value[:9], abs=1e-9)
+    assert np.linalg.norm(x[:, :7] - vector[:, :7] @ (vector[:, :7].T @ x[:, :7])) < 1e-6
+
+
+def test_distributed_coordinates_match_the_local_ones(spark):
+    nodes, edges, n = ring_graph(spark, (301,))
+    nodes, n = nodes.where("id < 301"), 301
+    entries = spectral.laplacian(nodes, edges)
+    read = lambda df: np.array([r["coords"] for r in df.orderBy("id").collect()])
+    local, far = read(spectral.coordinates(nodes, entries, 6)), read(spectral.coordinates(nodes, entries, 6, local_nodes=10))
+    assert local.shape == far.shape == (n, 6)
+    assert np.abs(np.linalg.svd(local.T @ far)[1] - 1).max() < 1e-6
+
+
+def test_smallest_hashes(spark):
+    pairs = spark.range(5000).select("id", (F.col("id") * 3).alias("j")).withColumnRenamed("id", "i")
+    for n in (0, 1, 700, 4999, 9000):
+        want = pairs.orderBy(F.xxhash64("i", "j")).limit(n)
+        assert sorted(weights._smallest(pairs, n).collect()) == sorted(want.collect())
+
+
+@pytest.mark.parametrize("name", ["fit_weights", "calibrate_weights", "multiplex_coords", "spectral_coords", "kmeans_labels"])
+def test_models_search_neighbours_once(spark, sf_dir, monkeypatch, name):
+    """However often a model reads its edges, the search of all pairs runs once."""
+    runs, search = spark.sparkContext.accumulator(0), signals.top_k_join
+
+    def counted(*args, **kwargs):
+        found = search(*args, **kwargs).coalesce(1)
+
+        def tick(batches):
+            runs.add(1)
+            yield from batches
+
+        return found.mapInArrow(tick, found.schema)
+
+    monkeypatch.setattr(signals, "top_k_join", counted)
+    assert QUERIES[name](spark, sf_dir).collect()
+    assert runs.value == 1

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -42,6 +43,21 @@ def calibrate(raw: DataFrame, prior: EdgeWeights | None = None) -> EdgeWeights:
     return EdgeWeights(**{s: got.get(s, 0.0) for s in SIGNALS})
 
 
+def _smallest(pairs: DataFrame, n: int) -> DataFrame:
+    """The n distinct pairs with the smallest hashes. Only those of one part in 4,096 are sorted, not all in one task."""
+    hashed = pairs.withColumn("h", F.xxhash64("i", "j")).withColumn("part", F.shiftright("h", 52))
+    cut, below = None, 0
+    for r in sorted(hashed.groupBy("part").agg(F.count(F.lit(1)).alias("n")).collect()):  # 4,096 rows at most
+        if below + r["n"] > n:
+            cut = r["part"]
+            break
+        below += r["n"]
+    if cut is None:
+        return pairs
+    rest = hashed.where(F.col("part") == cut).orderBy("h", "i", "j").limit(n - below)
+    return hashed.where(F.col("part") < cut).unionByName(rest).select("i", "j")
+
+
 def fit(raw: DataFrame, nodes: DataFrame, prior: EdgeWeights | None = None, seed: int = 42, max_iter: int = 100) -> tuple[EdgeWeights, float]:
     """Logistic regression of "linked by reading order or section" on the other signals; weights and held-out AUC.
 
@@ -68,12 +84,14 @@ def fit(raw: DataFrame, nodes: DataFrame, prior: EdgeWeights | None = None, seed
     for k in range(4):
         pairs = numbered(seed + 10 * k, "a").join(numbered(seed + 10 * k + 5, "b"), ["place", "part"]).where("a <> b").select(F.least("a", "b").alias("i"), F.greatest("a", "b").alias("j"))
         negative = pairs if negative is None else negative.unionByName(pairs)
-    negative = negative.distinct().join(positive, ["i", "j"], "left_anti").orderBy(F.xxhash64("i", "j")).limit(n)
+    negative = _smallest(negative.distinct().join(positive, ["i", "j"], "left_anti"), n)
     rows = positive.withColumn("label", F.lit(1.0)).unionByName(negative.withColumn("label", F.lit(0.0))).join(wide, ["i", "j"], "left").fillna(0.0)
     data = VectorAssembler(inputCols=free, outputCol="features").transform(rows).select("features", "label", (F.pmod(F.xxhash64("i", "j", F.lit(seed)), F.lit(5)) == 0).alias("test"))
+    data = data.persist(StorageLevel.DISK_ONLY)  # read by the fit, the evaluation and a count
     train, test = data.where("not test"), data.where("test")
     model = LogisticRegression(standardization=False, regParam=1.0 / max(train.count(), 1), maxIter=max_iter).fit(train)
     auc = BinaryClassificationEvaluator(rawPredictionCol="rawPrediction").evaluate(model.transform(test))
+    data.unpersist()
     score = {s: max(0.0, float(c)) for s, c in zip(free, model.coefficients, strict=True)}
     live = [s for s in free if score[s] > 0]
     if not live:
