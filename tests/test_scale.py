@@ -123,3 +123,19 @@ def test_models_search_neighbours_once(spark, sf_dir, monkeypatch, name):
     monkeypatch.setattr(signals, "top_k_join", counted)
     assert QUERIES[name](spark, sf_dir).collect()
     assert runs.value == 1
+
+
+@pytest.mark.parametrize("pairs,block", [(1 << 22, 512), (8, 5)])
+def test_shared_keys_shuffle_chunks_not_pairs(spark, monkeypatch, pairs, block):
+    """All pairs are counted in blocks, in tables of whatever size, and no exchange lies above the counting."""
+    monkeypatch.setattr(signals, "PAIRS", pairs)
+    monkeypatch.setattr(signals, "PAIR_BLOCK", block)
+    rng = np.random.default_rng(4)
+    keys = {i: {f"k{k}" for k in rng.integers(0, 12, rng.integers(0, 6))} | {"all"} for i in rng.permutation(500)[:40].tolist()}
+    rows = [(i, k) for i, ks in keys.items() for k in sorted(ks)]
+    got = signals.shared_keys(spark.createDataFrame(rows + rows[:9], "chunk_idx long, key string"), "entity")
+    most = max(len(a & b) for i, a in keys.items() for j, b in keys.items() if i < j)
+    assert {(r["i"], r["j"]): r["score"] for r in got.collect()} == {(i, j): len(keys[i] & keys[j]) / most for i in keys for j in keys if i < j}
+    assert got.count() == 40 * 39 // 2
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert "Aggregate [i" not in plan
