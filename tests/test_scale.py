@@ -1,12 +1,14 @@
 """What keeps queries within bounds on larger tables, against plain recomputation on small ones."""
 
+import re
+
 import numpy as np
 import pytest
 
 from pyspark.sql import functions as F
 
 from weftline.functions import vectors as vx
-from weftline.operators import signals, spectral, weights
+from weftline.operators import lexical, retrieval, signals, spectral, weights
 from weftline.plans.registry import QUERIES
 
 
@@ -139,3 +141,34 @@ def test_shared_keys_shuffle_chunks_not_pairs(spark, monkeypatch, pairs, block):
     assert got.count() == 40 * 39 // 2
     plan = got._jdf.queryExecution().optimizedPlan().toString()
     assert "Aggregate [i" not in plan
+
+
+def test_blocks_are_smaller_where_all_pairs_are_given():
+    for left, right, k in ((200, 3_000_000, 1 << 62), (5000, 100_000, 1 << 62), (615_000, 615_000, 8), (615_000, 615_000, 500), (0, 0, 5)):
+        nl, nr = vx._dealt(left, right, k)
+        assert -(-left // nl) * min(k, -(-right // nr)) <= vx.GIVEN
+    assert vx._dealt(615_000, 615_000, 8) == (16, 16)
+
+
+@pytest.mark.parametrize("most", [0, 2_000_000])
+def test_a_term_of_all_documents_is_not_one_task(spark, monkeypatch, most):
+    """Terms of documents are dealt by document alone; scores are the same where questions are too many to be sent."""
+    docs = spark.createDataFrame([(i, "the " * (i % 3 + 1) + f"word{i % 5}") for i in range(60)] + [(7, "the word1")], "doc_id long, text string")
+    asked = spark.createDataFrame([(q, f"the word{q}") for q in range(5)], "item_id long, text string")
+    monkeypatch.setattr(lexical, "SENT_TERMS", 2_000_000)
+    want = {(r["query_id"], r["doc_id"]): r["score"] for r in lexical.bm25_scores(docs, asked, "doc_id", "text", "item_id", "text").collect()}
+    monkeypatch.setattr(lexical, "SENT_TERMS", most)
+    got = lexical.bm25_scores(docs, asked, "doc_id", "text", "item_id", "text")
+    assert {(r["query_id"], r["doc_id"]): r["score"] for r in got.collect()} == want and len(want) == 300
+    if most:
+        plan = got._jdf.queryExecution().executedPlan().toString()
+        assert "REPARTITION_BY_COL" in plan and not re.search(r"hashpartitioning\(query_id#\d+L, id#", plan)
+
+
+def test_hybrid_relevance_of_stored_pairs(spark):
+    dense = spark.createDataFrame([(0, 1, 0.5), (0, 2, -0.2), (1, 1, 0.4)], "query_id long, chunk_idx long, score double")
+    lex = spark.createDataFrame([(0, 2, 4.0), (0, 1, -1.0)], "query_id long, chunk_idx long, score double")
+    rows = lambda df: sorted(map(tuple, df.select("query_id", "chunk_idx", "score").collect()))
+    kept = []
+    got = retrieval.hybrid_relevance(dense, lex, store=lambda df: kept.append(df) or df)
+    assert rows(got) == rows(retrieval.hybrid_relevance(dense, lex)) and len(kept) == 1

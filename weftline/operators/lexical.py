@@ -9,6 +9,9 @@ from weftline.functions.text import tokenize
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
+#: Most terms of all questions together that are sent to every executor; with more, terms meet by a shuffle.
+SENT_TERMS = 2_000_000
+
 
 def postings(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """Rows (id, term, tf, len): counted before they are shuffled, one row for each term of a document."""
@@ -32,6 +35,8 @@ def bm25_scores(docs: DataFrame, queries: DataFrame, id_col: str, text_col: str,
 
     Document frequencies of all terms (the mean idf needs them) come from each document's distinct terms, so only
     partial counts by term are shuffled; frequencies within documents are counted for the queries' terms alone.
+    These are dealt by document and stay there: the queries' terms come to them, so neither a frequent term is one task
+    nor are pairs shuffled before they are summed.
     Scores are rounded to six places, so that the order of additions can't matter.
     """
     # explode_outer: for explode the optimiser would add a filter that tokenises each text once more.
@@ -40,12 +45,13 @@ def bm25_scores(docs: DataFrame, queries: DataFrame, id_col: str, text_col: str,
     found = toks.select(F.explode_outer(F.array_distinct("toks")).alias("term")).where("term is not null").groupBy("term").agg(F.count(F.lit(1)).cast("double").alias("df"))
     stats = found.crossJoin(F.broadcast(corpus))  # one row
     wanted = query_terms(queries, query_id, query_text)
+    sent = F.broadcast if wanted.count() <= SENT_TERMS else lambda df: df  # counts questions only
     asked = wanted.select("term").distinct()
-    post = toks.select("id", F.size("toks").alias("len"), F.explode_outer("toks").alias("term")).join(asked, "term", "left_semi").groupBy("id", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
+    post = toks.select("id", F.size("toks").alias("len"), F.explode_outer("toks").alias("term")).join(sent(asked), "term", "left_semi").repartition("id").groupBy("id", "len", "term").agg(F.count(F.lit(1)).alias("tf"))
     raw = F.log(F.col("n") - F.col("df") + 0.5) - F.log(F.col("df") + 0.5)
     mean = stats.agg(F.avg(raw).alias("mean_idf"))  # one row
-    scored = stats.join(asked, "term", "left_semi").crossJoin(F.broadcast(mean)).withColumn("idf", idf(F.col("df"), F.col("n"), F.col("mean_idf")))
-    hits = post.join(scored, "term").join(wanted, "term")
+    scored = stats.join(sent(asked), "term", "left_semi").crossJoin(F.broadcast(mean)).withColumn("idf", idf(F.col("df"), F.col("n"), F.col("mean_idf")))
+    hits = post.join(sent(scored.join(wanted, "term")), "term")
     tf = F.col("tf")
     part = F.col("qtf") * F.col("idf") * tf * (K1 + 1) / (tf + K1 * (1 - B + B * F.col("len") / F.col("avgdl")))
     return hits.groupBy("query_id", F.col("id").alias("doc_id")).agg(F.round(F.sum(part), 6).alias("score"))
